@@ -1,0 +1,6 @@
+"""Registered queries and their SQL oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from array import array
+import struct
 from functools import lru_cache
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -10,6 +10,10 @@ VOCABULARY = "byte_bpe_50k.json"
 MEMO_WORDS = 700_000
 
 
+class LooseSpace(Exception):
+    """A word has other white space beside the space that parts it from the next."""
+
+
 class WordIds(dict):
     """Word (with the space before it) to its ids as little-endian 32-bit integers."""
 
@@ -21,12 +25,13 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if ids.itemsize != 4:
-            ids = array("L", ids)
-        return ids.tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
+        bare = word[1:] if word[:1] == " " else word
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            raise LooseSpace
         found = self[word] = self.encode(word)
         return found
 
@@ -57,32 +62,21 @@ def packed_ids(text: str | None, memo: WordIds) -> bytes:
     if not text:
         return b""
     memo.forget()
-    words = text.split(" ")
-    first, rest = words[0], words[1:]
-    if first and not text[0].isspace() and "" not in rest and not _loose(text):
+    first, *rest = text.split(" ")
+    try:
         return b"".join([memo[first], *map(memo.__getitem__, [" " + w for w in rest])])
-    return _careful(words, memo)
-
-
-def _loose(text: str) -> bool:
-    """Whether a space has other white space beside it."""
-    return any(p in text for p in _BESIDE) or any(ord(c) in _WHITE for c in set(text) if ord(c) > 32)
-
-
-#: White space below the space, and beyond ASCII, that may stand beside a space.
-_LOW = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_BESIDE = [p for c in _LOW for p in (f" {c}", f"{c} ")]
-_WHITE = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+    except LooseSpace:
+        return _careful(first, rest, memo)
 
 
-def _careful(words: list[str], memo: WordIds) -> bytes:
-    """Pieces are joined again wherever a boundary has white space on either side."""
-    out, held = [], words[0]
-    for word in words[1:]:
+def _careful(held: str, rest: list[str], memo: WordIds) -> bytes:
+    """Words are joined again wherever a boundary has white space on either side."""
+    out = []
+    for word in rest:
         if word and not word[0].isspace() and held and not held[-1].isspace():
-            out.append(memo[held] if len(held) < 64 else memo.encode(held))
+            out.append(memo.get(held) or memo.encode(held))
             held = " " + word
         else:
             held += " " + word
-    out.append(memo[held] if len(held) < 64 else memo.encode(held))
+    out.append(memo.get(held) or memo.encode(held))
     return b"".join(out)

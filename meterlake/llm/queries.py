@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import language, packing, wavelet
+from meterlake.llm import decontamination, language, oracles, packing, wavelet
 from meterlake.llm.common import table
 
 
@@ -17,9 +17,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op6_packing, op10_wavelet)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language, op6_packing, op8_decontamination, op10_wavelet)}
+ORACLES = {"op8_decontamination": oracles.DECONTAMINATION}

@@ -93,7 +93,7 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
     import pyarrow as pa
     from pyspark import TaskContext
 
-    memo, end = tokens.word_ids(path), separator.to_bytes(4, "little")
+    words, end = tokens.words_of(path), separator.to_bytes(4, "little")
     next_id = TaskContext.get().partitionId() << 36
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     whole: list[tuple] = []
@@ -111,8 +111,8 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
         return rows
 
     for given in batches:
-        for doc_id, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
-            ids = tokens.packed_ids(text, memo) + end
+        for doc_id, ids in zip(given.column(0).to_pylist(), tokens.packed(given.column(1).to_pylist(), words), strict=True):
+            ids += end
             n = len(ids) // 4
             for start in range(0, n, window):
                 piece = ids[4 * start : 4 * (start + window)]

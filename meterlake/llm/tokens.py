@@ -1,48 +1,104 @@
-"""Token ids of whole texts by a public byte-level BPE vocabulary, with a bounded word memo."""
+"""Token ids of whole texts by a public byte-level BPE vocabulary, with a bounded memo of words.
+
+The vocabulary's pattern always parts a text before a single space that stands between two
+characters that are no white space, around a lone line feed between such characters, and between
+letters and a mark after them. So words can be encoded once each and their ids joined. New words
+go to the library together, one to a line, as the ids of a line feed tell them apart again.
+Where a space has white space beside it (or begins or ends a text), the words around it are
+encoded together, as they stand.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 700_000
-
+#: Words whose ids a worker keeps; beyond it a new memo starts, and takes over from the last what comes again.
+MEMO_WORDS = 600_000
+#: Characters of the texts whose words are looked up together.
+GROUP_CHARS = 2_000_000
+MARKS = (".", ",")
+WHITE = re.compile(r"\s").search
 
-class LooseSpace(Exception):
-    """A word has other white space beside the space that parts it from the next."""
 
-
-class WordIds(dict):
-    """Word (with the space before it) to its ids as little-endian 32-bit integers."""
+class Words:
+    """The ids of words, as little-endian 32-bit integers: with the space before them, and without."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line = self.encode("\n")
+        self.spaced: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, word: str) -> bytes:
-        bare = word[1:] if word[:1] == " " else word
-        if not bare or bare[0].isspace() or bare[-1].isspace():
-            raise LooseSpace
-        found = self[word] = self.encode(word)
-        return found
-
-    def forget(self) -> None:
-        if len(self) > MEMO_WORDS:
-            self.clear()
+    def _encoded_lines(self, words: list[str], before: str) -> Iterable[bytes]:
+        """The ids of words without white space, each on a line of its own."""
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            text = "".join(["\n" + before + w for w in some])
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            parts = struct.pack(f"<{len(ids)}I", *ids)
+            line = struct.unpack("<I", self.line)[0]
+            starts = [i + 1 for i, x in enumerate(ids) if x == line]
+            if len(starts) != len(some):
+                yield from map(self.encode, [before + w for w in some])
+                continue
+            for a, b in zip(starts, [*starts[1:], len(ids) + 1], strict=True):
+                yield parts[4 * a : 4 * (b - 1)]
+
+    def _add(self, into: dict, words: Iterable[str], before: str) -> None:
+        new = [w for w in words if w not in into]
+        into.update(zip(new, self._encoded_lines(new, before), strict=True))
+
+    def learn(self, words: set[str]) -> None:
+        """Take in words that follow a space; ``None`` marks those that can't be encoded alone."""
+        if len(self.spaced) + len(self.bare) > MEMO_WORDS:
+            self.older, self.spaced, self.bare = self.spaced, {}, {}
+        new = words.difference(self.spaced)
+        again = new.intersection(self.older)
+        self.spaced.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        split: dict[str, list[str]] = {}
+        plain, heads, rest = [], set(), set()
+        for w in new.difference(again):
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1:] in MARKS and w[:-1].isalpha():
+                split[w] = [w[:-1], w[-1]]
+                heads.add(w[:-1])
+                rest.add(w[-1])
+            elif not w:
+                self.spaced[w] = None
+            elif WHITE(w) is None:
+                plain.append(w)
+            else:
+                parts = w.split("\n")
+                if all(parts) and WHITE(w.replace("\n", "")) is None:
+                    split[w] = [x for p in parts for x in ("\n", p)][1:]
+                    heads.add(parts[0])
+                    rest.update(parts[1:])
+                else:
+                    loose = w[0].isspace() or w[-1].isspace()
+                    self.spaced[w] = None if loose else self.encode(" " + w)
+        self._add(self.spaced, plain, " ")
+        self._add(self.spaced, heads, " ")
+        self._add(self.bare, rest, "")
+        for w, parts in split.items():
+            self.spaced[w] = b"".join([self.spaced[parts[0]], *[self.line if p == "\n" else self.bare[p] for p in parts[1:]]])
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -51,32 +107,44 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def packed_ids(text: str | None, memo: WordIds) -> bytes:
-    """The ids of a whole text, 4 little-endian bytes each.
-
-    The vocabulary's pattern always parts a text before a single space that stands between two
-    characters that are no white space, so the pieces can be encoded alone. Where a space has
-    white space beside it (or ends the text), the pieces around it are encoded together.
-    Null is the empty text.
-    """
-    if not text:
-        return b""
-    memo.forget()
-    first, *rest = text.split(" ")
-    try:
-        return b"".join([memo[first], *map(memo.__getitem__, [" " + w for w in rest])])
-    except LooseSpace:
-        return _careful(first, rest, memo)
+def packed(texts: Iterable[str | None], words: Words) -> Iterator[bytes]:
+    """The ids of whole texts, 4 little-endian bytes each; null is the empty text."""
+    group: list[list[str]] = []
+    chars = 0
+    for text in texts:
+        group.append((text or "").split(" "))
+        chars += len(text or "")
+        if chars > GROUP_CHARS:
+            yield from _packed(group, words)
+            group, chars = [], 0
+    yield from _packed(group, words)
+
+
+def _packed(group: list[list[str]], words: Words) -> Iterator[bytes]:
+    words.learn(set().union(*[w[1:] for w in group]))
+    ids = words.spaced.__getitem__
+    for first, *rest in group:
+        found = [*map(ids, rest)]
+        if None in found or not rest or not first or first[-1].isspace():
+            yield _careful(first, rest, words)
+        else:
+            yield b"".join([words.encode(first), *found])
 
 
-def _careful(held: str, rest: list[str], memo: WordIds) -> bytes:
+def _careful(held: str, rest: list[str], words: Words) -> bytes:
     """Words are joined again wherever a boundary has white space on either side."""
     out = []
     for word in rest:
         if word and not word[0].isspace() and held and not held[-1].isspace():
-            out.append(memo.get(held) or memo.encode(held))
+            out.append(_alone(held, words))
             held = " " + word
         else:
             held += " " + word
-    out.append(memo.get(held) or memo.encode(held))
+    if held:
+        out.append(_alone(held, words))
     return b"".join(out)
+
+
+def _alone(held: str, words: Words) -> bytes:
+    known = words.spaced.get(held[1:]) if held[0] == " " else None
+    return words.encode(held) if known is None else known

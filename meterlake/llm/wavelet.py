@@ -179,7 +179,7 @@ def _written(batches: Iterator, folder: str, path: str, end: int) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
-    memo, last = tokens.word_ids(path), end.to_bytes(4, "little")
+    words, last = tokens.words_of(path), end.to_bytes(4, "little")
     shard, part, held, doc_ids, lengths, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
     def flushed() -> pa.RecordBatch:
@@ -190,8 +190,8 @@ def _written(batches: Iterator, folder: str, path: str, end: int) -> Iterator:
         return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": target, "n_docs": len(doc_ids), "n_tokens": total}])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = tokens.packed_ids(text, memo) + last
+        for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.packed(batch.column(1).to_pylist(), words), strict=True):
+            ids += last
             held.append(ids)
             doc_ids.append(doc_id)
             lengths.append(len(ids) // 4)

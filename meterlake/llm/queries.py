@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import decontamination, language, oracles, packing, perplexity, wavelet
+from meterlake.llm import decontamination, jaccard, language, oracles, packing, perplexity, wavelet
 from meterlake.llm.common import table
 
 
@@ -25,9 +25,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_quality, op6_packing, op8_decontamination, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_quality, op6_packing, op8_decontamination, op9_jaccard, op10_wavelet)}
 ORACLES = {"op8_decontamination": oracles.DECONTAMINATION}

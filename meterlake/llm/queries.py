@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import decontamination, jaccard, language, oracles, packing, perplexity, wavelet
+from meterlake.llm import decontamination, html, jaccard, language, oracles, packing, perplexity, wavelet
 from meterlake.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judged(table(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_quality, op6_packing, op8_decontamination, op9_jaccard, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_html, op3_quality, op6_packing, op8_decontamination, op9_jaccard, op10_wavelet)}
 ORACLES = {"op8_decontamination": oracles.DECONTAMINATION}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import decontamination, html, jaccard, language, oracles, packing, perplexity, wavelet
+from meterlake.llm import decontamination, html, jaccard, language, oracles, packing, perplexity, urls, wavelet
 from meterlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judged(table(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_html, op3_quality, op6_packing, op8_decontamination, op9_jaccard, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_html, op3_quality, op4_urls, op6_packing, op8_decontamination, op9_jaccard, op10_wavelet)}
 ORACLES = {"op8_decontamination": oracles.DECONTAMINATION}

@@ -29,3 +29,34 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit, 0)
   coalesce(w.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words w USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
+
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, conv_id - ((conv_id % 2) + 2) % 2 AS pair_id, ((conv_id % 2) + 2) % 2 = 1 AS other, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), sides AS (
+  SELECT *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head,
+    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS whole
+  FROM turns
+), same AS (
+  SELECT a.pair_id, a.k FROM sides a JOIN sides b ON a.pair_id = b.pair_id AND a.k = b.k
+    AND NOT a.other AND b.other AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text
+), prefix AS (
+  SELECT p.pair_id, coalesce(max(s.k), 0) AS prompt_turns
+  FROM (SELECT DISTINCT pair_id FROM sides) p
+  LEFT JOIN (SELECT pair_id, k, count(*) OVER (PARTITION BY pair_id ORDER BY k) AS n FROM same) s ON p.pair_id = s.pair_id AND s.k = s.n
+  GROUP BY p.pair_id
+), placed AS (
+  SELECT s.*, p.prompt_turns, s.k <= p.prompt_turns AS shared,
+    sum(length(whole)) OVER (PARTITION BY s.conv_id, s.k <= p.prompt_turns ORDER BY s.k) AS stop
+  FROM sides s JOIN prefix p USING (pair_id)
+)
+SELECT pair_id, bool_or(other) AND bool_or(NOT other) AS paired, CAST(max(prompt_turns) AS BIGINT) AS prompt_turns,
+  coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE shared AND NOT other), '') AS prompt,
+  coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE NOT shared AND NOT other), '') AS chosen,
+  coalesce(string_agg(CAST(CAST(stop - length(whole) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE NOT shared AND NOT other AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE NOT shared AND other), '') AS rejected,
+  coalesce(string_agg(CAST(CAST(stop - length(whole) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE NOT shared AND other AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY pair_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import decontamination, html, jaccard, language, oracles, packing, perplexity, urls, wavelet
+from meterlake.llm import chat, decontamination, html, jaccard, language, oracles, packing, perplexity, urls, wavelet
 from meterlake.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+    return found.withColumns({c: chat.masked(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,5 +47,5 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_html, op3_quality, op4_urls, op6_packing, op8_decontamination, op9_jaccard, op10_wavelet)}
-ORACLES = {"op8_decontamination": oracles.DECONTAMINATION}
+QUERIES = {f.__name__: f for f in (op1_language, op2_html, op3_quality, op4_urls, op6_packing, op7_chat, op8_decontamination, op9_jaccard, op10_wavelet)}
+ORACLES = {"op7_chat": oracles.CHAT, "op8_decontamination": oracles.DECONTAMINATION}

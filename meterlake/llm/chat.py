@@ -69,7 +69,7 @@ def preferences(pairs: DataFrame) -> DataFrame:
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs of the conversations 2k (chosen) and 2k + 1 (rejected), their turns in order."""
     other = F.pmod(F.col("conv_id"), F.lit(2))
-    known = turns.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).alias("t"))
+    known = turns.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
     rows = known.where("conv_id is not null").select((F.col("conv_id") - other).alias("pair_id"), other.alias("other"), "t")
     side = lambda k: F.sort_array(F.collect_list(F.when(F.col("other") == k, F.col("t"))))
     both = rows.groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("rejected"))

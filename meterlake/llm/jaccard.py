@@ -1,12 +1,14 @@
 """Exact Jaccard join of documents on word shingles, as classes of linked documents.
 
-Equal sets are found by signature first, and only one of them goes on. Prefix filtering proposes
-partners: tokens are ordered by their hash but for the frequent ones, which come last, rarest
-first, and two sets can only be linked if they share a token of their prefixes. The index lists,
-sorted by set size, are read by position: sets whose size rules a link out are skipped as blocks.
-What shares list tokens forms a group; a group's sets are compared exactly, in pairs of blocks of
-bounded size. There a set's overlaps with all others are derived from those of the most similar
-set already answered, by the postings of the few tokens that the two do not share.
+Equal sets are found by signature first, and only one of them goes on. Tokens are ordered by their
+hash but for the frequent ones, which come last, rarest first. Two linked sets share at least
+``margin(n)`` tokens of their extended prefixes, so a set that shares fewer of its own with any
+others is done; the rest meet in index lists, read by set size: sets whose size rules a link out
+are skipped as blocks. A pair is a candidate if it shares enough tokens over all short lists;
+in a long list every set is tied to the first of its run instead. What is so tied is a group, and
+a group's sets are compared exactly, in pairs of blocks of bounded size. There a set's overlaps
+with all others are derived from those of the most similar set already answered, by the postings
+of the few tokens that the two do not share.
 
 Frequent tokens only decide the order, from per-task counts over all documents; any order is exact.
 64-bit hashes stand for shingles and sets.
@@ -32,6 +34,9 @@ SHINGLE = 3
 PERCENT = 90
 #: Sets in one block; a task compares two blocks at a time.
 BLOCK = 128
+#: Sets in an index list whose pairs are counted; in longer ones sets are tied to the first of their run.
+SHORT = 16
+TIED = 1 << 40
 #: Tokens counted together by a task, how often one must occur among them to be frequent, and how many can be.
 COUNTED, FREQUENT, MOST_FREQUENT = 2_000_000, 6, 100_000
 
@@ -72,9 +77,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def index_length(n: int, percent: int) -> int:
-    """Tokens by which the smaller set of any linked pair is found."""
-    return n - -(-2 * n * percent // (100 + percent)) + 1
+def margin(n: int) -> int:
+    """Tokens of the extended prefixes that two linked sets share at least, by the smaller's size."""
+    return n // 20 + 1
+
+
+def extended_length(n: int, percent: int) -> int:
+    return prefix_length(n, percent) + margin(n) - 1
 
 
 class Order:
@@ -135,62 +144,120 @@ def _described(batches: Iterator, order: Order, width: int, percent: int) -> Ite
             tokens = shingles(text, width)
             nodes.append(signature(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
-            prefixes.append(order.prefix(tokens, prefix_length(len(tokens), percent)).tobytes() if len(tokens) else None)
+            prefixes.append(order.prefix(tokens, extended_length(len(tokens), percent)).tobytes() if len(tokens) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "node", "size", "prefix"])
 
 
-def _listed(batches: Iterator, percent: int) -> Iterator:
-    """The index entries of sets: token, size, late (no part of the shorter index prefix), node."""
+def _listed(batches: Iterator) -> Iterator:
+    """The index entries of sets: token, size, node."""
     import pyarrow as pa
 
     for batch in batches:
-        sizes = batch.column(1).to_numpy()
         tokens = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
-        if not tokens:
-            continue
-        counts = np.array([len(t) for t in tokens])
-        late = np.concatenate([np.arange(c) >= index_length(int(n), percent) for c, n in zip(counts, sizes, strict=True)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(tokens)), pa.array(np.repeat(sizes, counts)), pa.array(late), pa.array(np.repeat(batch.column(0).to_numpy(), counts))],
-            ["token", "size", "late", "node"],
-        )
+        if tokens:
+            counts = np.array([len(t) for t in tokens])
+            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(size, counts)), pa.array(np.repeat(node, counts))], ["token", "size", "node"])
 
 
-def _candidates(batches: Iterator, percent: int) -> Iterator:
-    """Ties the sets of each index list, read by size, to the first of their run.
+def index_lists(nodes: DataFrame, *order: str) -> DataFrame:
+    entries = nodes.select("node", "size", "prefix").mapInArrow(_listed, "token long, size long, node long")
+    return entries.select("token", *order).repartition("token").sortWithinPartitions("token", *order)
 
-    A run goes on while a set is near enough in size to the last one with the token in its index
-    prefix; else it and what comes after can't be linked with what came before.
-    """
+
+def _shared(batches: Iterator) -> Iterator:
+    """How many of its tokens each node shares with others, over rows ordered by token."""
     import pyarrow as pa
 
-    last_token, first, reach = None, None, -1
+    last_token, last_node, counted = None, None, True
     for batch in batches:
-        token, size, late, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(token):
             continue
         shared = np.zeros(len(token), bool)
-        shared[-1] = True  # the next batch may go on with it
         same = token[1:] == token[:-1]
         shared[1:] |= same
         shared[:-1] |= same
-        if token[0] == last_token:
+        found = []
+        if last_token is not None and token[0] == last_token:
             shared[0] = True
-        found = set()
-        rows = shared.nonzero()[0]
-        for t, n, out, v in zip(token[rows].tolist(), size[rows].tolist(), late[rows].tolist(), node[rows].tolist(), strict=True):
-            if t != last_token:
-                last_token, first, reach = t, None, -1
-            if first is not None and reach * 100 >= n * percent:
-                found.add((v, first))
-                if not out:
-                    reach = n
-            elif not out:
-                first, reach = v, n
-        last_token = int(token[-1])
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if not counted:
+                found = [last_node]
+        last_token, last_node, counted = token[-1], node[-1], bool(shared[-1])
+        nodes, n = np.unique(np.concatenate([node[shared], np.array(found, np.int64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n.astype(np.int64))], ["node", "n"])
+
+
+def sharing(nodes: DataFrame, percent: int) -> DataFrame:
+    """The nodes that share enough of their extended prefix to have any link."""
+    counts = index_lists(nodes, "node").mapInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    least = F.floor(F.ceil(F.col("size") * percent / 100) / 20) + 1
+    return nodes.join(counts, "node").where(F.col("n") >= least).drop("n")
+
+
+def _candidates(batches: Iterator, percent: int) -> Iterator:
+    """Pairs by index list: how many tokens of short lists they share, or that a long list ties them."""
+    import pyarrow as pa
+
+    token_now, short, long, first, reach = None, [], False, None, -1
+    found: dict[tuple[int, int, int], int] = {}
+
+    def paired() -> None:
+        for k, (n, v) in enumerate(short):
+            for m, u in short[:k]:
+                if m * 100 >= n * percent:
+                    found[u, v, m] = found.get((u, v, m), 0) + 1
+
+    def tied(n: int, v: int) -> None:
+        nonlocal first, reach
+        if first is not None and reach * 100 >= n * percent:
+            found[first, v, 0] = TIED
+        else:
+            first = v
+        reach = n
+
+    def out() -> pa.RecordBatch:
+        a, b, size = zip(*found, strict=True)
+        rows = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int64()), pa.array(found.values(), pa.int64())], ["a", "b", "size", "n"])
+        found.clear()
+        return rows
+
+    for batch in batches:
+        token, size, node = (batch.column(k).to_numpy() for k in range(3))
+        if not len(token):
+            continue
+        alone = np.ones(len(token), bool)
+        same = token[1:] == token[:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        alone[-1] = False  # the next batch may go on with it
+        alone[0] &= token[0] != token_now
+        rows = (~alone).nonzero()[0]
+        for t, n, v in zip(token[rows].tolist(), size[rows].tolist(), node[rows].tolist(), strict=True):
+            if t != token_now:
+                paired()
+                token_now, short, long, first, reach = t, [], False, None, -1
+            if not long and len(short) == SHORT:
+                long = True
+                for x in short:
+                    tied(*x)
+                short = []
+            if long:
+                tied(n, v)
+            else:
+                short.append((n, v))
+        if len(found) > 200_000:
+            yield out()
+    paired()
+    if found:
+        yield out()
+
+
+def candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) such that any linked pair is connected by them."""
+    pairs = index_lists(nodes, "size", "node").mapInArrow(lambda b: _candidates(b, percent), "a long, b long, size long, n long")
+    summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    return summed.where(F.col("n") >= F.floor(F.col("size") / 20) + 1).select("a", "b")
 
 
 def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -330,9 +397,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
         described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix")),
         "nodes",
     )
-    entries = nodes.select("node", "size", "prefix").mapInArrow(lambda b: _listed(b, percent), "token long, size long, late boolean, node long")
-    lists = entries.repartition("token").sortWithinPartitions("token", "size", "late", "node")
-    edges = lists.mapInArrow(lambda b: _candidates(b, percent), "a long, b long").distinct()
+    edges = candidates(stored(sharing(nodes, percent), "sharing"), percent)
     keyed = block_pairs(docs, nodes, components(edges), width, percent)
     ordered = keyed.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
     found = stored(ordered.mapInArrow(lambda b: _joined(b, percent), "a long, b long, links long"), "links")

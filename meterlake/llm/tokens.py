@@ -2,7 +2,7 @@
 
 The vocabulary's pattern always parts a text before a single space that stands between two
 characters that are no white space, around a lone line feed between such characters, and between
-letters and a mark after them. So words can be encoded once each and their ids joined. New words
+letters or digits and marks after them. So words can be encoded once each and their ids joined. New words
 go to the library together, one to a line, as the ids of a line feed tell them apart again.
 Where a space has white space beside it (or begins or ends a text), the words around it are
 encoded together, as they stand.
@@ -15,12 +15,14 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps; beyond it a new memo starts, and takes over from the last what comes again.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 900_000
 #: Characters of the texts whose words are looked up together.
-GROUP_CHARS = 2_000_000
-MARKS = (".", ",")
+GROUP_CHARS = 1_000_000
+MARKED = re.compile(r"([^\W_]+)([^\w\s]+)").fullmatch
 WHITE = re.compile(r"\s").search
 
 
@@ -46,15 +48,14 @@ class Words:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             text = "".join(["\n" + before + w for w in some])
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            parts = struct.pack(f"<{len(ids)}I", *ids)
-            line = struct.unpack("<I", self.line)[0]
-            starts = [i + 1 for i, x in enumerate(ids) if x == line]
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = (ids == np.frombuffer(self.line, "<u4")[0]).nonzero()[0]
             if len(starts) != len(some):
                 yield from map(self.encode, [before + w for w in some])
                 continue
-            for a, b in zip(starts, [*starts[1:], len(ids) + 1], strict=True):
-                yield parts[4 * a : 4 * (b - 1)]
+            packed_ids, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield packed_ids[a + 4 : b]
 
     def _add(self, into: dict, words: Iterable[str], before: str) -> None:
         new = [w for w in words if w not in into]
@@ -67,15 +68,15 @@ class Words:
         new = words.difference(self.spaced)
         again = new.intersection(self.older)
         self.spaced.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        split: dict[str, list[str]] = {}
+        split: dict[str, tuple[str, ...] | list[str]] = {}
         plain, heads, rest = [], set(), set()
         for w in new.difference(again):
             if w.isalpha():
                 plain.append(w)
-            elif w[-1:] in MARKS and w[:-1].isalpha():
-                split[w] = [w[:-1], w[-1]]
-                heads.add(w[:-1])
-                rest.add(w[-1])
+            elif (parts := MARKED(w)) is not None:
+                split[w] = parts.groups()
+                heads.add(parts[1])
+                rest.add(parts[2])
             elif not w:
                 self.spaced[w] = None
             elif WHITE(w) is None:
@@ -122,13 +123,18 @@ def packed(texts: Iterable[str | None], words: Words) -> Iterator[bytes]:
 
 def _packed(group: list[list[str]], words: Words) -> Iterator[bytes]:
     words.learn(set().union(*[w[1:] for w in group]))
-    ids = words.spaced.__getitem__
-    for first, *rest in group:
-        found = [*map(ids, rest)]
-        if None in found or not rest or not first or first[-1].isspace():
-            yield _careful(first, rest, words)
-        else:
-            yield b"".join([words.encode(first), *found])
+    known = words.spaced.__getitem__
+    for text in group:
+        first = text[0]
+        if not first or first[-1].isspace():
+            yield _careful(first, text[1:], words)
+            continue
+        ids = [*map(known, text[1:])]
+        ids.insert(0, words.encode(first))
+        try:
+            yield b"".join(ids)
+        except TypeError:  # a None among them
+            yield _careful(first, text[1:], words)
 
 
 def _careful(held: str, rest: list[str], words: Words) -> bytes:

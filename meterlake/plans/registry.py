@@ -1,6 +1,265 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.functions import models, pricing
+from meterlake.functions.times import cutoff, duration_ms, iso_millis, iso_seconds
+from meterlake.operators import ledger as store
+from meterlake.operators import reports, sync
+from meterlake.operators.attribution import attributed
+from meterlake.plans import usage
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Summed doubles are rounded, as the order of addition differs.
+DIGITS = 9
+
+
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        key = name or function.__name__
+        QUERIES[key], ORACLES[key] = function, usage.sql(sql)
+        return function
+
+    return register
+
+
+def _rounded(df: DataFrame, column: str = "cost_usd") -> DataFrame:
+    return df.withColumn(column, F.round(column, DIGITS))
+
+
+@query("""SELECT source, source_id, grain, ts, model, project, workspace, sub_tool, outcome, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens,
+  cache_write_1h_tokens, reasoning_tokens, duration_ms, raw FROM base""")
+def usage_projection(spark, sf_dir):
+    columns = "source source_id grain ts model project workspace sub_tool outcome input_tokens output_tokens cache_read_tokens cache_write_tokens cache_write_1h_tokens reasoning_tokens duration_ms raw"
+    return usage.base(spark, sf_dir).select(*columns.split())
+
+
+@query("SELECT id, model, model_norm FROM named")
+def normalize_model(spark, sf_dir):
+    return usage.base(spark, sf_dir).select("id", "model", models.normalize_model(F.col("model")).alias("model_norm"))
+
+
+@query("SELECT id, model FROM named WHERE source = 'claude-code' AND NOT bridged")
+def bridge_filter(spark, sf_dir):
+    return usage.base(spark, sf_dir).where((F.col("source") == models.TRANSCRIPTS) & ~models.is_bridge_routed(F.col("model"))).select("id", "model")
+
+
+@query("SELECT id, source, model, session_id, billing FROM ledger")
+def classify_billing(spark, sf_dir):
+    return usage.ledger(spark, sf_dir).select("id", "source", "model", "session_id", "billing")
+
+
+@query("SELECT id, model_norm, cost_usd, cost_source FROM ledger")
+def compute_cost(spark, sf_dir):
+    return usage.ledger(spark, sf_dir).select("id", "model_norm", "cost_usd", "cost_source")
+
+
+@query("SELECT id, hour_tokens, cache_write_tokens - hour_tokens AS short_tokens FROM named")
+def cache_clamp(spark, sf_dir):
+    hour = pricing.hour_tokens(F.col("cache_write_tokens"), F.col("cache_write_1h_tokens"))
+    return usage.base(spark, sf_dir).select("id", hour.alias("hour_tokens"), (F.col("cache_write_tokens") - hour).alias("short_tokens"))
+
+
+@query("SELECT model_norm, coalesce(r_hour, r_write) AS hour_rate FROM rates")
+def rate_fallback(spark, sf_dir):
+    return pricing.rates(spark).select("model_norm", F.coalesce("rate_cache_write_1h", "rate_cache_write").alias("hour_rate"))
+
+
+_SUMS = """count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, CAST(sum(reasoning_tokens) AS BIGINT) AS reasoning_tokens, round(sum(cost_usd), 9) AS cost_usd"""
+_KEYS = {
+    "source": "source", "model": "coalesce(model_norm, '(unknown)')", "billing": "billing", "day": "substr(ts, 1, 10)",
+    "machine": "coalesce(machine, '(unknown)')", "sub_tool": "coalesce(sub_tool, '(none)')",
+}
+
+
+def _stats(by: str) -> Query:
+    return lambda spark, sf_dir: _rounded(reports.stats(usage.ledger(spark, sf_dir), by))
+
+
+for _by, _key in _KEYS.items():
+    query(f"SELECT {_key} AS key, {_SUMS} FROM ledger WHERE outcome = 'ok' GROUP BY 1", f"stats_by_{_by}")(_stats(_by))
+
+
+@query(f"SELECT source AS key, {_SUMS} FROM ledger WHERE outcome = 'ok' AND ts >= '2024-01-24 00:00:00' GROUP BY 1")
+def stats_since_days(spark, sf_dir):
+    return _rounded(reports.stats(usage.ledger(spark, sf_dir), "source", 7, usage.NOW))
+
+
+@query("SELECT round(sum(coalesce(cost_usd, 0)), 9) AS total_cost, count(*) FILTER (WHERE cost_usd IS NULL) AS unpriced_records FROM ledger WHERE outcome = 'ok'")
+def total_cost(spark, sf_dir):
+    good = usage.ledger(spark, sf_dir).where("outcome = 'ok'")
+    return good.agg(F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), DIGITS).alias("total_cost"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_records"))
+
+
+def _states(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, None, "2024-01-30 00:00:00", "ok", None, i * 10) for i, s in enumerate((*usage.SOURCES, "other"))], store.STATE)
+
+
+_STATE_SQL = ", ".join(f"('{s}', {i * 10})" for i, s in enumerate((*usage.SOURCES, "other")))
+
+
+@query(f"""SELECT s.source, CAST(s.records AS BIGINT) AS records, 'ok' AS last_status, '2024-01-30 00:00:00' AS last_run_at, CAST(NULL AS VARCHAR) AS last_note,
+  coalesce(o.errors, 0) AS errors, coalesce(o.total, 0) AS total, o.errors / o.total * 100 AS err_pct
+FROM (VALUES {_STATE_SQL}) s(source, records) LEFT JOIN
+  (SELECT source, count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) AS total FROM base GROUP BY 1) o ON s.source = o.source""")
+def source_status(spark, sf_dir):
+    return reports.source_status(_states(spark), usage.base(spark, sf_dir))
+
+
+@query("SELECT source, count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) AS total, count(*) FILTER (WHERE outcome = 'error') / count(*) * 100 AS err_pct FROM base GROUP BY 1")
+def error_rate(spark, sf_dir):
+    return reports.outcomes(usage.base(spark, sf_dir)).withColumn("err_pct", F.col("errors") / F.col("total") * 100)
+
+
+def _audit_sql(where: str = "TRUE") -> str:
+    return f"""audited AS (
+  SELECT json_extract_string(raw, '$.sessionId') AS session_id, count(*) AS records, coalesce(string_agg(DISTINCT model_norm, ',' ORDER BY model_norm), '') AS models,
+    string_agg(DISTINCT billing, ',' ORDER BY billing) AS billings, round(sum(cost_usd), 9) AS cost_usd, min(ts) AS first_ts, max(ts) AS last_ts
+  FROM ledger WHERE source = 'claude-code' AND json_extract_string(raw, '$.sessionId') IS NOT NULL AND {where} GROUP BY 1
+), flagged AS (
+  SELECT a.*, CASE WHEN e.session IS NULL THEN 'expired/missing' WHEN e.base_url <> '' THEN 'iu (ca)' ELSE 'max (c)' END AS live_label,
+    contains(billings, ',') AS multi_billing, e.session IS NOT NULL AND billings <> CASE WHEN e.base_url <> '' THEN 'iu' ELSE 'max' END AS mismatch
+  FROM audited a LEFT JOIN env e ON a.session_id = e.session
+)"""
+
+
+def _audit(spark: SparkSession, sf_dir: str, days: float | None = None, session: str | None = None) -> DataFrame:
+    return _rounded(reports.billing_audit(usage.ledger(spark, sf_dir), usage.session_env(spark, sf_dir), days, session, usage.NOW))
+
+
+def _audited(name: str, select: str, run: Query, where: str = "TRUE") -> None:
+    QUERIES[name], ORACLES[name] = run, f"WITH {usage.SQL.strip()}, {_audit_sql(where)}\n{select}"
+
+
+_audited("billing_audit", "SELECT * FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir))
+_audited("billing_audit_since", "SELECT * FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir, 3), "ts >= '2024-01-28 00:00:00'")
+_audited("billing_audit_session", "SELECT * FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir, None, "s12"), "json_extract_string(raw, '$.sessionId') = 's12'")
+_audited("audit_flags", "SELECT session_id, multi_billing, mismatch FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir).select("session_id", "multi_billing", "mismatch"))
+_audited("audit_live_label", "SELECT live_label, count(*) AS sessions, count(*) FILTER (WHERE multi_billing OR mismatch) AS flagged FROM flagged GROUP BY 1", lambda spark, sf_dir: _audit(spark, sf_dir).groupBy("live_label").agg(F.count("*").alias("sessions"), F.count_if(F.col("multi_billing") | F.col("mismatch")).alias("flagged")))
+
+_MATCHED = """(SELECT e.event_id, arg_min(w.tool, (w.end_ms - w.start_ms) * 1000000000 + w.seq) AS tool, arg_min(w.project, (w.end_ms - w.start_ms) * 1000000000 + w.seq) AS window_project
+  FROM events e JOIN windows w ON (epoch_us(e.ts) // 1000) BETWEEN w.start_ms AND w.end_ms GROUP BY 1)"""
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usage.events(spark, sf_dir).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return attributed(rows, usage.windows(spark, sf_dir), "event_id", "ts_ms")
+
+
+@query(f"SELECT e.event_id, m.tool, m.window_project FROM events e LEFT JOIN {_MATCHED} m ON e.event_id = m.event_id")
+def attribution_narrowest(spark, sf_dir):
+    return _attributed(spark, sf_dir).select("event_id", "tool", "window_project")
+
+
+@query(f"SELECT e.event_id FROM events e LEFT JOIN {_MATCHED} m ON e.event_id = m.event_id WHERE m.event_id IS NULL")
+def attribution_unmatched(spark, sf_dir):
+    return _attributed(spark, sf_dir).where("tool is null").select("event_id")
+
+
+@query(f"SELECT coalesce(m.tool, '(none)') AS key, {_SUMS} FROM ledger l LEFT JOIN {_MATCHED} m ON l.id = m.event_id WHERE outcome = 'ok' GROUP BY 1")
+def stats_by_attributed_tool(spark, sf_dir):
+    tools = _attributed(spark, sf_dir).select(F.col("event_id").alias("id"), "tool")
+    return _rounded(reports.stats(usage.ledger(spark, sf_dir).drop("sub_tool").join(tools, "id").withColumnRenamed("tool", "sub_tool"), "sub_tool"))
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose keys repeat: one for each user and source."""
+    return usage.ledger(spark, sf_dir).withColumns({"source_id": F.col("session_id"), "seq": F.lpad(F.col("id").cast("string"), 12, "0")})
+
+
+@query("SELECT source, session_id AS source_id, arg_max(input_tokens, id) AS input_tokens, arg_max(ts, id) AS ts FROM base GROUP BY 1, 2")
+def dedupe_last_wins(spark, sf_dir):
+    return store.latest(_keyed(spark, sf_dir)).select("source", "source_id", "input_tokens", "ts")
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A ledger of the even events, and a batch of those that 3 divides, with other tokens."""
+    rows = usage.ledger(spark, sf_dir)
+    batch = rows.where("id % 3 = 0").drop("id", "synced_at", "ingested_at").withColumn("input_tokens", F.col("input_tokens") + 1)
+    return store.align(rows.where("id % 2 = 0"), store.LEDGER), batch
+
+
+@query("""SELECT source, source_id, CASE WHEN id % 2 = 0 THEN id ELSE (SELECT max(id) FROM base WHERE id % 2 = 0) END AS least_id, CASE WHEN id % 3 = 0 THEN input_tokens + 1 ELSE input_tokens END AS input_tokens,
+  CASE WHEN id % 3 = 0 THEN '2024-01-31 00:00:00' ELSE ingested_at END AS ingested_at, CASE WHEN id % 2 = 0 THEN synced_at END AS synced_at
+FROM base WHERE id % 2 = 0 OR id % 3 = 0""")
+def upsert_merge(spark, sf_dir):
+    old, batch = _halves(spark, sf_dir)
+    top = old.agg(F.max("id").alias("top"))
+    put = store.merged(old, batch, "2024-01-31 00:00:00").join(F.broadcast(top))
+    return put.select("source", "source_id", F.least("id", "top").alias("least_id"), "input_tokens", "ingested_at", "synced_at")
+
+
+@query("SELECT source, count(*) AS new_rows FROM base WHERE id % 3 = 0 AND id % 2 <> 0 GROUP BY 1")
+def upsert_new_rows(spark, sf_dir):
+    old, batch = _halves(spark, sf_dir)
+    return store.new_rows(old, batch).groupBy("source").agg(F.count("*").alias("new_rows"))
+
+
+@query("SELECT session_id AS session, arg_max(project, id) AS base_url FROM base GROUP BY 1")
+def session_env_last_wins(spark, sf_dir):
+    return usage.base(spark, sf_dir).groupBy(F.col("session_id").alias("session")).agg(F.max_by("project", "id").alias("base_url"))
+
+
+_ELIGIBLE = "(synced_at IS NULL OR ingested_at > synced_at)"
+
+
+@query(f"SELECT id, source, source_id FROM base WHERE {_ELIGIBLE}")
+def sync_eligible(spark, sf_dir):
+    return sync.eligible(usage.base(spark, sf_dir)).select("id", "source", "source_id")
+
+
+@query(f"SELECT id, source, source_id FROM base WHERE {_ELIGIBLE} ORDER BY id LIMIT 500")
+def sync_page(spark, sf_dir):
+    return sync.pages(usage.base(spark, sf_dir), most=1).select("id", "source", "source_id")
+
+
+@query(f"SELECT id, source, source_id, model_norm, billing, cost_source, json_extract_string(raw, '$.sessionId') AS session_id, CAST(input_tokens AS VARCHAR) AS input_tokens FROM ledger WHERE {_ELIGIBLE}")
+def sync_payload(spark, sf_dir):
+    sent = sync.payload(store.align(sync.eligible(usage.ledger(spark, sf_dir)), store.LEDGER))
+    field = lambda path: F.get_json_object("body", f"$.{path}")
+    return sent.select("id", "source", "source_id", field("model_norm").alias("model_norm"), field("billing").alias("billing"), field("cost_source").alias("cost_source"), field("raw.sessionId").alias("session_id"), field("input_tokens").alias("input_tokens"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 500")
+def incremental_since_cursor(spark, sf_dir):
+    return usage.events(spark, sf_dir).where("event_id > 500").select("event_id", "event_type")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS from_millis, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS from_seconds FROM events")
+def epoch_to_iso(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    return usage.events(spark, sf_dir).select("event_id", iso_millis(F.unix_millis(at)).alias("from_millis"), iso_seconds(F.unix_seconds(at).cast("double")).alias("from_seconds"))
+
+
+@query("SELECT event_id, greatest(0, floor((value - 50) * 1000 + 0.5)) AS duration_ms FROM events")
+def duration(spark, sf_dir):
+    return usage.events(spark, sf_dir).select("event_id", duration_ms(F.lit(50.0), F.col("value")).alias("duration_ms"))
+
+
+@query("SELECT id, json_extract_string(raw, '$.sessionId') AS session_id FROM base WHERE json_extract_string(raw, '$.sessionId') IS NOT NULL")
+def raw_json_extract(spark, sf_dir):
+    return reports.sessions(usage.base(spark, sf_dir)).select("id", "session_id")
+
+
+@query("SELECT source, count(*) AS records_total FROM base GROUP BY 1")
+def state_records_total(spark, sf_dir):
+    return store.record_totals(usage.base(spark, sf_dir))
+
+
+@query("SELECT CAST(event_id % 6 AS BIGINT) AS source_number, max((epoch_us(ts) // 1000)) AS last_cursor FROM events GROUP BY 1")
+def source_cursor_max(spark, sf_dir):
+    rows = usage.events(spark, sf_dir)
+    return rows.groupBy((F.col("event_id") % 6).alias("source_number")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_cursor"))
+
+
+@query("SELECT id, ts FROM base WHERE ts >= '2024-01-28 00:00:00'")
+def recent_records(spark, sf_dir):
+    return usage.base(spark, sf_dir).where(F.col("ts") >= cutoff(usage.NOW, 3)).select("id", "ts")

@@ -4,8 +4,9 @@ Equal sets are found by signature first, and only one of them goes on. Tokens ar
 hash but for the frequent ones, which come last, rarest first. Two linked sets share at least
 ``margin(n)`` tokens of their extended prefixes, so a set that shares fewer of its own with any
 others is done; the rest meet in index lists, read by set size: sets whose size rules a link out
-are skipped as blocks. A pair is a candidate if it shares enough tokens over all short lists;
-in a long list every set is tied to the first of its run instead. What is so tied is a group, and
+are skipped as blocks. A pair is a candidate if it shares enough tokens over all short lists.
+Sets with as many tokens in long lists meet again among themselves, where a long list ties every
+set to the first of its run instead. What is so tied is a group, and
 a group's sets are compared exactly, in pairs of blocks of bounded size. There a set's overlaps
 with all others are derived from those of the most similar set already answered, by the postings
 of the few tokens that the two do not share.
@@ -34,7 +35,7 @@ SHINGLE = 3
 PERCENT = 90
 #: Sets in one block; a task compares two blocks at a time.
 BLOCK = 128
-#: Sets in an index list whose pairs are counted; in longer ones sets are tied to the first of their run.
+#: Sets in an index list whose pairs are counted; a longer one is a long list.
 SHORT = 16
 TIED = 1 << 40
 #: Tokens counted together by a task, how often one must occur among them to be frequent, and how many can be.
@@ -195,12 +196,16 @@ def sharing(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.join(counts, "node").where(F.col("n") >= least).drop("n")
 
 
-def _candidates(batches: Iterator, percent: int) -> Iterator:
-    """Pairs by index list: how many tokens of short lists they share, or that a long list ties them."""
+def _candidates(batches: Iterator, percent: int, tie: bool) -> Iterator:
+    """Pairs by index list: how many tokens of short lists they share.
+
+    In a long list sets are tied to the first of their run, or else, with no partner, are only
+    told how many of their tokens are in long lists.
+    """
     import pyarrow as pa
 
     token_now, short, long, first, reach = None, [], False, None, -1
-    found: dict[tuple[int, int, int], int] = {}
+    found: dict[tuple[int, int | None, int], int] = {}
 
     def paired() -> None:
         for k, (n, v) in enumerate(short):
@@ -210,6 +215,9 @@ def _candidates(batches: Iterator, percent: int) -> Iterator:
 
     def tied(n: int, v: int) -> None:
         nonlocal first, reach
+        if not tie:
+            found[v, None, 0] = found.get((v, None, 0), 0) + 1
+            return
         if first is not None and reach * 100 >= n * percent:
             found[first, v, 0] = TIED
         else:
@@ -253,11 +261,29 @@ def _candidates(batches: Iterator, percent: int) -> Iterator:
         yield out()
 
 
+def _pairs(nodes: DataFrame, percent: int, tie: bool) -> DataFrame:
+    rows = index_lists(nodes, "size", "node").mapInArrow(lambda b: _candidates(b, percent, tie), "a long, b long, size long, n long")
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+
+
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) such that any linked pair is connected by them."""
-    pairs = index_lists(nodes, "size", "node").mapInArrow(lambda b: _candidates(b, percent), "a long, b long, size long, n long")
-    summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    return summed.where(F.col("n") >= F.floor(F.col("size") / 20) + 1).select("a", "b")
+    """Edges (a, b) such that any linked pair is connected by them.
+
+    A pair that shares ``margin`` tokens in all shares so many less those of either set in long
+    lists in the short ones. Only if both have that many in long lists may they share no other;
+    such sets meet again among themselves, where long lists tie them.
+    """
+    least = F.floor(F.col("size") / 20) + 1
+    counted = stored(_pairs(nodes, percent, False), "pairs")
+    in_long = counted.where("b is null").select(F.col("a").alias("node"), F.col("n").alias("long"))
+    pairs = counted.where("b is not null")
+    for side in ("a", "b"):
+        pairs = pairs.join(in_long.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
+    spared = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    near = pairs.where((spared < least) & (F.col("n") >= least - spared)).select("a", "b")
+    heavy = nodes.join(in_long, "node").where(F.col("long") >= F.floor(F.ceil(F.col("size") * percent / 100) / 20) + 1).drop("long")
+    tied = _pairs(stored(heavy, "heavy"), percent, True).where(F.col("n") >= least).select("a", "b")
+    return near.unionByName(tied)
 
 
 def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:

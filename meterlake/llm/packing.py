@@ -111,7 +111,7 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
         return rows
 
     for given in batches:
-        for doc_id, ids in zip(given.column(0).to_pylist(), tokens.packed(given.column(1).to_pylist(), words), strict=True):
+        for doc_id, ids in zip(given.column(0).to_pylist(), tokens.packed(given.column(1), words), strict=True):
             ids += end
             n = len(ids) // 4
             for start in range(0, n, window):

@@ -2,26 +2,32 @@
 
 The vocabulary's pattern always parts a text before a single space that stands between two
 characters that are no white space, around a lone line feed between such characters, and between
-letters or digits and marks after them. So words can be encoded once each and their ids joined. New words
-go to the library together, one to a line, as the ids of a line feed tell them apart again.
-Where a space has white space beside it (or begins or ends a text), the words around it are
-encoded together, as they stand.
+letters or digits and marks after them. So words can be encoded once each: texts are split and
+their words numbered by Arrow, each distinct word goes to the library once, and the ids of the
+texts are gathered from those of the words. New words go to the library together, one to a line,
+as the ids of a line feed tell them apart again. A text where a space has white space beside it,
+or that begins with one, is encoded in the pieces between safe spaces instead.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps; beyond it a new memo starts, and takes over from the last what comes again.
 MEMO_WORDS = 900_000
-#: Characters of the texts whose words are looked up together.
-GROUP_CHARS = 1_000_000
+#: Bytes of the texts whose words are looked up together, and words that go to the library as one text.
+GROUP_BYTES, LINES = 16 << 20, 200
 MARKED = re.compile(r"([^\W_]+)([^\w\s]+)").fullmatch
 WHITE = re.compile(r"\s").search
 
@@ -30,6 +36,7 @@ class Words:
     """The ids of words, as little-endian 32-bit integers: with the space before them, and without."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,29 +45,40 @@ class Words:
         self.spaced: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.bare: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _encoded_lines(self, words: list[str], before: str) -> Iterable[bytes]:
+    def _encoded_lines(self, words: list[str], before: str) -> Iterator[bytes]:
         """The ids of words without white space, each on a line of its own."""
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            text = "".join(["\n" + before + w for w in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            starts = (ids == np.frombuffer(self.line, "<u4")[0]).nonzero()[0]
+        groups = [words[at : at + LINES] for at in range(0, len(words), LINES)]
+        texts = ["".join(["\n" + before + w for w in some]) for some in groups]
+        line = np.frombuffer(self.line, "<u4")[0]
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            starts = (ids == line).nonzero()[0]
             if len(starts) != len(some):
                 yield from map(self.encode, [before + w for w in some])
                 continue
-            packed_ids, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            packed, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
             for a, b in zip(bounds, bounds[1:], strict=False):
-                yield packed_ids[a + 4 : b]
+                yield packed[a + 4 : b]
 
     def _add(self, into: dict, words: Iterable[str], before: str) -> None:
         new = [w for w in words if w not in into]
         into.update(zip(new, self._encoded_lines(new, before), strict=True))
 
+    def start(self, word: str) -> bytes:
+        """The ids of a text's first word."""
+        found = self.first.get(word)
+        if found is None:
+            if len(self.first) > 50_000:
+                self.first.clear()
+            found = self.first[word] = self.encode(word)
+        return found
+
     def learn(self, words: set[str]) -> None:
         """Take in words that follow a space; ``None`` marks those that can't be encoded alone."""
         if len(self.spaced) + len(self.bare) > MEMO_WORDS:
@@ -108,33 +126,61 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def packed(texts: Iterable[str | None], words: Words) -> Iterator[bytes]:
-    """The ids of whole texts, 4 little-endian bytes each; null is the empty text."""
-    group: list[list[str]] = []
-    chars = 0
-    for text in texts:
-        group.append((text or "").split(" "))
-        chars += len(text or "")
-        if chars > GROUP_CHARS:
-            yield from _packed(group, words)
-            group, chars = [], 0
-    yield from _packed(group, words)
-
-
-def _packed(group: list[list[str]], words: Words) -> Iterator[bytes]:
-    words.learn(set().union(*[w[1:] for w in group]))
-    known = words.spaced.__getitem__
-    for text in group:
-        first = text[0]
-        if not first or first[-1].isspace():
-            yield _careful(first, text[1:], words)
-            continue
-        ids = [*map(known, text[1:])]
-        ids.insert(0, words.encode(first))
-        try:
-            yield b"".join(ids)
-        except TypeError:  # a None among them
-            yield _careful(first, text[1:], words)
+def encoded(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of whole texts, some texts at a time: all their ids, and where each text's begin and the last's end."""
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast("large_string"), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES)))
+        yield _encoded(texts.slice(at, stop - at), words)
+        at = stop
+
+
+def packed(texts: pa.Array, words: Words) -> Iterator[bytes]:
+    """The ids of each text, 4 little-endian bytes an id; null is the empty text."""
+    for ids, at in encoded(texts, words):
+        data, bounds = ids.tobytes(), (4 * at).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield data[a:b]
+
+
+def _encoded(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow.compute as pc
+
+    split = pc.split_pattern(texts, " ")
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    numbered = split.flatten().dictionary_encode()
+    number = numbered.indices.to_numpy(zero_copy_only=False).copy()
+    distinct = numbered.dictionary.to_pylist()
+    heads = [distinct[k] for k in number[first[:-1]].tolist()]
+    own = np.ones(len(number), bool)
+    own[first[:-1]] = False
+    used = np.zeros(len(distinct), bool)
+    used[number[own]] = True
+    words.learn({w for w, u in zip(distinct, used.tolist(), strict=True) if u})
+    known = words.spaced
+    ids = [known[w] if u else b"" for w, u in zip(distinct, used.tolist(), strict=True)]
+    loose = np.array([x is None for x in ids], bool)
+    odd = np.add.reduceat(loose[number] & own, first[:-1]) > 0
+    odd |= np.array([not h or h[-1].isspace() for h in heads], bool)
+    for k in odd.nonzero()[0].tolist():  # such a text comes whole in the place of its first word
+        heads[k] = _careful(*_parted(texts[k].as_py()), words)
+    ids += [h if o else words.start(h) for h, o in zip(heads, odd.tolist(), strict=True)]
+    number[first[:-1]] = len(distinct) + np.arange(len(heads))
+    number[np.repeat(odd, np.diff(first)) & own] = len(ids)
+    ids.append(b"")
+    lengths = np.array([0 if x is None else len(x) // 4 for x in ids], np.int32)
+    after = np.concatenate([[0], np.cumsum(lengths[number], dtype=np.int64)])
+    return np.frombuffer(b"".join(map(ids.__getitem__, number.tolist())), "<u4"), after[first]
+
+
+def _parted(text: str) -> tuple[str, list[str]]:
+    first, *rest = text.split(" ")
+    return first, rest
 
 
 def _careful(held: str, rest: list[str], words: Words) -> bytes:

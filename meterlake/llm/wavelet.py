@@ -190,7 +190,7 @@ def _written(batches: Iterator, folder: str, path: str, end: int) -> Iterator:
         return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": target, "n_docs": len(doc_ids), "n_tokens": total}])
 
     for batch in batches:
-        for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.packed(batch.column(1).to_pylist(), words), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.packed(batch.column(1), words), strict=True):
             ids += last
             held.append(ids)
             doc_ids.append(doc_id)

@@ -22,26 +22,35 @@ def attributed(rows: DataFrame, windows: DataFrame, key: str, millis: str) -> Da
     ``windows`` has tool, project, start_ms, end_ms and seq; of equally narrow ones the first by
     seq is taken. Both bounds belong to a window. ``key`` is unique in ``rows``.
     """
-    span = F.col("end_ms") - F.col("start_ms")
+    windows = _named(windows)
+    span = F.col("_end") - F.col("_start")
     level = F.lit(LEVELS - 1)
     for k in reversed(range(LEVELS)):
         level = F.when(span <= BUCKET_MS * WIDE ** (k + 1) // 2, k).otherwise(level)
     size = (F.lit(BUCKET_MS) * F.pow(F.lit(WIDE), F.col("level"))).cast("long")
-    buckets = F.sequence(F.floor(F.col("start_ms") / size), F.floor(F.col("end_ms") / size))
-    spread = windows.where("start_ms <= end_ms").withColumn("level", level).select("*", F.explode(buckets).alias("bucket"))
+    buckets = F.sequence(F.floor(F.col("_start") / size), F.floor(F.col("_end") / size))
+    spread = windows.where("_start <= _end").withColumn("level", level).select("*", F.explode(buckets).alias("bucket"))
     times = rows.where(F.col(millis).isNotNull()).select(key, millis)
     used = [r[0] for r in spread.select("level").distinct().collect()]  # at most LEVELS
     at = [F.struct(F.lit(k).alias("level"), F.floor(F.col(millis) / (BUCKET_MS * WIDE**k)).alias("bucket")) for k in sorted(used)]
     if not at:
         return rows.withColumns({"tool": F.lit(None).cast("string"), "window_project": F.lit(None).cast("string")})
     places = times.select(key, millis, F.inline(F.array(*at)))
-    inside = places.join(spread, ["level", "bucket"]).where(F.col(millis).between(F.col("start_ms"), F.col("end_ms")))
-    best = inside.groupBy(key).agg(F.min_by(F.struct("tool", "project"), F.struct(span, "seq")).alias("w"))
-    return rows.join(best, key, "left").select(*rows.columns, F.col("w.tool").alias("tool"), F.col("w.project").alias("window_project"))
+    inside = places.join(spread, ["level", "bucket"]).where(F.col(millis).between(F.col("_start"), F.col("_end")))
+    return _narrowest(rows, inside, key)
+
+
+def _named(windows: DataFrame) -> DataFrame:
+    """Windows under names that no column of the rows has."""
+    return windows.select(*[F.col(c).alias(n) for c, n in (("tool", "_tool"), ("project", "_project"), ("start_ms", "_start"), ("end_ms", "_end"), ("seq", "_seq"))])
+
+
+def _narrowest(rows: DataFrame, inside: DataFrame, key: str) -> DataFrame:
+    best = inside.groupBy(key).agg(F.min_by(F.struct("_tool", "_project"), F.struct(F.col("_end") - F.col("_start"), "_seq")).alias("_w"))
+    return rows.join(best, key, "left").select(*rows.columns, F.col("_w._tool").alias("tool"), F.col("_w._project").alias("window_project"))
 
 
 def attributed_nested(rows: DataFrame, windows: DataFrame, key: str, millis: str) -> DataFrame:
     """The same by comparing every row with every window; for small tables and tests."""
-    inside = rows.join(windows, F.col(millis).between(F.col("start_ms"), F.col("end_ms")))
-    best = inside.groupBy(key).agg(F.min_by(F.struct("tool", windows["project"]), F.struct(F.col("end_ms") - F.col("start_ms"), "seq")).alias("w"))
-    return rows.join(best, key, "left").select(*rows.columns, F.col("w.tool").alias("tool"), F.col("w.project").alias("window_project"))
+    named = _named(windows)
+    return _narrowest(rows, rows.join(named, F.col(millis).between(F.col("_start"), F.col("_end"))), key)

@@ -63,6 +63,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     return easy.unionByName(rest.select(key, *picked, *columns))
 
 
+def chosen_rows(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``key`` is in the one column of ``keys`` or not (semi or anti).
+
+    Rows travel as one struct, so that no column name of theirs can clash.
+    """
+    rows, found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("row_key")), keys.toDF("found_key")
+    return rows.join(found, F.col("row_key").eqNullSafe(F.col("found_key")), how).select("row.*")
+
+
 def whole(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import stored, whole
+from meterlake.llm.common import chosen_rows, stored, whole
 
 WINDOW = 10
 MAX_BROADCAST = 300_000
@@ -146,6 +146,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit, with their own columns."""
-    hits = hits_by_document(docs, items, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    return docs.join(hits, same, "left_anti")
+    hits = hits_by_document(docs, items, window).select(F.struct("doc_id", "text_key"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    return chosen_rows(docs, key, hits, "left_anti")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import lookup, stored
+from meterlake.llm.common import chosen_rows, lookup, stored
 from meterlake.llm.graph import components
 
 SHINGLE = 3
@@ -440,6 +440,11 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 
 def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, one of each; all columns kept."""
-    kept = join(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose doc_id is the least of its class, all columns kept.
+
+    Rows that repeat such a doc_id and text are returned once.
+    """
+    classes = stored(join(docs, width, percent).select("doc_id", "component_id"), "classes")
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    kept = chosen_rows(docs, F.col("doc_id").cast("long"), first.distinct(), "left_semi")
+    return kept if first.count() == first.distinct().count() else kept.dropDuplicates(["doc_id", "text"])

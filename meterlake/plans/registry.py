@@ -180,26 +180,28 @@ def dedupe_last_wins(spark, sf_dir):
     return store.latest(_keyed(spark, sf_dir)).select("source", "source_id", "input_tokens", "ts")
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A ledger of the even events, and a batch of those that 3 divides, with other tokens."""
+def _before_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A ledger without the signups, and a batch of signups, which are new, and of clicks, which come again with more tokens."""
     rows = usage.ledger(spark, sf_dir)
-    batch = rows.where("id % 3 = 0").drop("id", "synced_at", "ingested_at").withColumn("input_tokens", F.col("input_tokens") + 1)
-    return store.align(rows.where("id % 2 = 0"), store.LEDGER), batch
+    batch = rows.where("sub_tool in ('signup', 'click')").drop("id", "synced_at", "ingested_at").withColumn("input_tokens", F.col("input_tokens") + 1)
+    return store.align(rows.where("sub_tool is distinct from 'signup'"), store.LEDGER), batch
 
 
-@query("""SELECT source, source_id, CASE WHEN id % 2 = 0 THEN id ELSE (SELECT max(id) FROM base WHERE id % 2 = 0) END AS least_id, CASE WHEN id % 3 = 0 THEN input_tokens + 1 ELSE input_tokens END AS input_tokens,
-  CASE WHEN id % 3 = 0 THEN '2024-01-31 00:00:00' ELSE ingested_at END AS ingested_at, CASE WHEN id % 2 = 0 THEN synced_at END AS synced_at
-FROM base WHERE id % 2 = 0 OR id % 3 = 0""")
+@query("""SELECT source, source_id, CASE WHEN sub_tool = 'signup' THEN (SELECT max(id) FROM base WHERE sub_tool IS DISTINCT FROM 'signup') ELSE id END AS least_id,
+  CASE WHEN sub_tool IN ('signup', 'click') THEN input_tokens + 1 ELSE input_tokens END AS input_tokens,
+  CASE WHEN sub_tool IN ('signup', 'click') THEN '2024-01-31 00:00:00' ELSE ingested_at END AS ingested_at, CASE WHEN sub_tool IS DISTINCT FROM 'signup' THEN synced_at END AS synced_at
+FROM base""")
 def upsert_merge(spark, sf_dir):
-    old, batch = _halves(spark, sf_dir)
+    old, batch = _before_and_batch(spark, sf_dir)
     top = old.agg(F.max("id").alias("top"))
     put = store.merged(old, batch, "2024-01-31 00:00:00").join(F.broadcast(top))
-    return put.select("source", "source_id", F.least("id", "top").alias("least_id"), "input_tokens", "ingested_at", "synced_at")
+    new = F.col("id") > F.col("top")
+    return put.select("source", "source_id", F.when(new, F.col("top")).otherwise(F.col("id")).alias("least_id"), "input_tokens", "ingested_at", "synced_at")
 
 
-@query("SELECT source, count(*) AS new_rows FROM base WHERE id % 3 = 0 AND id % 2 <> 0 GROUP BY 1")
+@query("SELECT source, count(*) AS new_rows FROM base WHERE sub_tool = 'signup' GROUP BY 1")
 def upsert_new_rows(spark, sf_dir):
-    old, batch = _halves(spark, sf_dir)
+    old, batch = _before_and_batch(spark, sf_dir)
     return store.new_rows(old, batch).groupBy("source").agg(F.count("*").alias("new_rows"))
 
 

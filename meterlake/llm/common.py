@@ -30,8 +30,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path under the shared root; nothing exists there yet."""
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared root; nothing exists there yet."""
+    return f"{shared_root(spark)}/meterlake-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what the application has stored in the shared folder; results that read it must be used before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/meterlake-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -63,6 +69,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     return easy.unionByName(rest.select(key, *picked, *columns))
 
 
+#: Rows in an Arrow batch: with texts in them, Spark's 10,000 can be hundreds of MB in a worker and as much beside the heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def chosen_rows(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose ``key`` is in the one column of ``keys`` or not (semi or anti).
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import chosen_rows, lookup, stored
+from meterlake.llm.common import chosen_rows, lookup, small_batches, stored
 from meterlake.llm.graph import components
 
 SHINGLE = 3
@@ -416,6 +416,7 @@ def block_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int
 
 def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: the size of its set, its class and its number of links."""
+    small_batches(docs.sparkSession)
     order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, width))
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = stored(given.mapInArrow(lambda b: _described(b, order.value, width, percent), "doc_id long, node long, size long, prefix binary"), "sets")

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.llm.common import small_batches
+
 UNKNOWN = "und"
 MAX_TRAINING_ROWS = 4000
 BUCKETS = 2048
@@ -126,6 +128,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     """Fit on labelled documents that are not held out."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     names = sorted(counts)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
+from meterlake.llm.common import small_batches
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -134,6 +135,7 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """One row per piece of a document, with its sequence and its place in that."""
+    small_batches(docs.sparkSession)
     path = path or tokens.default_path()
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         lambda batches: _packed(batches, path, window, separator), SCHEMA

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import files, tokens
-from meterlake.llm.common import shared_folder, stored, whole
+from meterlake.llm.common import shared_folder, small_batches, stored, whole
 
 END = 2
 MAGIC = b"WAVELET1"
@@ -205,6 +205,7 @@ def _written(batches: Iterator, folder: str, path: str, end: int) -> Iterator:
 
 def write_shards(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """Write all documents in ascending doc_id order; a stored row per shard file, whose name has its place."""
+    small_batches(docs.sparkSession)
     folder, path = shared_folder(docs.sparkSession, "wavelet"), path or tokens.default_path()
     keyed = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
     ordered = keyed.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -25,7 +25,7 @@ if TYPE_CHECKING:
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps; beyond it a new memo starts, and takes over from the last what comes again.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 #: Bytes of the texts whose words are looked up together, and words that go to the library as one text.
 GROUP_BYTES, LINES = 4 << 20, 200
 MARKED = re.compile(r"([^\W_]+)([^\w\s]+)").fullmatch

@@ -6,7 +6,7 @@ corpus. Spark counts the n-grams of all documents; the estimate needs those coun
 lower orders count distinct continuations. Each order is kept as a sorted array of n-gram keys (a
 collision-free hash: the number in base 40) beside the log probabilities and back-off weights.
 A document is rejected when its log perplexity leaves the band of its language, whose ends lie
-``SPREAD`` interquartile ranges beyond the quartiles over all documents of the language.
+``BELOW`` and ``ABOVE`` interquartile ranges beyond the quartiles over all documents of the language.
 
 Defined results: null text counts as empty and fails the base rules; a null language is a language
 of its own; a language with no n-grams accepts what passes the base rules; repeated rows are judged
@@ -29,8 +29,9 @@ ORDER = 4
 SYMBOLS = 40
 CELLS = SYMBOLS**ORDER
 SLICE = 1 << 20
-#: Interquartile ranges between a quartile and the end of the band.
-SPREAD = 6.0
+#: Interquartile ranges between a quartile and the lower and upper end of the band, by labels: a step
+#: further in from either would reject more documents labelled as good than as bad.
+BELOW, ABOVE = 2.5, 2.5
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Languages whose tables a task or worker keeps at a time.
@@ -272,7 +273,7 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def judged(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
+def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """One row per document with its counts, its perplexity, the band of its language and the verdict.
 
     The bands come from the documents that pass the base rules.
@@ -281,11 +282,11 @@ def judged(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     rows = stored(measured(docs, fit(docs)), "perplexity").withColumn("base_failed", base_failed())
     quartiles = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("q")).collect()  # a row for each language
-    wide = [(r["lang"], spread * (r["q"][1] - r["q"][0]), r["q"]) for r in bands if r["q"]]
+    wide = [(r["lang"], r["q"][1] - r["q"][0], r["q"]) for r in bands if r["q"]]
     lower, upper = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang, reach, q in wide:
+    for lang, range_, q in wide:
         here = F.col("lang").eqNullSafe(F.lit(lang))
-        lower, upper = F.when(here, q[0] - reach).otherwise(lower), F.when(here, q[1] + reach).otherwise(upper)
+        lower, upper = F.when(here, q[0] - below * range_).otherwise(lower), F.when(here, q[1] + above * range_).otherwise(upper)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("log_lower"), F.col("log_upper")), F.lit(True))
     return rows.withColumns({"log_lower": lower, "log_upper": upper}).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -294,12 +295,12 @@ def judged(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     )
 
 
-def passing(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
+def passing(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
     Rows with the same doc_id and text are judged alike and each kept; a hash of the text tells
     others with the same doc_id apart.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    kept = judged(docs.select(key.alias("doc_id"), "lang", "text"), spread).where("kept").select("doc_id").distinct()
+    kept = judged(docs.select(key.alias("doc_id"), "lang", "text"), below, above).where("kept").select("doc_id").distinct()
     return chosen_rows(docs, key, kept, "left_semi")

@@ -6,7 +6,7 @@ corpus. Spark counts the n-grams of all documents; the estimate needs those coun
 lower orders count distinct continuations. Each order is kept as a sorted array of n-gram keys (a
 collision-free hash: the number in base 40) beside the log probabilities and back-off weights.
 A document is rejected when its log perplexity leaves the band of its language, whose ends lie
-``BELOW`` and ``ABOVE`` interquartile ranges beyond the quartiles over all documents of the language.
+``BELOW`` and ``ABOVE`` interquartile ranges beyond the quartiles over all distinct texts of the language.
 
 Defined results: null text counts as empty and fails the base rules; a null language is a language
 of its own; a language with no n-grams accepts what passes the base rules; repeated rows are judged
@@ -32,6 +32,8 @@ SLICE = 1 << 20
 #: Interquartile ranges between a quartile and the lower and upper end of the band, by labels: a step
 #: further in from either would reject more documents labelled as good than as bad.
 BELOW, ABOVE = 2.5, 2.5
+#: The least interquartile range that a band is built on, for languages of few or nearly equal texts.
+LEAST_RANGE = 0.005
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Languages whose tables a task or worker keeps at a time.
@@ -253,7 +255,7 @@ def measured(docs: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
         holder = shared.value
         for batch in batches:
             rows, losses = [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
                 rows.append(base_counts(data))
                 total, n = 0.0, 0
@@ -263,10 +265,11 @@ def measured(docs: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
                         n += len(keys)
                 losses.append(total / n if n else None)
             counts = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array(losses, pa.float64())], ["doc_id", "lang", *[x.split()[0] for x in BASE.split(", ")], "log_perplexity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts, pa.array(losses, pa.float64())], ["doc_id", "lang", "text_key", *[x.split()[0] for x in BASE.split(", ")], "log_perplexity"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return given.mapInArrow(some, f"doc_id long, lang string, {BASE}, log_perplexity double")
+    text = F.col("text").cast("string")
+    given = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64(text).alias("text_key"), text)
+    return given.mapInArrow(some, f"doc_id long, lang string, text_key long, {BASE}, log_perplexity double")
 
 
 def base_failed():
@@ -276,13 +279,14 @@ def base_failed():
 def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """One row per document with its counts, its perplexity, the band of its language and the verdict.
 
-    The bands come from the documents that pass the base rules.
+    The bands come from the distinct texts that pass the base rules, so that copies shift no quartile.
     """
     small_batches(docs.sparkSession)
     rows = stored(measured(docs, fit(docs)), "perplexity").withColumn("base_failed", base_failed())
     quartiles = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("q")).collect()  # a row for each language
-    wide = [(r["lang"], r["q"][1] - r["q"][0], r["q"]) for r in bands if r["q"]]
+    texts = rows.where("not base_failed").groupBy("lang", "text_key").agg(F.first("log_perplexity").alias("log_perplexity"))
+    bands = texts.groupBy("lang").agg(quartiles.alias("q")).collect()  # a row for each language
+    wide = [(r["lang"], max(r["q"][1] - r["q"][0], LEAST_RANGE), r["q"]) for r in bands if r["q"]]
     lower, upper = F.lit(None).cast("double"), F.lit(None).cast("double")
     for lang, range_, q in wide:
         here = F.col("lang").eqNullSafe(F.lit(lang))

@@ -3,8 +3,8 @@
 Equal sets are found by signature first, and only one of them goes on. Tokens are ordered by their
 hash but for the frequent ones, which come last, rarest first. Two linked sets share at least
 ``margin(n)`` tokens of their extended prefixes, so a set that shares fewer of its own with any
-others is done; the rest meet in index lists, read by set size: sets whose size rules a link out
-are skipped as blocks. A pair is a candidate if it shares enough tokens over all short lists.
+others is done; the rest meet in index lists, read whole and by set size: pairs whose sizes rule
+a link out are left out one by one, no blocks are skipped. A pair is a candidate if it shares enough tokens over all short lists.
 Sets with as many tokens in long lists meet again among themselves, where a long list ties every
 set to the first of its run instead. What is so tied is a group, and
 a group's sets are compared exactly, in pairs of blocks of bounded size. There a set's overlaps

@@ -6,7 +6,8 @@ letters or digits and marks after them. So words can be encoded once each: texts
 their words numbered by Arrow, each distinct word goes to the library once, and the ids of the
 texts are gathered from those of the words. New words go to the library together, one to a line,
 as the ids of a line feed tell them apart again. A text where a space has white space beside it,
-or that begins with one, is encoded in the pieces between safe spaces instead.
+or that begins with one, is encoded in the pieces between safe spaces instead. A text with the
+string of a special token goes to the library whole.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self.encode("\n")
         self.spaced: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
@@ -167,8 +168,12 @@ def _encoded(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     loose = np.array([x is None for x in ids], bool)
     odd = np.add.reduceat(loose[number] & own, first[:-1]) > 0
     odd |= np.array([not h or h[-1].isspace() for h in heads], bool)
+    special = np.zeros(len(texts), bool)
+    for token in words.special:
+        special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    odd |= special
     for k in odd.nonzero()[0].tolist():  # such a text comes whole in the place of its first word
-        heads[k] = _careful(*_parted(texts[k].as_py()), words)
+        heads[k] = words.encode(texts[k].as_py()) if special[k] else _careful(*_parted(texts[k].as_py()), words)
     ids += [h if o else words.start(h) for h, o in zip(heads, odd.tolist(), strict=True)]
     number[first[:-1]] = len(distinct) + np.arange(len(heads))
     number[np.repeat(odd, np.diff(first)) & own] = len(ids)

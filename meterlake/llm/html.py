@@ -1,10 +1,15 @@
-"""Main text of web pages by a maximum-scoring subsequence of words and tags.
+"""Main text of web pages by a maximum-scoring subsequence of words, tags and class words.
 
-A page is read as a sequence of words, each +1, and of tags, each at or below 0. How far below is
-learned from labelled pages, those that mark their main text by ``article`` or ``main``: a tag
-costs more the more it stands outside of that. One linear scan finds the contiguous region of the
-greatest sum, and the blocks in it are the text. Elements that are never main text (menus, forms,
-scripts and so on, by element, role, class or id) have no words.
+A page is read as a sequence of words, each +1, and of tags and words of class or id attributes,
+each at or below 0. How far below is learned from labelled pages, those that mark their main text
+by ``article`` or ``main``: a tag or class word costs more the more it stands outside of that. One
+linear scan finds the contiguous region of the greatest sum, and the blocks in it are the text.
+
+Elements that are never main text have no words: menus, forms, scripts and so on by element or
+role, hidden ones, and those with a class or id that consists of nothing but words for such things
+(``comment-list``, ``ad``, but not ``has-sidebar`` or ``long-form``, whose words only cost). They
+end where HTML has them end, with or without an end tag. An ``article`` in such an element is main
+text only if the page has no other.
 
 Only the weights come from a bounded sample, at most about ``MAX_LABELLED`` pages.
 
@@ -24,11 +29,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.llm.common import slices
+
 MAX_LABELLED = 2000
 #: Factors on the learned costs that are tried; of equally good ones the first is taken.
 SCALES = (4.0, 2.0, 8.0, 1.0, 16.0)
-#: Tags that get a learned weight, the most common ones.
-MAX_TAGS = 2000
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(
@@ -44,69 +49,115 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("nav aside footer header form button select option menu dialog head datalist fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
-# Words of a class or id that name what is no main text.
+# Words of a class or id that name what is no main text, and words that may stand beside them.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar aside menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe subscription signup "
     "share sharing social related recommended recommendations comment comments disqus reply replies respond reactions widget form search login pagination pager toolbar skip alert".split()
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+BESIDE = set("site page global top bottom left right main primary secondary box bar block list area section container wrapper inner outer item items link links button buttons post posts slot unit group row icons thread message text".split())
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MAIN = ("article", "main")
-#: Weights where no page is labelled.
+# Elements that need no end tag, with the start tags and parents' end tags that end them.
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "option": ("option",)}
+#: Weights where no page is labelled; a class word among ``HINTS`` that was not seen costs as much as ``HINT``.
 DEFAULT = {"article": -8.0, "main": -8.0, "div": -8.0, "body": -8.0, "section": -2.0, "table": -8.0, "ul": -4.0, "li": -1.0}
+HINT = -4.0
 
 
-def left_out(name: str, attributes: str) -> bool:
-    """Whether an element is no main text, whatever it holds."""
+def described(name: str, attributes: str) -> tuple[bool, list[str]]:
+    """Whether an element is no main text, whatever it holds, and the words of its class and id."""
     if name in NEVER:
-        return True
-    if not attributes or name in ("body", "html", *MAIN):
-        return False
+        return True, []
+    if not attributes:
+        return False, []
+    words: list[str] = []
+    out = False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in HINTS for w in HINT_WORD.findall(value)):
-            return True
-    return False
+            out = True
+        elif key == "role" and value.lower() in ROLES:
+            out = True
+        elif key in ("class", "id"):
+            for token in value.split():
+                parts = [w.lower() for w in WORD.findall(token)]
+                words += parts
+                out |= any(w in HINTS for w in parts) and all(w in HINTS or w in BESIDE for w in parts)
+    return out and name not in ("body", "html", *MAIN), words
+
+
+def ends(name: str, opening: str) -> bool:
+    """Whether a start tag ends an element that was left open."""
+    return opening in ITEMS.get(name, ()) or name in ("p", "head") and opening not in INLINE and opening not in VOID
 
 
 class Page:
-    """Events of a page: for each its tag (or None), its words, its block and whether it lies in main elements."""
+    """Events of a page: for each its tag or class word (or None), its words, its block and whether it lies in main elements.
+
+    A class word begins with a full stop.
+    """
 
     def __init__(self, source: str):
+        self._read(source, False)
+        if not self.seen and any(f"<{m}" in source.lower() for m in MAIN):
+            self._read(source, True)
+
+    def _read(self, source: str, inner: bool) -> None:
+        """With ``inner`` a main element counts wherever it is."""
         self.events: list[tuple[str | None, int, int, bool]] = []
         self.pieces: list[list[str]] = [[]]
-        self.at: list[tuple[int, str]] = []
-        gone, depth, inside = None, 0, 0
+        self.seen = False
+        inside, stack, gone = 0, [], 0  # open elements; from place ``gone`` on, they are no main text
+        held: Counter = Counter()
         for m in TOKEN.finditer(source):
             text = m["text"]
             if text is not None:
-                if gone is None:
+                if not gone:
                     self._text(html.unescape(text), inside > 0)
                 continue
             name = (m["name"] or m["name2"] or "").lower()
             if not name:
                 continue
-            closes = bool(m["end"] or m["end2"])
-            if gone is not None:
-                if name in MAIN and not closes:
-                    gone = None  # an element left open does not swallow the main text
-                else:
-                    if name == gone:
-                        depth += -1 if closes else 1
-                        if not depth:
-                            gone = None
+            if m["end"] or m["end2"]:
+                if held[name]:
+                    while held.subtract(stack[-1:]) or stack.pop() != name:
+                        pass
+                    if gone == len(stack) + 1:
+                        gone = 0
+                        continue
+                    gone = 0 if gone > len(stack) else gone  # what holds it has ended
+                if gone:
                     continue
-            elif not closes and name not in VOID and left_out(name, m["attrs"] or m["attrs2"] or ""):
-                gone, depth = name, 1
-                self._tag(name, inside > 0)
+                if name in MAIN:
+                    inside = max(0, inside - 1)
+                    self._tag(name, False)
+                elif name == "br":
+                    self._text(" ", inside > 0)
+                elif name not in INLINE:
+                    self._tag(name, inside > 0)
                 continue
+            while stack and ends(stack[-1], name):
+                held.subtract(stack[-1:])
+                stack.pop()
+            if gone > len(stack) or gone and (name == "main" or inner and name in MAIN):
+                gone = 0
+            out, words = (False, []) if gone else described(name, m["attrs"] or m["attrs2"] or "")
+            if name not in VOID and (out or name not in INLINE or gone and name == stack[gone - 1]):
+                stack.append(name)
+                held[name] += 1
+                if out:
+                    gone = len(stack)
+            if gone:
+                if out and name not in INLINE:
+                    self._tag(name, inside > 0)
+                continue
+            for w in words:
+                self.events.append(("." + w, 0, len(self.pieces) - 1, inside > 0))
             if name in MAIN:
-                inside = max(0, inside + (-1 if closes else 1))
+                self.seen = True
+                inside += 1
                 self._tag(name, False)
             elif name == "br":
                 self._text(" ", inside > 0)
@@ -136,7 +187,10 @@ class Page:
                 if here > best:
                     best, found = here, (start, block)
             elif here > 0:
-                here += weights.get(tag, other)
+                weight = weights.get(tag)
+                if weight is None:
+                    weight = other if tag[0] != "." else HINT if tag[1:] in HINTS else 0.0
+                here += weight
         return found
 
     def text(self, weights: dict[str, float], other: float) -> str:
@@ -172,21 +226,24 @@ def fit(pages: DataFrame, max_pages: int = MAX_LABELLED) -> tuple[dict[str, floa
 
     def seen(batches: Iterator) -> Iterator:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for source in batch.column(0).to_pylist():
                 counts.update((tag, inside) for tag, _, _, inside in Page(source).events if tag)
-        rows = [{"tag": t if len(t) < 20 else "", "inside": i, "n": n} for (t, i), n in counts.items()]
+        rows = [{"tag": t, "inside": i, "n": n} for (t, i), n in counts.items()]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("tag", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
 
     totals = sample.mapInArrow(seen, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n"))
-    common = totals.orderBy(F.desc("n"), "tag", "inside").limit(MAX_TAGS).collect()
-    costs = tag_costs({(r["tag"], r["inside"]): r["n"] for r in common})
+    costs = tag_costs({(r["tag"], r["inside"]): r["n"] for r in totals.collect()})  # as many as the sample has
 
     def right(batches: Iterator) -> Iterator:
-        for batch in batches:
-            pages = [Page(source) for source in batch.column(0).to_pylist()]
-            n = [sum(p.text({t: c * s for t, c in costs.items()}, -0.5 * s) == p.labelled() for p in pages) for s in SCALES]
-            yield pa.RecordBatch.from_arrays([pa.array(SCALES), pa.array(n, pa.int64())], ["scale", "n"])
+        scaled = [({t: c * s for t, c in costs.items()}, -0.5 * s) for s in SCALES]
+        n = [0] * len(SCALES)
+        for batch in slices(batches):
+            for source in batch.column(0).to_pylist():
+                page = Page(source)
+                wanted = page.labelled()
+                n = [k + (page.text(*given) == wanted) for k, given in zip(n, scaled, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(SCALES), pa.array(n, pa.int64())], ["scale", "n"])
 
     by_scale = {r["scale"]: r["n"] for r in sample.mapInArrow(right, "scale double, n long").groupBy("scale").agg(F.sum("n").alias("n")).collect()}
     best = max(SCALES, key=lambda s: by_scale.get(s, 0))
@@ -198,7 +255,7 @@ def extract(pages: DataFrame, fitted: tuple[dict[str, float], float]) -> DataFra
     import pyarrow as pa
 
     def some(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [Page(source or "").text(*fitted) for source in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

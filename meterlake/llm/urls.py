@@ -4,8 +4,9 @@ Everything is DataFrame expressions. The labelled URLs are those that a rule dec
 are grown level by level from histograms that Spark sums over binned features, so a level costs
 one small aggregate whatever the number of rows, and are applied as nested conditions.
 
-Only the fit is bounded: at most about ``MAX_LABELLED`` labelled rows, and of host suffixes the
-``MAX_SUFFIXES`` most frequent, which are counted over all URLs; others take the common value.
+Suffix statistics are counted over all URLs and cover all suffixes. Where the trees are fitted, a
+row's own label is left out of its suffix's share of blocked URLs. Only the fit is bounded: at most
+about ``MAX_LABELLED`` labelled rows.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and a
 verdict by its features; repeated rows are judged alike; without labelled rows the trees allow;
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import stored, whole
+from meterlake.llm.common import lookup, stored, whole
 
 #: Rules of the registered query: verdict, host and path.
 RULES = (
@@ -29,9 +30,11 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-MAX_RULES = 500
+#: Rules that are one expression; more are a table that is joined.
+RULES_INLINE = 200
 MAX_LABELLED = 20_000
-MAX_SUFFIXES = 1000
+#: Ruled URLs of a suffix that count as much as the prior share of blocked ones.
+PRIOR_ROWS, PRIOR = 10, 0.5
 BINS, TREES, DEPTH, RATE, RIDGE = 16, 8, 3, 0.4, 1.0
 FEATURES = (
     "length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "longest_label",
@@ -48,16 +51,28 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def matched(rules: tuple[tuple[str, str], ...], host: Column, path: Column) -> Column:
     """The longest fitting rule as a struct of rule and verdict, or null; of equals the first given."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
+    for verdict, rule in sorted(reversed(rules), key=lambda r: len(r[1])):
         domain, slash, rest = rule.partition("/")
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith(slash + rest)
         found = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
 
 
+def fitted(rows: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Rows of host and path with the longest fitting rule as ``fit``."""
+    if len(rules) <= RULES_INLINE:
+        return rows.withColumn("fit", matched(rules, F.col("host"), F.col("path")))
+    table = rows.sparkSession.createDataFrame([(rule.partition("/")[0], "".join(rule.partition("/")[1:]), rule, verdict, -k) for k, (verdict, rule) in enumerate(rules)], "domain string, start string, rule string, verdict string, place long")
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    places = rows.groupBy("host", "path").agg(F.count("*").alias("_n"))
+    found = places.select("host", "path", "_n", F.explode(ends).alias("domain")).join(table, "domain").where(F.col("path").startswith(F.col("start")))
+    best = found.groupBy("host", "path", "_n").agg(F.max(F.struct(F.length("rule").alias("n"), "place", "rule", "verdict")).alias("best"))
+    keyed = best.select(F.struct("host", "path").alias("_at"), "_n", F.struct("best.rule", "best.verdict").alias("fit"))
+    return lookup(rows.withColumn("_at", F.struct("host", "path")), keyed, "_at", "_n", rows.count()).drop("_at")
+
+
 def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
@@ -75,10 +90,11 @@ def described(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame
     url = F.col("url")
     host, path = host_and_path(url)
     rows = pages.select(F.col("page_id").cast("long"), whole("url").alias("url")).withColumns({"host": host, "path": path})
+    rows = fitted(rows, rules)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     labels = F.split("host", r"\.")
     return rows.select(
-        "page_id", "host", "path", matched(rules, F.col("host"), F.col("path")).alias("fit"),
+        "page_id", "host", "path", "fit",
         F.element_at(labels, -1).alias("suffix"),
         F.length(url).cast("double").alias("length"),
         _without(F.col("path"), "/").cast("double").alias("depth"),
@@ -93,21 +109,24 @@ def described(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame
     )
 
 
+def block_rate(blocked: Column, ruled: Column) -> Column:
+    """The smoothed share of blocked URLs among ruled ones."""
+    return (blocked + PRIOR_ROWS * PRIOR) / (ruled + PRIOR_ROWS)
+
+
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """For the most frequent host suffixes: their share of all URLs and the smoothed share of blocked among ruled ones."""
+    """For every host suffix how many URLs it has, how many a rule decides and how many a rule blocks."""
     blocked = F.count_if(F.col("fit.verdict") == "block")
-    ruled = F.count_if(F.col("fit").isNotNull())
-    counted = rows.groupBy("suffix").agg(F.count("*").alias("n"), blocked.alias("blocked"), ruled.alias("ruled"))
-    total = counted.agg(F.sum("n")).first()
-    n, prior = total[0] or 1, 0.5
-    top = counted.orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES)
-    return top.select("suffix", (F.col("n") / n).alias("suffix_share"), ((F.col("blocked") + 10 * prior) / (F.col("ruled") + 10)).alias("suffix_block_rate"))
+    return rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("fit").isNotNull()).alias("ruled"), blocked.alias("blocked"))
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """Rows with the suffix statistics; the joined table has at most ``MAX_SUFFIXES`` rows."""
-    joined = rows.join(F.broadcast(suffix_statistics(rows)), "suffix", "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("suffix_share", "suffix_block_rate")})
+    """Stored rows with the statistics of their suffixes; suffixes that many rows have are joined apart."""
+    counts = stored(suffix_statistics(rows), "suffixes")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    share = counts.withColumns({"weight": F.col("n"), "suffix_share": F.col("n") / total}).drop("n")
+    joined = lookup(rows, share, "suffix", "weight", total)
+    return joined.withColumn("suffix_block_rate", block_rate(F.col("blocked"), F.col("ruled")))
 
 
 @dataclass(frozen=True)
@@ -190,7 +209,9 @@ def fit(rows: DataFrame) -> tuple[float, list]:
         return -1.0, []
     share = int(min(1.0, MAX_LABELLED / n) * (1 << 20))
     chosen = ruled.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20)) < share)
-    sample = stored(chosen.select((F.col("fit.verdict") == "block").cast("double").alias("y"), *FEATURES), "urls")
+    y = (F.col("fit.verdict") == "block").cast("double")
+    others = chosen.withColumns({"y": y, "suffix_block_rate": block_rate(F.col("blocked") - y, F.col("ruled") - 1)})
+    sample = stored(others.select("y", *FEATURES), "urls")
     marks = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
     first = sample.agg(F.avg("y"), *[F.percentile_approx(f, marks) for f in FEATURES]).first()
     if first[0] is None:
@@ -200,16 +221,18 @@ def fit(rows: DataFrame) -> tuple[float, list]:
     base, trees = 0.0, []
     cuts = {f: sorted(set(q)) for f, q in zip(FEATURES, first[1:], strict=True)}
     binned = sample.withColumns({f"b_{f}": sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)) for f in FEATURES})
+    binned = binned.persist()
     for _ in range(TREES):
         p = 1 / (1 + F.exp(-scored(base, trees)))
         step = binned.withColumn("p", p).withColumns({"g": weight * (F.col("p") - F.col("y")), "h": weight * F.col("p") * (1 - F.col("p"))})
         trees.append(_grown(step, cuts))
+    binned.unpersist()
     return base, trees
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """One row per URL: its parts, the rule that decides it if any, and the verdict."""
-    rows = featured(described(pages, rules))
+    rows = featured(stored(described(pages, rules), "url-features"))
     base, trees = fit(rows)
     blocks = 1 / (1 + F.exp(-scored(base, trees)))
     own = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")

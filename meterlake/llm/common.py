@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where that setting is absent and one machine does all (tests) a temporary folder is made and set.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
@@ -25,6 +31,8 @@ def shared_root(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="meterlake-"))
     return context.getCheckpointDir().rsplit("/", 1)[0]
 
@@ -69,13 +77,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     return easy.unionByName(rest.select(key, *picked, *columns))
 
 
-#: Rows in an Arrow batch: with texts in them, Spark's 10,000 can be hundreds of MB in a worker and as much beside the heap.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Have Spark hand texts to Python in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches, which Spark bounds by bytes: what Python makes of one part is gone before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def chosen_rows(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import chosen_rows, lookup, small_batches, stored
+from meterlake.llm.common import chosen_rows, lookup, slices, stored
 from meterlake.llm.graph import components
 
 SHINGLE = 3
@@ -121,7 +121,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> Order:
             often = counts >= FREQUENT
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 held.append(shingles(text, width))
                 n += len(held[-1])
@@ -139,7 +139,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> Order:
 def _described(batches: Iterator, order: Order, width: int, percent: int) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         nodes, sizes, prefixes = [], [], []
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, width)
@@ -385,7 +385,7 @@ def _sets(batches: Iterator, width: int) -> Iterator:
     """Recomputes the sets of candidates and drops rows of another text with the same doc_id."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
         rows = []
         for node, group, size, copies, text in zip(*columns, strict=True):
@@ -416,7 +416,6 @@ def block_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int
 
 def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: the size of its set, its class and its number of links."""
-    small_batches(docs.sparkSession)
     order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, width))
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = stored(given.mapInArrow(lambda b: _described(b, order.value, width, percent), "doc_id long, node long, size long, prefix binary"), "sets")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import small_batches
+from meterlake.llm.common import slices
 
 UNKNOWN = "und"
 MAX_TRAINING_ROWS = 4000
@@ -128,7 +128,6 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     """Fit on labelled documents that are not held out."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     names = sorted(counts)
@@ -140,7 +139,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     sample = known.where(chosen < F.element_at(bound, F.col("lang"))).select("lang", F.col("text").cast("string").alias("text"))
 
     def measured(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
 
@@ -159,33 +158,28 @@ def _judged(batches: Iterator, model: Model | None) -> Iterator:
     import regex
 
     letter = regex.compile(r"\p{L}").search
-    for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for at in range(0, max(1, len(texts)), 512):
-            part = texts[at : at + 512]
-            if not part:
-                break
-            known = np.array([model is not None and t is not None and letter(t) is not None for t in part])
-            pred, score = [UNKNOWN] * len(part), [0.0] * len(part)
-            second, unsure = [None] * len(part), [True] * len(part)
-            if known.any():
-                where = known.nonzero()[0]
-                loss = model.losses(np.stack([features(part[i]) for i in where]))
-                order = np.argsort(loss, axis=1, kind="stable")
-                odds = np.exp((loss.min(axis=1, keepdims=True) - loss) * model.code.shape[1])
-                odds = odds.max(axis=1) / odds.sum(axis=1)
-                for row, i in enumerate(where.tolist()):
-                    best = order[row]
-                    pred[i], score[i] = model.languages[best[0]], float(odds[row])
-                    unsure[i] = False
-                    if len(best) > 1:
-                        second[i] = model.languages[best[1]]
-                        unsure[i] = bool(loss[row, best[1]] - loss[row, best[0]] < AMBIGUOUS_BELOW)
-            rows = batch.slice(at, len(part))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(pred), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure)],
-                ["doc_id", "held_out", "lang_pred", "score", "lang_second", "ambiguous"],
-            )
+    for rows in slices(batches):
+        part = rows.column(2).to_pylist()
+        known = np.array([model is not None and t is not None and letter(t) is not None for t in part])
+        pred, score = [UNKNOWN] * len(part), [0.0] * len(part)
+        second, unsure = [None] * len(part), [True] * len(part)
+        if known.any():
+            where = known.nonzero()[0]
+            loss = model.losses(np.stack([features(part[i]) for i in where]))
+            order = np.argsort(loss, axis=1, kind="stable")
+            odds = np.exp((loss.min(axis=1, keepdims=True) - loss) * model.code.shape[1])
+            odds = odds.max(axis=1) / odds.sum(axis=1)
+            for row, i in enumerate(where.tolist()):
+                best = order[row]
+                pred[i], score[i] = model.languages[best[0]], float(odds[row])
+                unsure[i] = False
+                if len(best) > 1:
+                    second[i] = model.languages[best[1]]
+                    unsure[i] = bool(loss[row, best[1]] - loss[row, best[0]] < AMBIGUOUS_BELOW)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0), rows.column(1), pa.array(pred), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure)],
+            ["doc_id", "held_out", "lang_pred", "score", "lang_second", "ambiguous"],
+        )
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -203,7 +197,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     columns = docs.columns
 
     def chosen(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             keyed = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), batch.column(columns.index("text"))], ["a", "b", "c"])
             keep = [p != UNKNOWN and not u for out in _judged([keyed], shared.value) for p, u in zip(out.column(2).to_pylist(), out.column(5).to_pylist(), strict=True)]

@@ -2,8 +2,9 @@
 
 A document is cut into full windows first; what is left of it, shorter than a window, is placed
 with others. A segment tree over the remaining capacities finds the tightest open window.
-Every task packs the documents of its own partition, in blocks of a bounded number of remainders,
-so nothing is shuffled and the memory does not grow with the input.
+Every task packs the documents of its own partition, so nothing is shuffled. When a bounded number
+of remainders is held they are placed and the windows that are nearly full are closed; what lies in
+the others is placed again with the next, so the bound costs no padding.
 
 Defined results: a null text is the empty text (its only id is the separator); repeated rows are
 packed once each; an empty table gives no rows; a null doc_id stays null; other columns are ignored.
@@ -18,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
-from meterlake.llm.common import small_batches
 
 WINDOW = 1024
 SEPARATOR = 0
-#: Remainders packed together by a task; more start a new block.
-BLOCK = 65_536
+#: Remainders that a task holds before it closes windows, and the free part of a window above which it stays open then.
+BLOCK, OPEN = 65_536, 1 / 128
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_length long"
@@ -99,16 +99,20 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     whole: list[tuple] = []
     rest: list[tuple] = []
+    limit = BLOCK
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    def placed() -> list[tuple]:
-        nonlocal next_id
+    def placed(last: bool) -> list[tuple]:
+        nonlocal next_id, rest
         places, fill = best_fit_decreasing([r[2] for r in rest], window)
+        closed = [last or window - n <= OPEN * window for n in fill]
+        if 2 * sum(closed[w] for w, _ in places) < len(rest):
+            closed = [True] * len(fill)
         base, next_id = next_id, next_id + len(fill)
-        rows = [(*r, base + w, at, padded(fill[w], window)) for r, (w, at) in zip(rest, places, strict=True)]
-        rest.clear()
+        rows = [(*r, base + w, at, padded(fill[w], window)) for r, (w, at) in zip(rest, places, strict=True) if closed[w]]
+        rest = [r for r, (w, _) in zip(rest, places, strict=True) if not closed[w]]
         return rows
 
     for given in batches:
@@ -123,19 +127,19 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
                     continue
                 whole.append((*row, next_id, 0, window))
                 next_id += 1
-            if len(rest) >= BLOCK:
-                yield batch(placed())
+            if len(rest) >= limit:
+                yield batch(placed(False))
+                limit = len(rest) + BLOCK // 2
             if len(whole) >= BLOCK:
                 yield batch(whole)
                 whole.clear()
-    for rows in (placed(), whole):
+    for rows in (placed(True), whole):
         if rows:
             yield batch(rows)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """One row per piece of a document, with its sequence and its place in that."""
-    small_batches(docs.sparkSession)
     path = path or tokens.default_path()
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         lambda batches: _packed(batches, path, window, separator), SCHEMA

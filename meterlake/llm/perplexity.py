@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import chosen_rows, small_batches, stored
+from meterlake.llm.common import chosen_rows, slices, stored
 
 ORDER = 4
 SYMBOLS = 40
@@ -94,7 +94,7 @@ def counted(docs: DataFrame) -> DataFrame:
             keys = table.nonzero()[0]
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(table[keys])], ["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
@@ -253,7 +253,7 @@ def measured(docs: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
 
     def some(batches: Iterator) -> Iterator:
         holder = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows, losses = [], []
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
@@ -281,7 +281,6 @@ def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataF
 
     The bands come from the distinct texts that pass the base rules, so that copies shift no quartile.
     """
-    small_batches(docs.sparkSession)
     rows = stored(measured(docs, fit(docs)), "perplexity").withColumn("base_failed", base_failed())
     quartiles = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     texts = rows.where("not base_failed").groupBy("lang", "text_key").agg(F.first("log_perplexity").alias("log_perplexity"))

@@ -1,22 +1,21 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary, with a bounded memo of words.
 
 The vocabulary's pattern always parts a text before a single space that stands between two
-characters that are no white space, around a lone line feed between such characters, and between
-letters or digits and marks after them. So words can be encoded once each: texts are split and
-their words numbered by Arrow, each distinct word goes to the library once, and the ids of the
-texts are gathered from those of the words. New words go to the library together, one to a line,
-as the ids of a line feed tell them apart again. A text where a space has white space beside it,
-or that begins with one, is encoded in the pieces between safe spaces instead. A text with the
-string of a special token goes to the library whole.
+characters that are no white space, and around a lone line feed between such characters. So words
+can be encoded once each: Arrow splits the texts, numbers their words and finds them in the memo;
+new words go to the library together, one to a line, as the ids of a line feed tell them apart
+again; the ids of the texts are gathered from those of the words. A text where a space has white
+space beside it, or that begins with one, is encoded in the pieces between safe spaces instead. A
+text with the string of a special token goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -25,95 +24,161 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a worker keeps; beyond it a new memo starts, and takes over from the last what comes again.
-MEMO_WORDS = 800_000
+#: Words whose ids a worker keeps, about 40 bytes each; when more come, those go that were not used in two groups of texts.
+MEMO_WORDS = 400_000
 #: Bytes of the texts whose words are looked up together, and words that go to the library as one text.
 GROUP_BYTES, LINES = 4 << 20, 200
-MARKED = re.compile(r"([^\W_]+)([^\w\s]+)").fullmatch
-WHITE = re.compile(r"\s").search
+#: Characters of a piece of a text that is encoded apart from the memo.
+PIECE = 4096
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+# The characters of white space, as a class.
+WHITE = "[\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+LOOSE = f"^{WHITE}|{WHITE}$|^$"
+MARKS = ".,;:!?'\"()[]{}<>#$%&*+-/=@^_`|~\\"
+ENDING = "[\\p{L}\\p{N}]$"
 
 
 class Words:
-    """The ids of words, as little-endian 32-bit integers: with the space before them, and without."""
+    """The ids of words with the space before them, kept as one array; a length of -1 marks a word that can't be encoded alone."""
 
     def __init__(self, path: str):
+        import pyarrow as pa
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self.encode("\n")
-        self.spaced: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.bare: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _encoded_lines(self, words: list[str], before: str) -> Iterator[bytes]:
-        """The ids of words without white space, each on a line of its own."""
-        groups = [words[at : at + LINES] for at in range(0, len(words), LINES)]
-        texts = ["".join(["\n" + before + w for w in some]) for some in groups]
-        line = np.frombuffer(self.line, "<u4")[0]
-        for some, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            starts = (ids == line).nonzero()[0]
-            if len(starts) != len(some):
-                yield from map(self.encode, [before + w for w in some])
-                continue
-            packed, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                yield packed[a + 4 : b]
-
-    def _add(self, into: dict, words: Iterable[str], before: str) -> None:
-        new = [w for w in words if w not in into]
-        into.update(zip(new, self._encoded_lines(new, before), strict=True))
-
-    def start(self, word: str) -> bytes:
-        """The ids of a text's first word."""
-        found = self.first.get(word)
-        if found is None:
-            if len(self.first) > 50_000:
-                self.first.clear()
-            found = self.first[word] = self.encode(word)
-        return found
-
-    def learn(self, words: set[str]) -> None:
-        """Take in words that follow a space; ``None`` marks those that can't be encoded alone."""
-        if len(self.spaced) + len(self.bare) > MEMO_WORDS:
-            self.older, self.spaced, self.bare = self.spaced, {}, {}
-        new = words.difference(self.spaced)
-        again = new.intersection(self.older)
-        self.spaced.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        split: dict[str, tuple[str, ...] | list[str]] = {}
-        plain, heads, rest = [], set(), set()
-        for w in new.difference(again):
-            if w.isalpha():
-                plain.append(w)
-            elif (parts := MARKED(w)) is not None:
-                split[w] = parts.groups()
-                heads.add(parts[1])
-                rest.add(parts[2])
-            elif not w:
-                self.spaced[w] = None
-            elif WHITE(w) is None:
-                plain.append(w)
+        (self.line,) = self.flat(["\n"])[0].tolist()
+        self.words = pa.array([], pa.large_string())
+        self.at, self.n, self.uses = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.ids = np.empty(0, np.uint32)
+        self.first: dict[str, np.ndarray] = {}
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after the other, and how many each has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.flat([text])[0]
+
+    def starts(self, heads: list[str]) -> list[np.ndarray]:
+        """The ids of the first words of texts."""
+        if len(self.first) > 50_000:
+            self.first.clear()
+        new = list({h for h in heads if h not in self.first})
+        ids, n = self.flat(new)
+        self.first.update(zip(new, np.split(ids, np.cumsum(n)), strict=False))
+        return [self.first[h] for h in heads]
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The places of distinct words in the memo, which takes in those that are new."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) > MEMO_WORDS:
+            self._forget()
+        at, new = self._found(distinct)
+        if len(new):
+            at[at < 0] = self._added(new)
+        self.uses[at] += 1
+        return at
+
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The places of words in the memo, and the words that it lacks."""
+        import pyarrow.compute as pc
+
+        found = pc.index_in(words, value_set=self.words)
+        return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64), pc.filter(words, pc.is_null(found))
+
+    def _added(self, new: pa.Array) -> np.ndarray:
+        """The places of words that the memo now takes in; those of a word and marks after it are joined from both."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        heads = pc.utf8_rtrim(new, MARKS)
+        n_marks = pc.subtract(pc.binary_length(new), pc.binary_length(heads)).to_numpy(zero_copy_only=False)
+        marked = (n_marks > 0) & (n_marks < 9)
+        some = heads.filter(pa.array(marked))
+        marked[marked] = (pc.match_substring_regex(some, ENDING).to_numpy(zero_copy_only=False)) & ~(pc.match_substring_regex(some, WHITE).to_numpy(zero_copy_only=False))
+        base = pc.if_else(pa.array(marked), heads, new).dictionary_encode()
+        place, absent = self._found(base.dictionary)
+        place[place < 0] = len(self.words) + np.arange(len(absent))
+        self._learn(absent)
+        at = place[base.indices.to_numpy()]
+        if marked.any():
+            words, after = new.filter(pa.array(marked)), n_marks[marked]
+            tail = np.empty(len(words), np.int64)
+            known: dict[str, int] = {}
+            for k in np.unique(after).tolist():
+                marks = pc.utf8_slice_codeunits(words.filter(pa.array(after == k)), -k).dictionary_encode()
+                tail[after == k] = np.array([known.setdefault(x, len(known)) for x in marks.dictionary.to_pylist()])[marks.indices.to_numpy()]
+            ids, n = self.flat(list(known))
+            starts, sizes = np.empty(2 * len(words), np.int64), np.empty(2 * len(words), np.int64)
+            starts[::2], sizes[::2] = self.at[at[marked]], self.n[at[marked]]
+            starts[1::2], sizes[1::2] = (len(self.ids) + np.cumsum(n) - n)[tail], n[tail]
+            joined, n = np.concatenate([self.ids, ids])[_ragged(starts, sizes)], sizes[::2] + sizes[1::2]
+            at[marked] = len(self.words) + np.arange(len(words))
+            self._keep(words, len(self.ids) + np.cumsum(n) - n, n, [joined])
+        return at
+
+    def _keep(self, new: pa.Array, at: np.ndarray, n: np.ndarray, ids: list[np.ndarray]) -> None:
+        import pyarrow as pa
+
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.at, self.n = np.concatenate([self.at, at]), np.concatenate([self.n, n.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+
+    def _forget(self) -> None:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kept = (self.uses > 1).nonzero()[0]
+        if 2 * len(kept) > MEMO_WORDS:
+            kept = kept[:0]
+        self.words = pc.take(self.words, pa.array(kept))
+        self.ids = self.ids[_ragged(self.at[kept], np.maximum(self.n[kept], 0))]
+        self.n, self.uses = self.n[kept], np.zeros(len(kept), np.int32)
+        self.at = np.concatenate([[0], np.cumsum(np.maximum(self.n, 0), dtype=np.int64)])[: len(kept)]
+
+    def _learn(self, new: pa.Array) -> None:
+        """Take in words by the library."""
+        import pyarrow.compute as pc
+
+        at, n = np.zeros(len(new), np.int64), np.full(len(new), -1, np.int32)
+        loose = pc.match_substring_regex(new, LOOSE).to_numpy(zero_copy_only=False)
+        spaced = pc.match_substring_regex(new, WHITE).to_numpy(zero_copy_only=False) & ~loose
+        feeds = pc.count_substring(new, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        if spaced.any():  # lone line feeds are safe, other white space goes alone
+            spaced &= pc.match_substring_regex(new, f"{WHITE}{WHITE}|{WHITE.replace(chr(92) + 'n', '', 1)}").to_numpy(zero_copy_only=False)
+        held, base = [], len(self.ids)
+        for alone, which in ((False, (~loose & ~spaced).nonzero()[0]), (True, spaced.nonzero()[0])):
+            words = new.take(which).to_pylist() if len(which) else []
+            if alone:
+                ids, sizes = self.flat([" " + w for w in words])
+                starts = np.cumsum(sizes) - sizes
             else:
-                parts = w.split("\n")
-                if all(parts) and WHITE(w.replace("\n", "")) is None:
-                    split[w] = [x for p in parts for x in ("\n", p)][1:]
-                    heads.add(parts[0])
-                    rest.update(parts[1:])
-                else:
-                    loose = w[0].isspace() or w[-1].isspace()
-                    self.spaced[w] = None if loose else self.encode(" " + w)
-        self._add(self.spaced, plain, " ")
-        self._add(self.spaced, heads, " ")
-        self._add(self.bare, rest, "")
-        for w, parts in split.items():
-            self.spaced[w] = b"".join([self.spaced[parts[0]], *[self.line if p == "\n" else self.bare[p] for p in parts[1:]]])
+                ids, _ = self.flat(["".join(["\n " + w for w in words[k : k + LINES]]) for k in range(0, len(words), LINES)])
+                lines = (ids == self.line).nonzero()[0]
+                if len(lines) != len(words) + feeds[which].sum():
+                    raise ValueError("the vocabulary does not keep line feeds apart")
+                starts = lines[np.cumsum(1 + feeds[which]) - 1 - feeds[which]]
+                sizes = np.diff(np.append(starts, len(ids))) - 1
+                starts = starts + 1
+            at[which], n[which] = base + starts, sizes
+            held.append(ids)
+            base += len(ids)
+        self._keep(new, at, n, held)
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    lengths = lengths.astype(np.int64)
+    after = np.cumsum(lengths)
+    return np.repeat(starts - after + lengths, lengths) + np.arange(after[-1] if len(after) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -129,6 +194,7 @@ def default_path(name: str = VOCABULARY) -> str:
 
 def encoded(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The ids of whole texts, some texts at a time: all their ids, and where each text's begin and the last's end."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts.cast("large_string"), "")
@@ -137,7 +203,16 @@ def encoded(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndar
     while at < len(texts):
         before = int(ends[at - 1]) if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES)))
-        yield _encoded(texts.slice(at, stop - at), words)
+        if ends[stop - 1] - before > 2 * GROUP_BYTES:  # one long text, in parts
+            text = texts[at].as_py()
+            if any(s in text for s in words.special):
+                ids = words.encode(text)
+            else:
+                parts = enumerate(pieces(text, GROUP_BYTES))
+                ids = np.concatenate([_encoded(pa.array([p], pa.large_string()), words, k > 0)[0] for k, p in parts])
+            yield ids, np.array([0, len(ids)])
+        else:
+            yield _encoded(texts.slice(at, stop - at), words)
         at = stop
 
 
@@ -149,59 +224,48 @@ def packed(texts: pa.Array, words: Words) -> Iterator[bytes]:
             yield data[a:b]
 
 
-def _encoded(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """Parts of a text of about ``size`` characters; the space between two is left out."""
+    at = 0
+    while (cut := SAFE.search(text, at + size)) is not None:
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
+def _encoded(texts: pa.Array, words: Words, follows: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, and their bounds; such as follow a safe space begin with that."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     split = pc.split_pattern(texts, " ")
     first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    numbered = split.flatten().dictionary_encode()
-    number = numbered.indices.to_numpy(zero_copy_only=False).copy()
-    distinct = numbered.dictionary.to_pylist()
-    heads = [distinct[k] for k in number[first[:-1]].tolist()]
+    flat = split.flatten()
+    numbered = flat.dictionary_encode()
+    number = numbered.indices.to_numpy(zero_copy_only=False)
     own = np.ones(len(number), bool)
-    own[first[:-1]] = False
-    used = np.zeros(len(distinct), bool)
+    own[first[:-1]] = follows
+    used = np.zeros(len(numbered.dictionary), bool)
     used[number[own]] = True
-    words.learn({w for w, u in zip(distinct, used.tolist(), strict=True) if u})
-    known = words.spaced
-    ids = [known[w] if u else b"" for w, u in zip(distinct, used.tolist(), strict=True)]
-    loose = np.array([x is None for x in ids], bool)
-    odd = np.add.reduceat(loose[number] & own, first[:-1]) > 0
-    odd |= np.array([not h or h[-1].isspace() for h in heads], bool)
+    place = np.zeros(len(used), np.int64)
+    place[used] = words.numbers(numbered.dictionary.filter(pa.array(used)))
+    starts, lengths = np.zeros(len(number), np.int64), np.zeros(len(number), np.int32)
+    known = place[number[own]]
+    starts[own], lengths[own] = words.at[known], words.n[known]
+    odd = np.add.reduceat(lengths < 0, first[:-1]) > 0
+    heads = [] if follows else flat.take(first[:-1]).to_pylist()
+    odd |= np.array([not h or h[-1].isspace() for h in heads] if heads else [False] * len(texts), bool)
     special = np.zeros(len(texts), bool)
     for token in words.special:
         special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
     odd |= special
-    for k in odd.nonzero()[0].tolist():  # such a text comes whole in the place of its first word
-        heads[k] = words.encode(texts[k].as_py()) if special[k] else _careful(*_parted(texts[k].as_py()), words)
-    ids += [h if o else words.start(h) for h, o in zip(heads, odd.tolist(), strict=True)]
-    number[first[:-1]] = len(distinct) + np.arange(len(heads))
-    number[np.repeat(odd, np.diff(first)) & own] = len(ids)
-    ids.append(b"")
-    lengths = np.array([0 if x is None else len(x) // 4 for x in ids], np.int32)
-    after = np.concatenate([[0], np.cumsum(lengths[number], dtype=np.int64)])
-    return np.frombuffer(b"".join(map(ids.__getitem__, number.tolist())), "<u4"), after[first]
-
-
-def _parted(text: str) -> tuple[str, list[str]]:
-    first, *rest = text.split(" ")
-    return first, rest
-
-
-def _careful(held: str, rest: list[str], words: Words) -> bytes:
-    """Words are joined again wherever a boundary has white space on either side."""
-    out = []
-    for word in rest:
-        if word and not word[0].isspace() and held and not held[-1].isspace():
-            out.append(_alone(held, words))
-            held = " " + word
-        else:
-            held += " " + word
-    if held:
-        out.append(_alone(held, words))
-    return b"".join(out)
-
-
-def _alone(held: str, words: Words) -> bytes:
-    known = words.spaced.get(held[1:]) if held[0] == " " else None
-    return words.encode(held) if known is None else known
+    lengths[np.repeat(odd, np.diff(first))] = 0
+    begin = words.starts(["" if o else h for h, o in zip(heads, odd.tolist(), strict=True)]) if heads else [words.ids[:0]] * len(texts)
+    for k in odd.nonzero()[0].tolist():  # the ids of such a text come in the place of those of its first word
+        text = texts[k].as_py()
+        begin[k] = words.encode(text) if special[k] else words.flat([" " * (j > 0 or follows) + p for j, p in enumerate(pieces(text))])[0]
+    n = np.fromiter(map(len, begin), np.int64, len(begin))
+    put = n > 0
+    starts[first[:-1][put]], lengths[first[:-1][put]] = (len(words.ids) + np.cumsum(n) - n)[put], n[put]
+    after = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return np.concatenate([words.ids, *begin])[_ragged(starts, lengths)], after[first]

@@ -1,297 +1,459 @@
 """Quality rules: word and line counts, and perplexity under a modified Kneser-Ney model.
 
-The model is over characters folded into 40 symbols (letters, space, digit, marks, classes of other
-bytes), four to an n-gram and one model per language, so its size is bounded by 40^4 whatever the
-corpus. Spark counts the n-grams of all documents; the estimate needs those counts only, as the
-lower orders count distinct continuations. Each order is kept as a sorted array of n-gram keys (a
-collision-free hash: the number in base 40) beside the log probabilities and back-off weights.
+The model is over code points, five to an n-gram, in lower case with one space for white space and
+one digit for all; every language has its own. A 5-gram counts as often as it has different left
+neighbours, as lower orders do, so copies of a text add nothing. What is counted, every distinct
+6-gram, grows with the corpus, and no part of the model is held whole:
+
+1. Each task finds the distinct 6-grams of its part of an input file and deals them to shards by a hash
+   of language and last context, the third and fourth of the five code points.
+2. A shard has every n-gram of its contexts down to order 3, so it can estimate them alone: discounts
+   by its own counts of counts, and the uniform distribution below order 3. It answers each file's
+   6-grams with their 5-grams' log probabilities.
+3. A file's answers are one sorted hash array in the shared folder, in which the file's documents look
+   up their 5-grams.
+
+An input that is not read from files, or from very large ones, is stored with block numbers first.
 A document is rejected when its log perplexity leaves the band of its language, whose ends lie
 ``BELOW`` and ``ABOVE`` interquartile ranges beyond the quartiles over all distinct texts of the language.
 
 Defined results: null text counts as empty and fails the base rules; a null language is a language
-of its own; a language with no n-grams accepts what passes the base rules; repeated rows are judged
+of its own; a language without bands accepts what passes the base rules; repeated rows are judged
 alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import chosen_rows, slices, stored
+from meterlake.llm import files
+from meterlake.llm.common import chosen_rows, lookup, shared_folder, slices, stored
 
-ORDER = 4
-SYMBOLS = 40
-CELLS = SYMBOLS**ORDER
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+ORDER, LOWEST = 5, 3
+#: Code points of a text handled at a time.
 SLICE = 1 << 20
-#: Interquartile ranges between a quartile and the lower and upper end of the band, by labels: a step
-#: further in from either would reject more documents labelled as good than as bad.
-BELOW, ABOVE = 2.5, 2.5
+#: Code points in which a task looks for distinct 6-grams at a time, and distinct ones that it holds before it deals them to the shards.
+GROUP, HELD = 4_000_000, 1_500_000
+#: Code points of the corpus to a shard, and shards at most; beyond that shards grow.
+SHARD_CHARS, MOST_SHARDS = 1 << 24, 1 << 18
+#: Code points of a file from which the input is stored in blocks first.
+FILE_CHARS = 1 << 31
+#: Interquartile ranges between a quartile and the lower and upper end of the band, by labels.
+BELOW, ABOVE = 3.0, 3.0
 #: The least interquartile range that a band is built on, for languages of few or nearly equal texts.
 LEAST_RANGE = 0.005
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: Languages whose tables a task or worker keeps at a time.
-TABLES = 8
-#: N-grams of a language that a task holds before it adds them up.
-HELD = 2_000_000
 MARKED = b"#*$%&|<>"
 WHITE = b"\x09\x0a\x0b\x0c\x0d\x20"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+SPACE = np.uint32(32)
+UNIFORM = 1.0 / 0x110000
+ANSWER = np.dtype([("key", "<u8"), ("log_p", "<f4")])
 
 
-def _symbols() -> np.ndarray:
-    """0 parts words; 1-26 letters; 27 digits; 28 marks; 29 '!'; 30 marked symbols; 31-38 other bytes; 255 none."""
-    code = np.full(256, 28, np.uint8)
-    code[:33] = 0
-    for i in range(26):
-        code[ord("a") + i] = code[ord("A") + i] = 1 + i
-    code[ord("0") : ord("9") + 1] = 27
-    code[ord("!")] = 29
-    code[np.frombuffer(MARKED, np.uint8)] = 30
-    code[0x80:0xC0] = 31 + np.arange(64) % 8
-    code[0xC0:] = 255
-    return code
+def _folded() -> np.ndarray:
+    """Code points up to the last white space, with one for all white space and one for all digits."""
+    fold = np.arange(0x3001, dtype=np.uint32)
+    fold[48:58] = 48
+    # The code points of white space.
+    fold[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    return fold
 
 
-CODE = _symbols()
+FOLD = _folded()
 
 
-def grams(data: bytes) -> Iterator[np.ndarray]:
-    """The n-gram keys of a text in slices; the text begins and ends as a word does."""
-    tail = np.zeros(ORDER - 1, np.uint8)
-    for at in range(0, len(data), SLICE):
-        s = CODE[np.frombuffer(data[at : at + SLICE], np.uint8)]
-        s = np.concatenate([tail, s[s != 255], np.zeros(int(at + SLICE >= len(data)), np.uint8)])
-        tail = s[-(ORDER - 1) :]
-        s = s.astype(np.uint32)
-        if len(s) >= ORDER:
-            yield ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
+def chars(texts: list[str], first: bool = True, last: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model's code points of texts one after the other, the place of each that ends an n-gram, and its text's number.
 
+    Before every text stand five spaces, and it ends with one. Only of a text in parts a part is not ``first`` or ``last``.
+    """
+    given = [x.lower() for x in texts]
+    a = np.frombuffer("".join([" " * (ORDER * first) + x + " " * last for x in given]).encode("utf-32-le", "replace"), np.uint32)
+    a = np.where(a < len(FOLD), FOLD[np.minimum(a, len(FOLD) - 1)], a)
+    sizes = np.fromiter(map(len, given), np.int64, len(given)) + ORDER * first + last
+    start = np.cumsum(sizes) - sizes
+    lead = np.zeros(len(a), bool)
+    lead[(start[:, None] + np.arange(ORDER)).ravel()] = True
+    kept = (a != SPACE) | np.roll(a != SPACE, 1) | lead  # of white space the first
+    return a[kept], (~lead[kept]).nonzero()[0], np.repeat(np.arange(len(texts)), sizes)[kept & ~lead]
+
+
+def parts(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``chars`` of one long text, in parts that each begin with the last five code points before."""
+    tail = ""
+    for at in range(0, len(text), SLICE):
+        some = tail + text[at : at + SLICE]
+        a, ends, owner = chars([some], not at, at + SLICE >= len(text))
+        yield a, ends, owner
+        tail = "".join(map(chr, a[-ORDER:].tolist()))
+
+
+def grouped(batches: Iterator, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of batches by the length of their texts; a longer text is alone."""
+    import pyarrow.compute as pc
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Counts of every n-gram of all documents: lang, gram, n."""
-    import pyarrow as pa
+    for batch in slices(batches):
+        n = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
-    def some(batches: Iterator) -> Iterator:
-        tables: dict[str | None, np.ndarray] = {}
-        held: dict[str | None, list[np.ndarray]] = {}
-        sizes: dict[str | None, int] = {}
-
-        def settle(lang: str | None) -> None:
-            tables[lang] += np.bincount(np.concatenate(held[lang]), minlength=CELLS)
-            held[lang], sizes[lang] = [], 0
-
-        def out(lang: str | None) -> pa.RecordBatch:
-            if held[lang]:
-                settle(lang)
-            table = tables.pop(lang)
-            keys = table.nonzero()[0]
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(table[keys])], ["lang", "gram", "n"])
-
-        for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                if lang not in tables:
-                    if len(tables) >= TABLES:
-                        yield out(next(iter(tables)))
-                    tables[lang], held[lang], sizes[lang] = np.zeros(CELLS, np.int64), [], 0
-                for keys in grams(text.encode("utf-8", "replace")):
-                    held[lang].append(keys)
-                    sizes[lang] += len(keys)
-                    if sizes[lang] >= HELD:
-                        settle(lang)
-        for lang in list(tables):
-            yield out(lang)
-
-    given = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    return given.mapInArrow(some, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounted(counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted counts over their context's total, and the context's share left for lower orders."""
+
+def coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return parts(texts[0]) if len(texts) == 1 and len(texts[0]) > SLICE else iter([chars(texts)] if texts else [])
+
+
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of rows of code points."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h += c
+        h += np.uint64(1)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def windows(a: np.ndarray, order: int) -> list[np.ndarray]:
+    """The columns of all runs of ``order`` code points."""
+    return [a[k : len(a) - order + 1 + k] for k in range(order)]
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each key stands first."""
+    import pandas as pd
+
+    return (~pd.Series(keys).duplicated().to_numpy()).nonzero()[0]
+
+
+class Distinct:
+    """The distinct 6-grams of texts, as rows of six code points."""
+
+    def __init__(self):
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty((0, ORDER + 1), np.uint32)
+
+    def add(self, a: np.ndarray, ends: np.ndarray) -> None:
+        keys = mixed(windows(a, ORDER + 1))[ends - ORDER]
+        at = firsts(keys)
+        keys, ends = np.concatenate([self.keys, keys[at]]), ends[at]
+        at = firsts(keys)[len(self.keys) :]
+        ends = ends[at - len(self.keys)]
+        self.keys = np.concatenate([self.keys, keys[at]])
+        self.rows = np.concatenate([self.rows, np.stack([a[ends + k] for k in range(-ORDER, 1)], axis=1)])
+
+
+def _dealt(batches: Iterator, shards: int) -> Iterator:
+    """From rows (block, lang, text), for each shard, block and language its 6-grams."""
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    block, found = None, {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, distinct in found.items():
+            y = distinct.rows
+            if not len(y):
+                continue
+            seed = np.full(len(y), _seed(lang), np.uint32)
+            shard = (mixed([seed, y[:, 3], y[:, 4]]) % np.uint64(shards)).astype(np.int64)
+            wide = y.astype(np.uint64)
+            high = (wide[:, 3] << np.uint64(42)) | (wide[:, 4] << np.uint64(21)) | wide[:, 2]
+            low = (wide[:, 1] << np.uint64(42)) | (wide[:, 5] << np.uint64(21)) | wide[:, 0]
+            order = np.lexsort((low, high, shard))
+            y, shard = y[order], shard[order]
+            starts = np.append(np.nonzero(np.diff(shard, prepend=-1))[0], len(y))
+            rows = [(int(shard[a]), block, lang, pack(np.ascontiguousarray(y[a:b].T).tobytes())) for a, b in zip(starts, starts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], ["shard", "block", "lang", "grams"])
+        found.clear()
+
+    for batch in grouped(batches, 2, GROUP):
+        texts: dict[tuple, list[str]] = {}
+        for key, lang, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            if text:
+                texts.setdefault((key, lang), []).append(text)
+        for (key, lang), some in texts.items():
+            if key != block or sum(len(d.keys) for d in found.values()) > HELD:
+                yield from out()
+                block = key
+            for a, ends, _ in coded(some):
+                found.setdefault(lang, Distinct()).add(a, ends)
+    yield from out()
+
+
+def _seed(lang: str | None) -> int:
+    return struct.unpack("<I", hashlib.blake2b(b"" if lang is None else b"=" + lang.encode("utf-8", "replace"), digest_size=4).digest())[0]
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What counts of 0, 1, 2 and more lose, by the counts of counts."""
     n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     ratio = lambda a, b: a / b if b else 1.0
     d = np.clip([0.0, 1 - 2 * y * ratio(n2, n1), 2 - 3 * y * ratio(n3, n2), 3 - 4 * y * ratio(n4, n3)], 0, [0, 0.95, 1.9, 2.9])
     d[1:] = np.where(d[1:] > 0, d[1:], 0.4)
-    total = counts.sum(axis=-1, keepdims=True)
-    cut = d[np.minimum(counts, 3).astype(np.int8)]
-    left = np.divide(cut.sum(axis=-1, keepdims=True), total, out=np.ones_like(total), where=total > 0)
-    kept = np.divide(counts - cut, total, out=np.zeros_like(counts), where=total > 0)
-    return kept, left
-
-
-class KneserNey:
-    """Per order the sorted keys of its seen n-grams and their log probabilities, and of its contexts their back-off."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        counts = np.zeros(CELLS)
-        counts[keys] = n
-        tables = [counts.reshape((SYMBOLS,) * ORDER)]
-        for _ in range(ORDER - 1):  # a lower order counts the distinct symbols before it
-            tables.insert(0, (tables[0] > 0).sum(axis=0).astype(float))
-        lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.backoff: list[tuple[np.ndarray, np.ndarray]] = []
-        for order, table in enumerate(tables, 1):
-            kept, left = _discounted(table, order)
-            p = kept + left * lower
-            seen = table.reshape(-1).nonzero()[0]
-            self.grams.append((seen.astype(np.uint32), np.log(p.reshape(-1)[seen]).astype(np.float32)))
-            share = np.log(left.reshape(-1))
-            contexts = (table.reshape(-1, SYMBOLS).sum(axis=1) > 0).nonzero()[0]
-            self.backoff.append((contexts.astype(np.uint32), share[contexts].astype(np.float32)))
-            lower = p
-        self.floor = float(-np.log(SYMBOLS)) + float(share.min(initial=0.0))
-
-    @staticmethod
-    def _find(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sorted_keys, values = arrays
-        if not len(sorted_keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        i = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        hit = sorted_keys[i] == keys
-        return hit, np.where(hit, values[i], np.float32(0))
-
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """Log probabilities of n-gram keys, backing off where they were never seen."""
-        out, pending, carry, keys = np.full(len(keys), np.nan, np.float32), np.arange(len(keys)), np.zeros(len(keys), np.float32), keys.astype(np.uint32)
-        for order in range(ORDER, 0, -1):
-            part = keys[pending] % np.uint32(SYMBOLS**order)
-            hit, value = self._find(self.grams[order - 1], part)
-            out[pending[hit]] = carry[pending[hit]] + value[hit]
-            pending, part = pending[~hit], part[~hit]
-            carry[pending] += self._find(self.backoff[order - 1], part // SYMBOLS)[1]
-        out[pending] = carry[pending] - np.log(SYMBOLS)
-        return out
-
-    def table(self) -> np.ndarray:
-        """Log probabilities of all keys, looked up once for a worker's many texts."""
-        return self.log_p(np.arange(CELLS, dtype=np.uint32))
-
-
-def fit(docs: DataFrame) -> dict[str | None, KneserNey]:
-    """A model for each language; at most ``SYMBOLS ** ORDER`` counts of each reach the driver."""
-    import pyarrow.compute as pc
-
-    counts = stored(counted(docs), "grams")
-    langs = [r[0] for r in counts.select("lang").distinct().collect()]
-    models = {}
-    for lang in langs:
-        rows = counts.where(F.col("lang").eqNullSafe(F.lit(lang))).select("gram", "n").toArrow()
-        order = pc.sort_indices(rows.column("gram"))
-        models[lang] = KneserNey(rows.column("gram").take(order).to_numpy(), rows.column("n").take(order).to_numpy())
-    return models
-
+    return d
 
-def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text in UTF-8."""
-    words = data.split()
-    symbols = len(data) - len(data.translate(None, MARKED))
-    chars = len(data.translate(None, _NO_CHARS))
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    n = len(words)
-    repeated = 0
-    if n >= 4:
-        number: dict[bytes, int] = {}
-        ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, n)
-        if len(number) < n:
-            m = len(number)
-            windows = (ids[:-2] * m + ids[1:-1]) * m + ids[2:] if m < 2_000_000 else _windows(ids)
-            order = np.argsort(windows, kind="stable")
-            same = windows[order[1:]] == windows[order[:-1]]
-            if same.any():
-                twice = np.zeros(n, bool)
-                both = np.union1d(order[1:][same], order[:-1][same])
-                for k in range(3):
-                    twice[both + k] = True
-                repeated = int(twice.sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
+def estimated(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From distinct 6-grams that share no context with any others, the sorted keys of their 5-grams and log probabilities.
 
-#: Bytes that begin no counted character: white space and UTF-8 continuation bytes.
-_NO_CHARS = WHITE + bytes(range(0x80, 0xC0))
+    An n-gram's count is the number of its left neighbours; orders 5 to 3 are interpolated.
+    """
+    p = None
+    for order in range(LOWEST, ORDER + 1):
+        # distinct (left neighbour, n-gram) pairs, then their n-grams, then their contexts
+        _, first = np.unique(mixed([y[:, k] for k in range(ORDER - order, ORDER + 1)]), return_index=True)
+        keys = mixed([y[first, k] for k in range(ORDER + 1 - order, ORDER + 1)])
+        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        at = first[at]
+        _, context = np.unique(mixed([y[at, k] for k in range(ORDER + 1 - order, ORDER)]), return_inverse=True)
+        cut = discounts(counts)[np.minimum(counts, 3)]
+        total = np.bincount(context, weights=counts)[context]
+        left = np.bincount(context, weights=cut)[context] / total
+        if p is None:
+            lower = UNIFORM
+        else:
+            shorter = mixed([y[at, k] for k in range(ORDER + 2 - order, ORDER + 1)])
+            lower = p[1][np.searchsorted(p[0], shorter)]
+        p = keys, (counts - cut) / total + left * lower
+    return p[0], np.log(p[1])
+
+
+def _answered(batches: Iterator) -> Iterator:
+    """From rows ordered by shard and language, the 5-grams of each block's rows with their log probabilities."""
+    import pyarrow as pa
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    at, held = None, []
+
+    def grams(data: bytes) -> np.ndarray:
+        return np.frombuffer(unpack(data), np.uint32).reshape(ORDER + 1, -1).T
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, rows = np.empty(0, np.uint64), []
+        for _, data in held:  # 6-grams of one block after the other, so that only distinct ones are held
+            y = grams(data)
+            own, first = np.unique(mixed([y[:, k] for k in range(ORDER + 1)]), return_index=True)
+            new = ~np.isin(own, keys, assume_unique=True)
+            keys = np.concatenate([keys, own[new]])
+            rows.append(y[first[new]])
+        sorted_keys, log_p = estimated(np.concatenate(rows))
+        seed = np.uint64(_seed(at[1]))
+        for block, data in held:
+            y = grams(data)
+            own = np.unique(mixed([y[:, k] for k in range(1, ORDER + 1)]))
+            answer = np.empty(len(own), ANSWER)
+            answer["key"], answer["log_p"] = own ^ seed, log_p[np.searchsorted(sorted_keys, own)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([answer.tobytes()], pa.binary())], ["block", "answer"])
+
+    for batch in batches:
+        for shard, lang, block, data in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            if (shard, lang) != at:
+                if held:
+                    yield from out()
+                at, held = (shard, lang), []
+            held.append((block, data))
+    if held:
+        yield from out()
+
+
+def _filed(batches: Iterator, folder: str) -> Iterator:
+    """Writes the answers of each block, rows of which follow each other, as one sorted array."""
+    import pyarrow as pa
 
+    block, parts = None, []
 
-def _windows(ids: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal windows when the words are too many for one product."""
-    _, pair = np.unique(np.stack([ids[:-2], ids[1:-1]], axis=1), axis=0, return_inverse=True)
-    return pair.astype(np.int64) * (int(ids.max()) + 1) + ids[2:]
+    def out() -> pa.RecordBatch:
+        every = np.concatenate([np.frombuffer(x, ANSWER) for x in parts])
+        _, first = np.unique(every["key"], return_index=True)
+        with files.writing(_path(folder, block)) as target:
+            target.write(every[first].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([len(first)], pa.int64())], ["block", "n"])
 
+    for batch in batches:
+        for key, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key != block:
+                if parts:
+                    yield out()
+                block, parts = key, []
+            parts.append(answer)
+    if parts:
+        yield out()
 
-@lru_cache(maxsize=TABLES)
-def _table(holder: "_Models", lang: str | None) -> np.ndarray:
-    return holder.models[lang].table()
 
+def _path(folder: str, block: str) -> str:
+    return f"{folder}/{hashlib.sha1(block.encode()).hexdigest()}.grams"
 
-class _Models:
-    """Models as broadcast; equal ones share a worker's tables."""
 
-    def __init__(self, models: dict[str | None, KneserNey]):
-        self.models = models
-        self.mark = zlib.crc32(repr([(k, [a.tobytes()[:64] + bytes(str(len(a)), "ascii") for a, _ in m.grams], float(m.grams[-1][1].sum())) for k, m in models.items()]).encode())
+def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (doc_id, lang, text, block), where a block's rows lie together, and the code points of all.
 
-    def __hash__(self) -> int:
-        return self.mark
+    A block is an input file. Other inputs are stored with a block number for each task.
+    """
+    given = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    named = given.withColumn("block", F.input_file_name())
+    sizes = named.groupBy("block").agg(F.sum(F.length("text")).alias("n")).agg(F.sum("n"), F.max("n"), F.min("block")).first()
+    total, most, least = sizes
+    if total and (not least or most > FILE_CHARS):
+        named = stored(given.withColumn("block", F.spark_partition_id().cast("string")), "blocks")
+    return named, total or 0
+
+
+def model(rows: DataFrame, total: int) -> str:
+    """Estimate the model of ``rows`` and file each block's part of it; the folder of the files."""
+    folder = shared_folder(rows.sparkSession, "grams")
+    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_CHARS)))
+    dealt = rows.select("block", "lang", "text").mapInArrow(lambda b: _dealt(b, shards), "shard long, block string, lang string, grams binary")
+    by_shard = dealt.select("shard", "lang", "block", "grams").repartition("shard").sortWithinPartitions("shard", "lang")
+    answers = by_shard.mapInArrow(_answered, "block string, answer binary")
+    stored(answers.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _filed(b, folder), "block string, n long"), "filed")
+    return folder
+
+
+def base_counts(texts: pa.Array) -> np.ndarray:
+    """A row for each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    import pandas as pd
+    import pyarrow.compute as pc
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Models) and self.mark == other.mark
+    n = len(texts)
+    texts = pc.fill_null(texts.cast("large_string"), "")
+    per_text = lambda mask, owner: np.bincount(owner[mask], minlength=n)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    of_byte = np.repeat(np.arange(n), sizes)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    kind = KIND[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]] if ends[-1] else np.zeros(0, np.uint8)
+    split = pc.ascii_split_whitespace(texts)
+    count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, words = np.repeat(np.arange(n), count), split.flatten()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    coded = words.dictionary_encode()
+    owner, word, m = owner[real], coded.indices.to_numpy()[real].astype(np.int64), len(coded.dictionary)
+    repeated = np.zeros(len(word), bool)
+    if len(word) > 3:
+        if n * m**3 < 1 << 62:
+            key = ((owner[2:] * m + word[:-2]) * m + word[1:-1]) * m + word[2:]
+        else:
+            pair = pd.factorize(word[:-2] * m + word[1:-1])[0]
+            key = owner[2:] * len(word) + pd.factorize(pair * m + word[2:])[0]
+        whole = owner[2:] == owner[:-2]
+        twice = np.zeros(len(key), bool)
+        twice[whole] = pd.Series(key[whole]).duplicated(keep=False).to_numpy()
+        for k in range(3):
+            repeated[k : k + len(key)] |= twice
+    split = pc.split_pattern(texts, "\n")
+    of_line = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    lines = split.flatten().dictionary_encode()
+    blank = pc.equal(pc.ascii_trim_whitespace(lines.dictionary), "").to_numpy(zero_copy_only=False)
+    line = lines.indices.to_numpy().astype(np.int64)
+    again = pd.Series(of_line * len(blank) + line).duplicated().to_numpy() & ~blank[line]
+    return np.stack([np.bincount(owner, minlength=n), per_text(kind > 0, of_byte), per_text(kind == 2, of_byte), per_text(again, of_line), per_text(repeated, owner)], axis=1)
+
+
+def _kinds() -> np.ndarray:
+    """Of bytes in UTF-8: 0 begins no character of a word, 1 does, 2 is a symbol."""
+    kind = np.ones(256, np.uint8)
+    kind[list(WHITE)] = 0
+    kind[0x80:0xC0] = 0
+    kind[list(MARKED)] = 2
+    return kind
+
+
+KIND = _kinds()
+
+
+class Answers:
+    """A block's sorted keys, found by their first bits."""
+
+    def __init__(self, data: bytes):
+        answer = np.frombuffer(data, ANSWER)
+        self.keys, self.log_p = answer["key"].copy(), answer["log_p"].copy()
+        bits = max(1, len(self.keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Log probabilities; every key must be there."""
+        at = self.start[keys >> self.shift]
+        todo = np.arange(len(keys))
+        while len(todo):
+            if at[todo].max() >= len(self.keys):
+                raise ValueError("the documents are not those that the model was made of")
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] += 1
+        return self.log_p[at]
+
+
+def _measured(batches: Iterator, folder: str) -> Iterator:
+    import pyarrow as pa
 
+    block, answers = None, None
+    names = ["doc_id", "lang", "text_key", *[x.split()[0] for x in BASE.split(", ")], "log_perplexity"]
+    for batch in grouped(batches, 3):
+        total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        texts: dict[tuple, list[tuple[int, str]]] = {}
+        for k, (key, lang, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in (4, 1, 3)], strict=True)):
+            if text:
+                texts.setdefault((key, lang), []).append((k, text))
+        for (key, lang), some in texts.items():
+            places, seed = np.array([k for k, _ in some]), np.uint64(_seed(lang))
+            for a, ends, owner in coded([x for _, x in some]):
+                if not len(ends):
+                    continue
+                if key != block:
+                    block, answers = key, Answers(files.read_whole(_path(folder, key)))
+                log_p = answers.of(mixed(windows(a, ORDER))[ends - ORDER + 1] ^ seed)
+                total[places] -= np.bincount(owner, weights=log_p, minlength=len(some))
+                n[places] += np.bincount(owner, minlength=len(some))
+        loss = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
+        counts = base_counts(batch.column(3))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c) for c in counts.T], loss], names)
 
-def measured(docs: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
-    """Base counts and mean negative log probability of every document's symbols."""
-    import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(_Models(models))
-
-    def some(batches: Iterator) -> Iterator:
-        holder = shared.value
-        for batch in slices(batches):
-            rows, losses = [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                rows.append(base_counts(data))
-                total, n = 0.0, 0
-                if data and lang in holder.models:
-                    for keys in grams(data):
-                        total -= float(_table(holder, lang)[keys].sum(dtype=np.float64))
-                        n += len(keys)
-                losses.append(total / n if n else None)
-            counts = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts, pa.array(losses, pa.float64())], ["doc_id", "lang", "text_key", *[x.split()[0] for x in BASE.split(", ")], "log_perplexity"])
-
-    text = F.col("text").cast("string")
-    given = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64(text).alias("text_key"), text)
-    return given.mapInArrow(some, f"doc_id long, lang string, text_key long, {BASE}, log_perplexity double")
+def measured(docs: DataFrame) -> DataFrame:
+    """Base counts and mean negative log probability of every document's code points."""
+    rows, total = blocks(docs)
+    folder = model(rows, total)
+    given = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), "text", "block")
+    return given.mapInArrow(lambda b: _measured(b, folder), f"doc_id long, lang string, text_key long, {BASE}, log_perplexity double")
 
 
 def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """One row per document with its counts, its perplexity, the band of its language and the verdict.
-
-    The bands come from the distinct texts that pass the base rules, so that copies shift no quartile.
-    """
-    rows = stored(measured(docs, fit(docs)), "perplexity").withColumn("base_failed", base_failed())
+def banded(rows: DataFrame, below: float, above: float) -> DataFrame:
+    """Rows with the ends of their language's band, from the distinct texts that pass the base rules, so that copies shift no quartile."""
+    rows = rows.withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     quartiles = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    texts = rows.where("not base_failed").groupBy("lang", "text_key").agg(F.first("log_perplexity").alias("log_perplexity"))
-    bands = texts.groupBy("lang").agg(quartiles.alias("q")).collect()  # a row for each language
-    wide = [(r["lang"], max(r["q"][1] - r["q"][0], LEAST_RANGE), r["q"]) for r in bands if r["q"]]
-    lower, upper = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang, range_, q in wide:
-        here = F.col("lang").eqNullSafe(F.lit(lang))
-        lower, upper = F.when(here, q[0] - below * range_).otherwise(lower), F.when(here, q[1] + above * range_).otherwise(upper)
+    texts = rows.where("not base_failed").groupBy("lang_key", "text_key").agg(F.first("log_perplexity").alias("log_perplexity"))
+    weights = rows.groupBy("lang_key").agg(F.count("*").alias("weight"))
+    q = texts.groupBy("lang_key").agg(quartiles.alias("q"))
+    range_ = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
+    ends = weights.join(q, "lang_key", "left").select("lang_key", "weight", (F.col("q")[0] - below * range_).alias("log_lower"), (F.col("q")[1] + above * range_).alias("log_upper"))
+    return lookup(rows, stored(ends, "bands"), "lang_key", "weight", rows.count())
+
+
+def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+    """One row per document with its counts, its perplexity, the band of its language and the verdict."""
+    rows = stored(measured(docs), "perplexity").withColumn("base_failed", base_failed())
     inside = F.coalesce(F.col("log_perplexity").between(F.col("log_lower"), F.col("log_upper")), F.lit(True))
-    return rows.withColumns({"log_lower": lower, "log_upper": upper}).select(
+    return banded(rows, below, above).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"), F.exp("log_perplexity").alias("perplexity"),
         F.exp("log_lower").alias("perplexity_lower"), F.exp("log_upper").alias("perplexity_upper"),

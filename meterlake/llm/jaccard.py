@@ -1,18 +1,23 @@
 """Exact Jaccard join of documents on word shingles, as classes of linked documents.
 
-Equal sets are found by signature first, and only one of them goes on. Tokens are ordered by their
-hash but for the frequent ones, which come last, rarest first. Two linked sets share at least
+Equal sets are found by a 128-bit signature first, and only one of them goes on. Tokens are ordered
+by their hash but for the frequent ones, which come last, rarest first. Two linked sets share at least
 ``margin(n)`` tokens of their extended prefixes, so a set that shares fewer of its own with any
-others is done; the rest meet in index lists, read whole and by set size: pairs whose sizes rule
-a link out are left out one by one, no blocks are skipped. A pair is a candidate if it shares enough tokens over all short lists.
-Sets with as many tokens in long lists meet again among themselves, where a long list ties every
-set to the first of its run instead. What is so tied is a group, and
-a group's sets are compared exactly, in pairs of blocks of bounded size. There a set's overlaps
-with all others are derived from those of the most similar set already answered, by the postings
-of the few tokens that the two do not share.
-
-Frequent tokens only decide the order, from per-task counts over all documents; any order is exact.
-64-bit hashes stand for shingles and sets.
+others is done; the rest meet in index lists, whose entries have the set's size and the token's
+position in it. A list is read in blocks with bounds of both, and blocks that these rule out are
+skipped: a link needs sizes in proportion, and a common token can't stand further apart in two
+sets than they have other tokens. A pair is a candidate if it shares enough tokens over all short
+lists. Sets with as many tokens in long lists meet again among themselves, where a long list ties
+blocks that may be linked instead. Lists of very frequent tokens are split over tasks, whose runs of
+tied blocks are tied in turn.
+
+What is so tied is a group. Its sets are compared exactly in pairs of blocks of bounded size, and
+only such as lie in the same or neighbouring bands of set size. There a set's overlaps with all
+others are derived from those of the most similar set already answered, by the postings of the few
+tokens that the two do not share.
+
+Frequent tokens only decide the order and the splits, from per-task counts over all documents; any
+order is exact. 64-bit hashes stand for shingles.
 
 Defined results: null and wordless texts are empty sets, linked with nothing; fewer words than a
 shingle are one shingle; repeated rows are copies and linked; equal doc_ids with different texts
@@ -22,6 +27,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +40,10 @@ from meterlake.llm.graph import components
 
 SHINGLE = 3
 PERCENT = 90
-#: Sets in one block; a task compares two blocks at a time.
-BLOCK = 128
+#: Tokens in one block of sets; a task compares two blocks at a time.
+BLOCK_TOKENS = 1_000_000
+#: Entries in a block of an index list, and documents of a token above which its list is split over tasks.
+LIST_BLOCK, SPLIT = 32, 128
 #: Sets in an index list whose pairs are counted; a longer one is a long list.
 SHORT = 16
 TIED = 1 << 40
@@ -62,11 +71,11 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(x)
 
 
-def signature(tokens: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
+def signature(tokens: np.ndarray) -> tuple[int, int]:
+    """The signed halves of a set's 128-bit name: its node, and what tells nodes apart that are equal by chance."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).astype(np.int64))
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(tokens.tobytes(), seed=len(tokens)))
 
 
 def _least_overlap(sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -87,8 +96,13 @@ def extended_length(n: int, percent: int) -> int:
     return prefix_length(n, percent) + margin(n) - 1
 
 
+def apart(size: int, percent: int) -> int:
+    """How far apart a token can stand in two linked sets, the larger of which has this size."""
+    return size * (100 - percent) // 100
+
+
 class Order:
-    """Frequent tokens and their ranks; a smaller rank is rarer."""
+    """Frequent tokens and their ranks; a smaller rank is rarer. Lists of the most frequent are split."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         by_token = np.argsort(tokens)
@@ -96,6 +110,15 @@ class Order:
         rank = np.empty(len(tokens), np.int64)
         rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))
         self.rank = rank[by_token]
+        self.splits = np.maximum(1, -(-counts[by_token] // SPLIT))
+
+    def split(self, tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The part of a split list that each entry goes to; -1 where the list is whole."""
+        if not len(self.tokens):
+            return np.full(len(tokens), -1)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        n = np.where(self.tokens[at] == tokens, self.splits[at], 1)
+        return np.where(n > 1, (nodes.view(np.uint64) >> np.uint64(7)).astype(np.int64) % n, -1)
 
     def prefix(self, tokens: np.ndarray, length: int) -> np.ndarray:
         if not len(self.tokens):
@@ -140,133 +163,227 @@ def _described(batches: Iterator, order: Order, width: int, percent: int) -> Ite
     import pyarrow as pa
 
     for batch in slices(batches):
-        nodes, sizes, prefixes = [], [], []
+        nodes, checks, sizes, prefixes = [], [], [], []
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, width)
-            nodes.append(signature(tokens) if len(tokens) else None)
+            node, check = signature(tokens) if len(tokens) else (None, None)
+            nodes.append(node)
+            checks.append(check)
             sizes.append(len(tokens))
             prefixes.append(order.prefix(tokens, extended_length(len(tokens), percent)).tobytes() if len(tokens) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "node", "size", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "node", "check", "size", "prefix"])
 
 
-def _listed(batches: Iterator) -> Iterator:
-    """The index entries of sets: token, size, node."""
+def _listed(batches: Iterator, order: Order) -> Iterator:
+    """The index entries of sets: token, part of its list, size, position, node."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches, 2000):
         tokens = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
         if tokens:
             counts = np.array([len(t) for t in tokens])
-            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(size, counts)), pa.array(np.repeat(node, counts))], ["token", "size", "node"])
+            every, node = np.concatenate(tokens), np.repeat(batch.column(0).to_numpy(), counts)
+            position = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
+            part, size = order.split(every.view(np.uint64), node), np.repeat(batch.column(1).to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(part), pa.array(size), pa.array(position), pa.array(node)], ["token", "part", "size", "position", "node"])
 
 
-def index_lists(nodes: DataFrame, *order: str) -> DataFrame:
-    entries = nodes.select("node", "size", "prefix").mapInArrow(_listed, "token long, size long, node long")
-    return entries.select("token", *order).repartition("token").sortWithinPartitions("token", *order)
+def index_lists(nodes: DataFrame, order, *by: str) -> DataFrame:
+    """Index entries, lists in the given order; ``order`` is a broadcast ``Order``."""
+    entries = nodes.select("node", "size", "prefix").mapInArrow(lambda b: _listed(b, order.value), "token long, part long, size long, position long, node long")
+    return entries.select("token", "part", *by).repartition("token", "part").sortWithinPartitions("token", "part", *by)
 
 
 def _shared(batches: Iterator) -> Iterator:
-    """How many of its tokens each node shares with others, over rows ordered by token."""
+    """How many of its tokens each node shares with others, over rows ordered by token; split lists are shared."""
     import pyarrow as pa
 
     last_token, last_node, counted = None, None, True
     for batch in batches:
-        token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        token, part, node = (batch.column(k).to_numpy() for k in range(3))
         if not len(token):
             continue
-        shared = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
+        shared = part >= 0
+        same = (token[1:] == token[:-1]) & (part[1:] == part[:-1])
         shared[1:] |= same
         shared[:-1] |= same
         found = []
-        if last_token is not None and token[0] == last_token:
+        if last_token is not None and (token[0], part[0]) == last_token:
             shared[0] = True
             if not counted:
                 found = [last_node]
-        last_token, last_node, counted = token[-1], node[-1], bool(shared[-1])
+        last_token, last_node, counted = (token[-1], part[-1]), node[-1], bool(shared[-1])
         nodes, n = np.unique(np.concatenate([node[shared], np.array(found, np.int64)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n.astype(np.int64))], ["node", "n"])
 
 
-def sharing(nodes: DataFrame, percent: int) -> DataFrame:
+def sharing(nodes: DataFrame, order, percent: int) -> DataFrame:
     """The nodes that share enough of their extended prefix to have any link."""
-    counts = index_lists(nodes, "node").mapInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    counts = index_lists(nodes, order, "node").mapInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     least = F.floor(F.ceil(F.col("size") * percent / 100) / 20) + 1
     return nodes.join(counts, "node").where(F.col("n") >= least).drop("n")
 
 
+class Run:
+    """Sets of a list that are tied to the first, with the least and greatest of their sizes and positions."""
+
+    def __init__(self, first: int, low: int, high: int, near: int, far: int):
+        self.first, self.low, self.high, self.near, self.far = first, low, high, near, far
+
+
+def tied_runs(blocks: Iterator[Run], percent: int, tie) -> Iterator[Run]:
+    """Runs of blocks given by ascending ``low``; blocks that no member of a run can be linked with are skipped."""
+    open_: list[Run] = []
+    for block in blocks:
+        run, rest = block, []
+        for other in open_:
+            reach = apart(max(block.high, other.high), percent)
+            if other.high * 100 < block.low * percent:  # nor can any block that follows
+                yield other
+            elif block.near - other.far > reach or other.near - block.far > reach:
+                rest.append(other)
+            else:
+                tie(other.first, run.first)
+                run = Run(other.first, min(other.low, run.low), max(other.high, run.high), min(other.near, run.near), max(other.far, run.far))
+        open_ = [*rest, run]
+    yield from open_
+
+
+def short_pairs(entries: list[tuple[int, int, int]], percent: int) -> Iterator[tuple[int, int, int]]:
+    """Pairs of entries (size, position, node) by ascending size that may be linked: node, node and the smaller size.
+
+    Blocks whose sizes or positions rule it out are skipped whole.
+    """
+    step = 4
+    bounds = [(entries[k][0], min(e[1] for e in entries[k : k + step]), max(e[1] for e in entries[k : k + step])) for k in range(0, len(entries), step)]
+    for k, (n, at, v) in enumerate(entries):
+        reach = apart(n, percent)
+        for b, (_, near, far) in enumerate(bounds[: k // step + 1]):
+            last = entries[min(b * step + step, k) - 1][0] if b * step < k else 0
+            if last * 100 < n * percent or near - at > reach or at - far > reach:
+                continue
+            for m, other, u in entries[b * step : min(b * step + step, k)]:
+                if m * 100 >= n * percent and min(at, other) + min(n - at, m - other) >= -(-(n + m) * percent // (100 + percent)):
+                    yield u, v, m
+
+
 def _candidates(batches: Iterator, percent: int, tie: bool) -> Iterator:
     """Pairs by index list: how many tokens of short lists they share.
 
-    In a long list sets are tied to the first of their run, or else, with no partner, are only
-    told how many of their tokens are in long lists.
+    In a long list blocks are tied where links are possible, or else, with no partner, sets are only
+    told how many of their tokens are in long lists. Of split lists the runs are given too, with the
+    token: a is the first of the run, b null, and n below 0.
     """
     import pyarrow as pa
 
-    token_now, short, long, first, reach = None, [], False, None, -1
     found: dict[tuple[int, int | None, int], int] = {}
-
-    def paired() -> None:
-        for k, (n, v) in enumerate(short):
-            for m, u in short[:k]:
-                if m * 100 >= n * percent:
-                    found[u, v, m] = found.get((u, v, m), 0) + 1
-
-    def tied(n: int, v: int) -> None:
-        nonlocal first, reach
-        if not tie:
-            found[v, None, 0] = found.get((v, None, 0), 0) + 1
-            return
-        if first is not None and reach * 100 >= n * percent:
-            found[first, v, 0] = TIED
-        else:
-            first = v
-        reach = n
+    runs: list[tuple] = []
+    names = ["a", "b", "size", "n", "token", "high", "near", "far"]
 
     def out() -> pa.RecordBatch:
-        a, b, size = zip(*found, strict=True)
-        rows = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int64()), pa.array(found.values(), pa.int64())], ["a", "b", "size", "n"])
+        a, b, size = zip(*found, strict=True) if found else ((), (), ())
+        columns = [pa.array([*x, *y], pa.int64()) for x, y in zip((a, b, size, found.values()), zip(*[(r[0], None, r[1], -1) for r in runs], strict=True) if runs else ((),) * 4, strict=True)]
+        columns += [pa.array([*[None] * len(found), *y], pa.int64()) for y in (zip(*[r[2:] for r in runs], strict=True) if runs else ((),) * 4)]
+        rows = pa.RecordBatch.from_arrays(columns, names)
         found.clear()
+        runs.clear()
         return rows
 
+    def linked(u: int, v: int) -> None:
+        found[u, v, 0] = TIED
+
+    def listed(token: int, part: int, entries: np.ndarray) -> None:
+        if part < 0 and len(entries) <= SHORT:
+            for u, v, m in short_pairs(list(map(tuple, entries.tolist())), percent):
+                found[u, v, m] = found.get((u, v, m), 0) + 1
+        elif not tie:
+            for v in entries[:, 2].tolist():
+                found[v, None, 0] = found.get((v, None, 0), 0) + 1
+        else:
+            made = tied_runs(blocks_of(entries, linked), percent, linked)
+            runs.extend((x.first, x.low, token, x.high, x.near, x.far) for x in made if part >= 0)
+
+    for token, part, entries in whole_lists(batches):
+        listed(token, part, entries)
+        if len(found) + len(runs) > 200_000:
+            yield out()
+    yield out()
+
+
+def blocks_of(entries: np.ndarray, tie) -> Iterator[Run]:
+    """Blocks of entries (size, position, node) by size and position, each tied to its first."""
+    for at in range(0, len(entries), LIST_BLOCK):
+        some = entries[at : at + LIST_BLOCK]
+        first = int(some[0, 2])
+        for v in some[1:, 2].tolist():
+            tie(first, v)
+        yield Run(first, int(some[0, 0]), int(some[-1, 0]), int(some[:, 1].min()), int(some[:, 1].max()))
+
+
+def whole_lists(batches: Iterator) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Lists of two entries or more, or split ones: token, part and rows of size, position and node, from rows in that order."""
+    held: list[np.ndarray] = []
     for batch in batches:
-        token, size, node = (batch.column(k).to_numpy() for k in range(3))
-        if not len(token):
+        rows = np.stack([batch.column(k).to_numpy() for k in range(5)], axis=1)
+        if not len(rows):
             continue
-        alone = np.ones(len(token), bool)
-        same = token[1:] == token[:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        alone[-1] = False  # the next batch may go on with it
-        alone[0] &= token[0] != token_now
-        rows = (~alone).nonzero()[0]
-        for t, n, v in zip(token[rows].tolist(), size[rows].tolist(), node[rows].tolist(), strict=True):
-            if t != token_now:
-                paired()
-                token_now, short, long, first, reach = t, [], False, None, -1
-            if not long and len(short) == SHORT:
-                long = True
-                for x in short:
-                    tied(*x)
-                short = []
-            if long:
-                tied(n, v)
-            else:
-                short.append((n, v))
-        if len(found) > 200_000:
-            yield out()
-    paired()
-    if found:
+        cuts = [0, *((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)).nonzero()[0] + 1, len(rows)]
+        lengths = np.diff(cuts)
+        if held and (held[-1][-1, :2] != rows[0, :2]).any():
+            yield from _listable(np.concatenate(held))
+            held = []
+        if len(cuts) == 2:
+            held.append(rows)
+            continue
+        if held:
+            yield from _listable(np.concatenate([*held, rows[: cuts[1]]]))
+        inner = (lengths[:-1] > 1) | (rows[np.array(cuts[:-2], np.int64), 1] >= 0)
+        inner[0] &= not held
+        for k in inner.nonzero()[0].tolist():
+            yield from _listable(rows[cuts[k] : cuts[k + 1]])
+        held = [rows[cuts[-2] :]]
+    if held:
+        yield from _listable(np.concatenate(held))
+
+
+def _listable(rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    if len(rows) > 1 or rows[0, 1] >= 0:
+        yield int(rows[0, 0]), int(rows[0, 1]), rows[:, 2:]
+
+
+def _tied_again(batches: Iterator, percent: int) -> Iterator:
+    """Ties between the runs of split lists, from rows (token, low, high, near, far, first) in order."""
+    import pyarrow as pa
+
+    now, held = None, []
+
+    def out() -> pa.RecordBatch:
+        pairs: set[tuple[int, int]] = set()
+        for _ in tied_runs((Run(first, *bounds) for *bounds, first in held), percent, lambda u, v: pairs.add((u, v))):
+            pass
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for token, *run in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+            if token != now and held:
+                yield out()
+                held = []
+            now = token
+            held.append(run)
+    if held:
         yield out()
 
 
-def _pairs(nodes: DataFrame, percent: int, tie: bool) -> DataFrame:
-    rows = index_lists(nodes, "size", "node").mapInArrow(lambda b: _candidates(b, percent, tie), "a long, b long, size long, n long")
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+def _pairs(nodes: DataFrame, order, percent: int, tie: bool) -> DataFrame:
+    schema = "a long, b long, size long, n long, token long, high long, near long, far long"
+    return index_lists(nodes, order, "size", "position", "node").mapInArrow(lambda b: _candidates(b, percent, tie), schema)
+
 
+def summed(pairs: DataFrame) -> DataFrame:
+    return pairs.where("token is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
+
+def candidates(nodes: DataFrame, order, percent: int) -> DataFrame:
     """Edges (a, b) such that any linked pair is connected by them.
 
     A pair that shares ``margin`` tokens in all shares so many less those of either set in long
@@ -274,7 +391,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     such sets meet again among themselves, where long lists tie them.
     """
     least = F.floor(F.col("size") / 20) + 1
-    counted = stored(_pairs(nodes, percent, False), "pairs")
+    counted = stored(summed(_pairs(nodes, order, percent, False)), "pairs")
     in_long = counted.where("b is null").select(F.col("a").alias("node"), F.col("n").alias("long"))
     pairs = counted.where("b is not null")
     for side in ("a", "b"):
@@ -282,8 +399,11 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     spared = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
     near = pairs.where((spared < least) & (F.col("n") >= least - spared)).select("a", "b")
     heavy = nodes.join(in_long, "node").where(F.col("long") >= F.floor(F.ceil(F.col("size") * percent / 100) / 20) + 1).drop("long")
-    tied = _pairs(stored(heavy, "heavy"), percent, True).where(F.col("n") >= least).select("a", "b")
-    return near.unionByName(tied)
+    lists = stored(_pairs(stored(heavy, "heavy"), order, percent, True), "ties")
+    tied = summed(lists).where(F.col("n") >= least).select("a", "b")
+    runs = lists.where("token is not null").select("token", F.col("size").alias("low"), "high", "near", "far", F.col("a").alias("first"))
+    again = runs.repartition("token").sortWithinPartitions("token", "low", "first").mapInArrow(lambda b: _tied_again(b, percent), "a long, b long")
+    return near.unionByName(tied).unionByName(again).where("a <> b").distinct()
 
 
 def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -388,45 +508,71 @@ def _sets(batches: Iterator, width: int) -> Iterator:
     for batch in slices(batches):
         columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
         rows = []
-        for node, group, size, copies, text in zip(*columns, strict=True):
+        for *given, check, text in zip(*columns, strict=True):
             tokens = shingles(text, width)
-            if len(tokens) and signature(tokens) == node:
-                rows.append((node, group, size, copies, tokens.tobytes()))
+            if len(tokens) and signature(tokens)[1] == check:
+                rows.append((*given, tokens.tobytes()))
         if rows:
-            a, b, c, d, e = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.binary())], ["node", "label", "members", "copies", "tokens"])
+            types = (*[batch.column(k).type for k in range(batch.num_columns - 2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*batch.schema.names[:-2], "tokens"])
+
+
+def size_band(size, percent: int):
+    """Bands of set size such that linked sets are in the same or neighbouring ones."""
+    return F.floor(F.log(size) / (math.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else size.cast("long")
 
 
 def block_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Every candidate set once for each block pair of its group: label, low, high, node, half, copies, tokens."""
-    sizes = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
-    members = sizes.groupBy("label").agg(F.count("*").alias("members"))
-    total = sizes.count()
-    grouped = lookup(sizes, members.withColumn("w", F.col("members")), "label", "w", total)
-    chosen = grouped.join(nodes.select("node", "first", "copies"), "node")
+    """Every candidate set once for each pair of blocks that it is compared in: label, low, high, node, half, copies, tokens.
+
+    A group's blocks lie in bands of set size; a block meets those of its own band and of the neighbouring ones.
+    """
+    members = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
+    chosen = stored(members.join(nodes.select("node", "check", "first", "copies", "size"), "node").withColumn("band", size_band(F.col("size"), percent)), "members")
+    blocks = chosen.groupBy("label", "band").agg(F.count("*").alias("weight"), F.ceil(F.sum("size") / BLOCK_TOKENS).alias("blocks"))
+    beside = blocks.select("label", F.inline(F.array(*[F.struct((F.col("band") + k).alias("band"), F.lit(k).alias("side"), F.col("blocks").alias("blocks")) for k in (-1, 0, 1)])))
+    # of each band of a group the blocks of its own, of the one above (from which it is one below) and of the one below
+    n = lambda k: F.coalesce(F.max(F.when(F.col("side") == -k, F.col("blocks"))), F.lit(0))
+    around = beside.groupBy("label", "band").agg(n(0).alias("own"), n(1).alias("above"), n(-1).alias("below")).where("own > 0")
+    around = around.join(blocks.select("label", "band", "weight"), ["label", "band"])
+    keyed = around.select(F.struct("label", "band").alias("at"), "weight", "own", "above", "below")
+    placed = lookup(chosen.withColumn("at", F.struct("label", "band")), keyed, "at", "weight", chosen.count())
+    low_bits = F.lit(1 << 24).cast("long")
+    run = lambda band, n: F.when(n > 0, F.sequence(band * low_bits, band * low_bits + n - 1)).otherwise(F.array().cast("array<long>"))
+    band = F.col("band")
+    others = F.concat(run(band, F.col("own")), run(band + 1, F.col("above")), run(band - 1, F.col("below")))
+    meets = placed.select("node", "label", "copies", (band * low_bits + F.pmod(F.xxhash64("node"), F.col("own"))).alias("block"), others.alias("others"), "check", "first")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    with_text = texts.join(chosen, F.col("_id").eqNullSafe(F.col("first"))).select("node", "label", "members", "copies", "text")
-    sets = with_text.mapInArrow(lambda b: _sets(b, width), "node long, label long, members long, copies long, tokens binary")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return pairs.select("label", low.alias("low"), high.alias("high"), "node", (F.col("own") > F.col("other")).cast("long").alias("half"), "copies", "tokens")
+    with_text = texts.join(meets, F.col("_id").eqNullSafe(F.col("first"))).select("node", "label", "copies", "block", "others", "check", "text")
+    sets = with_text.mapInArrow(lambda b: _sets(b, width), "node long, label long, copies long, block long, others array<long>, tokens binary")
+    pairs = sets.withColumn("other", F.explode("others"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return pairs.select("label", low.alias("low"), high.alias("high"), "node", (F.col("block") > F.col("other")).cast("long").alias("half"), "copies", "tokens")
+
+
+def distinct_sets(described: DataFrame) -> DataFrame:
+    """Stored: a row for each node; ``other`` is not ``check`` if its sets differ."""
+    sets = described.where("node is not null").groupBy("node").agg(
+        F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
+    )
+    return stored(sets, "nodes")
 
 
 def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: the size of its set, its class and its number of links."""
     order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, width))
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = stored(given.mapInArrow(lambda b: _described(b, order.value, width, percent), "doc_id long, node long, size long, prefix binary"), "sets")
-    nodes = stored(
-        described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix")),
-        "nodes",
-    )
-    edges = candidates(stored(sharing(nodes, percent), "sharing"), percent)
+    schema = "doc_id long, node long, check long, size long, prefix binary"
+    described = stored(given.mapInArrow(lambda b: _described(b, order.value, width, percent), schema), "sets")
+    nodes = distinct_sets(described)
+    while nodes.where("check <> other").head(1):  # sets whose nodes are equal by chance get others
+        described = stored(described.withColumn("node", F.xxhash64("node", "check")), "sets")
+        nodes = distinct_sets(described)
+    edges = candidates(stored(sharing(nodes, order, percent), "sharing"), order, percent)
     keyed = block_pairs(docs, nodes, components(edges), width, percent)
     ordered = keyed.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
     found = stored(ordered.mapInArrow(lambda b: _joined(b, percent), "a long, b long, links long"), "links")
+    order.destroy()
     labels = components(found.select("a", "b").distinct())
     counts = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     classed = nodes.select("node", "first", "copies").join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))

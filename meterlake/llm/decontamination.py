@@ -1,14 +1,15 @@
 """Benchmark decontamination over a positional inverted index of the training documents.
 
-Windows of consecutive benchmark words are looked up as exact phrases. The corpus counts of all
-benchmark words say which term of a window is rarest; the index stores the postings of those
-terms only, each with the words around it that the windows need. A posting proposes a window's
-start at its position less the term's offset; the second-rarest term is tried at its own adjusted
-offset before the rest. ``near`` answers proximity searches from the same postings.
+The index stores a posting (term, document, position) for every occurrence of a benchmark word in
+the documents, once, and its counts say which terms of a window are rarest. Windows of consecutive
+benchmark words are looked up from there: the postings of a window's rarest term are intersected
+with those of the second rarest, first within a distance, which gives the proximity matches, then
+at their adjusted offset; what is left is intersected with the lists of all other terms at theirs,
+which gives the exact phrases.
 
-The index is built where the documents are read: nothing of a text is shuffled but the stored
-postings' contexts. Benchmark words and windows are broadcast only while they are fewer than
-``MAX_BROADCAST``; beyond that the same joins shuffle.
+The index is built where the documents are read, and rows of it never hold more than one posting.
+Benchmark words, windows and the few positions left to look up are broadcast only while they are
+fewer than ``MAX_BROADCAST``; beyond that the same joins shuffle.
 
 Defined results: null texts have no words and match nothing; null items have no windows; repeated
 document rows are judged alike and each is returned; equal doc_ids with different texts are judged
@@ -24,6 +25,8 @@ from meterlake.llm.common import chosen_rows, stored, whole
 
 WINDOW = 10
 MAX_BROADCAST = 300_000
+#: Words that the two rarest terms of a window may stand apart in a proximity match.
+NEAR = 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,68 +57,79 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), words_of(whole()).alias("words"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """How often each term occurs in all documents; absent ones have 0."""
-    # outer, so that the optimizer derives no filter that would split every text once more
-    seen = _keyed(docs).select(F.explode_outer("words").alias("term"))
-    counted = seen.join(bounded(terms, n_terms), "term").groupBy("term").count()
-    return terms.join(counted, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: doc_id, text_key, term and pos of every occurrence of the ``terms``."""
+    rows = _keyed(docs).select("doc_id", "text_key", F.posexplode("words").alias("pos", "term"))
+    return stored(rows.join(bounded(terms, terms.count()), "term").select("term", "doc_id", "text_key", "pos"), "postings")
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
+def anchored(windows: DataFrame, index: DataFrame) -> DataFrame:
     """Each window with its rarest term and its second rarest, and their offsets."""
+    counts = index.groupBy("term").count()
     each = windows.select("item_id", "phrase", F.posexplode("phrase").alias("at", "term"))
-    ranked = each.join(counts, "term").groupBy("item_id", "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("r"))
+    known = each.join(counts, "term", "left").withColumn("n", F.coalesce("count", F.lit(0)))
+    ranked = known.groupBy("item_id", "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("r"))
     first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1)), F.col("r")[0])
-    return ranked.select(
+    return ranked.where(first["n"] > 0).select(
         "item_id", "phrase", first["term"].alias("term"), first["at"].alias("at"),
         second["term"].alias("term2"), second["at"].alias("at2"),
     )
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The index: every occurrence of the ``terms`` (term, before, after) with the words around it.
+def same_text(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
-    ``context`` begins ``lead`` words before the occurrence at ``pos``.
-    """
-    rows = _keyed(docs).select("doc_id", "text_key", "words", F.posexplode_outer("words").alias("pos", "term"))
-    lead = F.least("pos", "before")
-    return rows.join(bounded(terms, n_terms), "term").select(
-        "term", "doc_id", "text_key", "pos", lead.alias("lead"),
-        F.slice("words", F.col("pos") - lead + 1, lead + 1 + F.col("after")).alias("context"),
-    )
-
-
-def phrase_hits(index: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
-    """Exact occurrences: doc_id, text_key, item_id, start, n."""
-    start = F.col("lead") - F.col("at")
-    found = index.join(bounded(windows, n_windows), "term").where(
-        (start >= 0)
-        & (F.get("context", start + F.col("at2")) == F.col("term2"))
-        & (F.slice("context", F.greatest(start, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    )
-    return found.select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("at")).alias("start"), F.size("phrase").alias("n"))
 
+def near(index: DataFrame, pairs: DataFrame, within: int = NEAR) -> DataFrame:
+    """Proximity matches: the columns of ``pairs`` with doc_id, text_key and the positions pos of ``term`` and pos2 of ``term2``.
 
-def near(docs: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
-    """Where terms ``a`` and ``b`` of ``pairs`` stand at most ``within`` words apart: pairs' a and b, doc_id, pos of a."""
-    terms = pairs.select(F.col("a").alias("term")).distinct().withColumns({"before": F.lit(within), "after": F.lit(within)})
+    Positions are met in stretches of ``within`` words, so a frequent term costs no more in a long text.
+    ``alone`` pairs have one term only and match wherever it is.
+    """
     n = pairs.count()
-    around = postings(docs, terms, n).join(bounded(pairs, n), F.col("term") == F.col("a"))
-    others = F.concat(F.slice("context", F.lit(1), F.col("lead")), F.slice("context", F.col("lead") + 2, F.lit(within)))
-    return around.where(F.array_contains(others, F.col("b"))).select("a", "b", "doc_id", "pos")
+    first = index.join(bounded(pairs, n), "term")
+    stretch = F.floor(F.col("pos") / within)
+    around = first.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).where("not alone")
+    second = index.join(bounded(pairs.where("not alone").select(F.col("term2").alias("term")).distinct(), n), "term", "left_semi")
+    second = second.select(F.col("term").alias("_term"), "doc_id", "text_key", F.col("pos").alias("pos2"), stretch.alias("_stretch"))
+    met = around.join(second, (F.col("term2") == F.col("_term")) & (F.col("stretch") == F.col("_stretch")) & same_text(around, second))
+    met = met.where((F.abs(F.col("pos") - F.col("pos2")) <= within) & (F.col("pos") != F.col("pos2")))
+    columns = [*pairs.columns, "pos", "pos2"]
+    found = met.select(around["doc_id"], around["text_key"], *columns)
+    return found.unionByName(first.where("alone").withColumn("pos2", F.col("pos")).select("doc_id", "text_key", *columns)).distinct()
+
+
+PAIR = ["term", "term2", "alone"]
+
+
+def phrase_hits(index: DataFrame, matches: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Exact occurrences among proximity matches: doc_id, text_key, item_id, start, n."""
+    start = F.col("pos") - F.col("at")
+    placed = matches.join(bounded(anchors, anchors.count()), PAIR).where((start >= 0) & (F.col("pos2") == start + F.col("at2")))
+    placed = stored(placed.select("doc_id", "text_key", "item_id", "phrase", start.alias("start"), "at", "at2"), "placed")
+    words = placed.select("*", F.posexplode("phrase").alias("k", "word")).where("k <> at and k <> at2")
+    wanted = words.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "item_id", "phrase", "start", "k", F.col("word").alias("_term"), (F.col("start") + F.col("k")).alias("_pos"))
+    here = (index["term"] == F.col("_term")) & (index["pos"] == F.col("_pos")) & index["doc_id"].eqNullSafe(F.col("_id")) & (index["text_key"] == F.col("_key"))
+    met = index.join(bounded(wanted, wanted.count()), here).groupBy("doc_id", "text_key", "item_id", "phrase", "start").agg(F.count_distinct("k").alias("met"))
+    n = F.size("phrase")
+    whole_ones = placed.where(n <= 2).select("doc_id", "text_key", "item_id", "start", n.alias("n"))
+    return whole_ones.unionByName(met.where(F.col("met") == n - 2).select("doc_id", "text_key", "item_id", "start", n.alias("n")))
+
+
+def found(docs: DataFrame, items: DataFrame, window: int = WINDOW, within: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Proximity matches (doc_id, text_key, item_id) and exact occurrences of the items' windows in the documents."""
+    windows = stored(windows_of(items, window), "windows")
+    index = postings(docs, windows.select(F.explode("phrase").alias("term")).distinct())
+    anchors = stored(anchored(windows, index).withColumn("alone", F.size("phrase") == 1), "anchors")
+    matches = stored(near(index, anchors.select(*PAIR).distinct(), max(within, window - 1)), "matches")
+    close = matches.where(F.abs(F.col("pos") - F.col("pos2")) <= within).select("doc_id", "text_key", *PAIR).distinct()
+    items_of = anchors.select("item_id", *PAIR).distinct()
+    return close.join(bounded(items_of, items_of.count()), PAIR).select("doc_id", "text_key", "item_id"), phrase_hits(index, matches, anchors)
 
 
-def hits_by_document(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def hits_by_document(exact: DataFrame) -> DataFrame:
     """For each document with a hit: doc_id, text_key, spans (start, n) in order, item_ids."""
-    windows = stored(windows_of(items, window), "windows")
-    n_windows = windows.count()
-    terms = windows.select(F.explode("phrase").alias("term")).distinct()
-    n_terms = terms.count()
-    anchors = stored(anchored(windows, term_counts(docs, terms, n_terms)), "anchors")
-    reach = anchors.groupBy("term").agg(F.max("at").alias("before"), F.max(F.size("phrase") - F.col("at") - 1).alias("after"))
-    index = stored(postings(docs, reach, n_windows), "postings")
-    return phrase_hits(index, anchors, n_windows).groupBy("doc_id", "text_key").agg(
+    return exact.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
@@ -131,21 +145,28 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document with its hit words and the items found in it."""
-    hits = hits_by_document(docs, items, window).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, within: int = NEAR) -> DataFrame:
+    """One row per document with its hit words and the items found in it.
+
+    ``n_near`` counts the items of which the two rarest terms of a window stand at most ``within`` words apart.
+    """
+    close, exact = found(docs, items, window, within)
+    near_items = close.groupBy("doc_id", "text_key").agg(F.count_distinct("item_id").alias("n_near"))
+    hits = hits_by_document(exact)
+    both = near_items.join(hits, same_text(near_items, hits), "left").select(near_items["doc_id"].alias("_id"), near_items["text_key"].alias("_key"), "n_near", "spans", "items")
     all_docs = _keyed(docs).select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
-    joined = all_docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    joined = all_docs.join(both, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
-    found = F.coalesce("items", F.array().cast("array<string>"))
+    items_ = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
-        F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit, with their own columns."""
-    hits = hits_by_document(docs, items, window).select(F.struct("doc_id", "text_key"))
+    hits = found(docs, items, window)[1].select(F.struct("doc_id", "text_key")).distinct()
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     return chosen_rows(docs, key, hits, "left_anti")

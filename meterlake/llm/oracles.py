@@ -23,11 +23,27 @@ WITH docs AS (
 ), found AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+), places AS (
+  SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM docs
+), counts AS (
+  SELECT term, count(*) AS n FROM places GROUP BY term
+), terms AS (
+  SELECT item_id, phrase, unnest(string_split(phrase, ' ')) AS term, unnest(range(0, n)) AS place FROM item_windows
+), ranked AS (
+  SELECT t.item_id, t.phrase, t.term, coalesce(c.n, 0) AS n, row_number() OVER (PARTITION BY t.item_id, t.phrase ORDER BY coalesce(c.n, 0), t.place) AS r
+  FROM terms t LEFT JOIN counts c USING (term)
+), anchors AS (
+  SELECT item_id, max(term) FILTER (WHERE r = 1) AS first, max(term) FILTER (WHERE r = 2) AS second FROM ranked GROUP BY item_id, phrase
+), near AS (
+  SELECT a.doc_id, count(DISTINCT x.item_id) AS n_near
+  FROM (SELECT DISTINCT item_id, first, second FROM anchors) x JOIN places a ON a.term = x.first
+  LEFT JOIN places b ON b.term = x.second AND b.doc_id = a.doc_id AND abs(a.pos - b.pos) <= 20 AND a.pos <> b.pos
+  WHERE x.second IS NULL OR b.doc_id IS NOT NULL GROUP BY a.doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items, coalesce(f.items_sha256, sha256('')) AS items_sha256,
-  coalesce(w.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN words w USING (doc_id) LEFT JOIN found f USING (doc_id)
+  coalesce(w.n_hit, 0) > 0 AS contaminated, CAST(coalesce(n.n_near, 0) AS BIGINT) AS n_near
+FROM docs d LEFT JOIN words w USING (doc_id) LEFT JOIN found f USING (doc_id) LEFT JOIN near n USING (doc_id)
 """
 
 CHAT = r"""

@@ -17,12 +17,13 @@ from meterlake.schema import LEDGER, STATE, align
 
 KEY = ("source", "source_id")
 BUCKETS = 1024
+ACK = "source string, source_id string, at string"
 #: Kept from the row that was there when its key comes again.
 KEPT = ("id", "source", "source_id", "synced_at")
 
 
 def latest(batch: DataFrame) -> DataFrame:
-    """The last row of each key by ``seq``; one aggregate, no sort."""
+    """The last row of each key by ``seq``: one aggregate, combined before the shuffle; as it keeps whole rows, Spark sorts by key for it."""
     rest = [c for c in batch.columns if c not in (*KEY, "seq")]
     last = batch.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct(F.col("seq").isNotNull(), "seq")).alias("r"))
     return last.select(*KEY, "r.*")
@@ -65,10 +66,10 @@ def new_rows(old: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.select(*KEY).distinct().join(old.select(*KEY), list(KEY), "left_anti")
 
 
-def acknowledged(ledger: DataFrame, keys: DataFrame, now: str) -> DataFrame:
-    """The ledger with synced_at set on the keys."""
-    marked = ledger.join(keys.select(*KEY).distinct().withColumn("_hit", F.lit(True)), list(KEY), "left")
-    return marked.withColumn("synced_at", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("synced_at"))).select(*LEDGER.names)
+def acknowledged(ledger: DataFrame, noted: DataFrame) -> DataFrame:
+    """The ledger with synced_at set on the keys of ``noted`` (unique source and source_id, at)."""
+    marked = ledger.join(noted.select(*KEY, F.col("at").alias("_at")), list(KEY), "left")
+    return marked.withColumn("synced_at", F.coalesce("_at", "synced_at")).select(*LEDGER.names)
 
 
 def record_totals(ledger: DataFrame) -> DataFrame:
@@ -128,8 +129,25 @@ class Snapshots:
 
 
 class Store:
-    """The ledger and the state of the sources under one folder."""
+    """The ledger, the state of the sources and the acknowledgements not yet in the ledger, under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.acks = spark, f"{folder.rstrip('/')}/acknowledged"
         self.records = Snapshots(spark, f"{folder.rstrip('/')}/usage_record", LEDGER)
         self.state = Snapshots(spark, f"{folder.rstrip('/')}/collector_state", STATE)
+
+    def acknowledge(self, keys: list[tuple[str, str]], now: str) -> None:
+        """Note at once that records were sent; ``settle`` brings the notes into the ledger."""
+        self.spark.createDataFrame([(*k, now) for k in keys], ACK).coalesce(1).write.mode("append").parquet(self.acks)
+
+    def settle(self) -> int:
+        """Mark what was acknowledged in the ledger, in one commit; how many records."""
+        path = self.records._path(self.acks)
+        if not self.records.fs.exists(path):
+            return 0
+        noted = self.spark.read.schema(ACK).parquet(self.acks).groupBy(*KEY).agg(F.max("at").alias("at"))
+        n = noted.count()
+        if n:
+            self.records.commit(acknowledged(self.records.read(), noted))
+        self.records.fs.delete(path, True)
+        return n

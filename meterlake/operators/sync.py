@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.times import stamp
-from meterlake.operators.ledger import Store, acknowledged
+from meterlake.operators.ledger import Store
 from meterlake.schema import LEDGER
 
 PAGE, PAGES = 500, 200
@@ -60,26 +60,26 @@ def from_environment() -> Transport | None:
 def sync(store: Store, transport: Transport | None, size: int = PAGE, most: int = PAGES) -> tuple[int, int]:
     """Send eligible records page by page until one fails; returns records and pages sent.
 
-    What was sent is marked in one commit at the end, failure or not. Pages go to the driver one
-    after the other, and there are ``size * most`` records in a run.
+    Every page is acknowledged as soon as it was sent, in a small file of its own, so a run that is
+    cut off sends no page again; the ledger takes these in at the end, or at the start of the next
+    run. Pages go to the driver one after the other, and there are ``size * most`` records in a run.
     """
     if transport is None:
         log.info("sync disabled (no address or token)")
         return 0, 0
-    records, sent, n = store.records.read(), [], 0
-    rows = payload(pages(records, size, most)).orderBy("id").toLocalIterator()
+    store.settle()
+    sent, n = 0, 0
+    rows = payload(pages(store.records.read(), size, most)).orderBy("id").toLocalIterator()
     while page := [r for _, r in zip(range(size), rows, strict=False)]:
         try:
             transport('{"records":[' + ",".join(r["body"] for r in page) + "]}")
         except Exception as error:  # any transport failure ends the run and leaves the rest for the next
             log.error("sync failed: %s", error)
             break
-        sent += [(r["source"], r["source_id"]) for r in page]
-        n += 1
-    if sent:
-        keys = records.sparkSession.createDataFrame(sent, "source string, source_id string")
-        store.records.commit(acknowledged(records, keys, stamp(datetime.now(UTC))))
-    return len(sent), n
+        store.acknowledge([(r["source"], r["source_id"]) for r in page], stamp(datetime.now(UTC)))
+        sent, n = sent + len(page), n + 1
+    store.settle()
+    return sent, n
 
 
 def parsed(body: str) -> list[dict]:

@@ -2,28 +2,63 @@
 
 Spark's own file stream takes a file once. This one keeps a byte offset for each file, behind the
 last line feed it has read, and so delivers appended lines, holds back an unfinished last line,
-and starts a file anew when it has shrunk.
+and starts a file anew when it has shrunk. Long stretches of a file are split over tasks, each of
+which has the lines that begin in its range of bytes. Files may be on any file system that pyarrow
+reads (bare paths, ``file:``, ``hdfs:``, ``s3:``, ``gs:``).
 """
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import json
 import os
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 SCHEMA = "path string, offset long, value string"
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Bytes of a file that one task reads at most.
+SPLIT = 64 << 20
+
+
+def place(path: str):
+    """The file system of a path and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 def listed(patterns: str) -> list[str]:
-    """The files of comma-separated patterns, in order."""
-    return sorted({p for pattern in patterns.split(",") for p in glob.glob(pattern) if os.path.isfile(p)})
+    """The files of comma-separated patterns, in order. Beyond bare paths a pattern may vary in its last part only."""
+    found = set()
+    for pattern in patterns.split(","):
+        if "://" not in pattern:
+            found.update(p for p in glob.glob(pattern) if os.path.isfile(p))
+            continue
+        from pyarrow import fs
+
+        system, path = place(pattern)
+        folder, _, name = path.rpartition("/")
+        start = pattern[: len(pattern) - len(name)]
+        infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        found.update(start + i.base_name for i in infos if i.is_file and fnmatch.fnmatch(i.base_name, name))
+    return sorted(found)
+
+
+def size_of(path: str) -> int:
+    system, inner = place(path)
+    return system.get_file_info(inner).size
 
 
 def parse_cursor(cursor: str | None) -> dict[str, int]:
@@ -37,12 +72,12 @@ def parse_cursor(cursor: str | None) -> dict[str, int]:
 
 def end_of_lines(path: str, start: int) -> int:
     """The offset behind the last line feed from ``start`` on; ``start`` if there is none."""
-    with open(path, "rb") as f:
-        at = f.seek(0, os.SEEK_END)
+    system, inner = place(path)
+    with system.open_input_file(inner) as f:
+        at = f.size()
         while at > start:
             low = max(start, at - CHUNK)
-            f.seek(low)
-            k = f.read(at - low).rfind(b"\n")
+            k = f.read_at(at - low, low).rfind(b"\n")
             if k >= 0:
                 return low + k + 1
             at = low
@@ -53,7 +88,7 @@ def advanced(patterns: str, known: dict[str, int]) -> dict[str, int]:
     """Offsets up to which whole lines can be read now."""
     out = dict(known)
     for path in listed(patterns):
-        size, start = os.path.getsize(path), known.get(path, 0)
+        size, start = size_of(path), known.get(path, 0)
         if size < start:
             start = 0
         out[path] = end_of_lines(path, start) if size > start else start
@@ -61,31 +96,48 @@ def advanced(patterns: str, known: dict[str, int]) -> dict[str, int]:
 
 
 class Stretch(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+    """The lines of a file that begin from ``start`` to before ``stop``; ``inner`` if a line may lie across its start."""
+
+    def __init__(self, path: str, start: int, stop: int, inner: bool = False):
+        self.path, self.start, self.stop, self.inner = path, start, stop, inner
 
 
-def stretches(begin: dict[str, int], end: dict[str, int]) -> list[Stretch]:
+def stretches(begin: dict[str, int], end: dict[str, int], split: int = SPLIT) -> list[Stretch]:
     """What to read between two sets of offsets; a file whose offset fell is read from its start."""
     out = []
     for path, stop in sorted(end.items()):
         start = begin.get(path, 0)
         if stop < start:
             start = 0
-        if stop > start:
-            out.append(Stretch(path, start, stop))
+        out += [Stretch(path, at, min(stop, at + split), at > start) for at in range(start, stop, split)]
     return out
 
 
-def lines(part: Stretch) -> Iterator[tuple[str, int, str]]:
-    with open(part.path, "rb") as f:
-        f.seek(part.start)
-        at = part.start
-        while at < part.stop and (line := f.readline()):
-            text = line.rstrip(b"\n").rstrip(b"\r")
-            if text:
-                yield part.path, at, text.decode("utf-8", "replace")
-            at += len(line)
+def lines(part: Stretch) -> Iterator[pa.RecordBatch]:
+    """The lines of a stretch but for empty ones, in batches."""
+    import pyarrow as pa
+
+    system, inner = place(part.path)
+    with system.open_input_file(inner) as f:
+        at, held, whole = part.start - part.inner, b"", not part.inner  # a line that began before belongs to the stretch before
+        while at < part.stop:
+            f.seek(at + len(held))
+            data = f.read(CHUNK)
+            held += data
+            cut = held.rfind(b"\n") + 1 if data else len(held)
+            if not cut and data:
+                continue
+            offsets, values = [], []
+            for line in held[:cut].split(b"\n"):
+                if whole and at < part.stop and (text := line.rstrip(b"\r")):
+                    offsets.append(at)
+                    values.append(text.decode("utf-8", "replace"))
+                at, whole = at + len(line) + 1, True
+            at -= 1  # behind the last line feed there is no line yet
+            held = held[cut:]
+            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], ["path", "offset", "value"])
+            if not data:
+                break
 
 
 class TailReader(DataSourceStreamReader):
@@ -103,7 +155,7 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
         return stretches(start, end)
 
-    def read(self, partition: Stretch) -> Iterator[tuple[str, int, str]]:
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         return lines(partition)
 
     def commit(self, end: dict) -> None:
@@ -116,17 +168,17 @@ class LinesReader(DataSourceReader):
     def __init__(self, options: dict):
         begin = parse_cursor(options.get("cursor"))
         end = parse_cursor(options["end"]) if "end" in options else advanced(options["path"], begin)
-        self.parts = stretches(begin, end)
+        self.parts = stretches(begin, end, int(options.get("split", SPLIT)))
 
     def partitions(self) -> list[Stretch]:
         return self.parts or [Stretch("", 0, 0)]
 
-    def read(self, partition: Stretch) -> Iterator[tuple[str, int, str]]:
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         return lines(partition) if partition.path else iter(())
 
 
 class GrowingLines(DataSource):
-    """``format("growing_lines")`` with ``path`` (patterns), and optionally ``cursor`` and ``end``."""
+    """``format("growing_lines")`` with ``path`` (patterns), and optionally ``cursor``, ``end`` and ``split``."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,10 +194,10 @@ class GrowingLines(DataSource):
         return TailReader(self.options)
 
 
-def scan(spark: SparkSession, patterns: str, cursor: dict[str, int] | None = None, end: dict[str, int] | None = None) -> DataFrame:
+def scan(spark: SparkSession, patterns: str, cursor: dict[str, int] | None = None, end: dict[str, int] | None = None, split: int = SPLIT) -> DataFrame:
     """The whole lines of files behind a cursor: path, offset, value."""
     spark.dataSource.register(GrowingLines)
-    reader = spark.read.format("growing_lines").option("path", patterns).option("cursor", json.dumps(cursor or {}))
+    reader = spark.read.format("growing_lines").option("path", patterns).option("cursor", json.dumps(cursor or {})).option("split", split)
     return (reader.option("end", json.dumps(end)) if end is not None else reader).load()
 
 

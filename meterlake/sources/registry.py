@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -14,6 +16,9 @@ from meterlake import schema
 from meterlake.sources import lines, records, sqlite
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Paths:
     """Where the inputs are; patterns may be several, separated by commas."""
@@ -26,6 +31,7 @@ class Paths:
     coding: str
     hermes: str
     feuer: str
+    feuer_container: str | None = None
 
     @classmethod
     def from_environment(cls, home: str | None = None) -> Paths:
@@ -40,6 +46,7 @@ class Paths:
             session_env=os.path.join(home, ".claude", "logs", "*.jsonl"),
             coding=os.path.join(home, ".local", "share", "opencode", "opencode.db"),
             hermes=env("HERMES_DB", ".hermes", "state.db"),
+            feuer_container=os.environ.get("FEUER_CONTAINER") or None,
             feuer=env("FEUER_DB", "IuRoot", "prometheus-feuer-agent", "state", "hermes", "state.db"),
         )
 
@@ -93,9 +100,36 @@ def agent_source(name: str, path: str, workspace: str, project: str) -> Source:
     return Source(name, lambda: os.path.exists(path), collect, workspace)
 
 
-def exported_sessions(spark: SparkSession, path: str, source: str, project: str) -> DataFrame:
-    """Records of an agent's sessions from a JSON array, as a store in a container exports it."""
-    return records.agent_sessions(source, spark.read.schema(schema.AGENT_SESSION).json(path, multiLine=True), project)
+def container_source(name: str, container: str, workspace: str, project: str) -> Source:
+    """A source over the session store in a container, which exports it as a JSON array; always there."""
+
+    def collect(spark: SparkSession, cursor: str | None, now: datetime) -> Collected:
+        try:
+            told = exported(container)
+        except (OSError, ValueError, subprocess.SubprocessError) as error:
+            return Collected(empty(spark), cursor, str(error))
+        rows = exported_sessions(spark, told)
+        last = rows.agg(F.max("started_at")).first()[0]
+        return Collected(records.agent_sessions(name, rows, project), None if last is None else str(last))
+
+    return Source(name, lambda: True, collect, workspace)
+
+
+def exported(container: str) -> list[str]:
+    """One JSON object for each session in a container's store, by Python in it."""
+    names = ", ".join(f.name for f in schema.AGENT_SESSION.fields)
+    script = (
+        "import json, sqlite3\ndb = sqlite3.connect('file:/opt/data/state.db?mode=ro', uri=True)\ndb.row_factory = sqlite3.Row\n"
+        f"for row in db.execute('SELECT {names} FROM sessions'):\n    print(json.dumps(dict(row)))"
+    )
+    done = subprocess.run(["docker", "exec", container, "python3", "-c", script], capture_output=True, text=True, timeout=600, check=True)
+    return done.stdout.splitlines()
+
+
+def exported_sessions(spark: SparkSession, told: list[str]) -> DataFrame:
+    """Sessions from JSON objects as text."""
+    rows = spark.createDataFrame([(x,) for x in told], "value string")
+    return rows.select(F.from_json("value", schema.AGENT_SESSION).alias("j")).select("j.*")
 
 
 def coding_source(path: str) -> Source:
@@ -109,19 +143,24 @@ def coding_source(path: str) -> Source:
     return Source("opencode", lambda: os.path.exists(path), collect, "private")
 
 
+def _direct(spark: SparkSession, rows: DataFrame, now: str) -> DataFrame:
+    """Direct requests; those that have no key are told of."""
+    lost = records.keyless(rows)
+    n = lost.count()
+    if n:
+        log.warning("sideclaw-iu: %d rows without request_id dropped, such as %s", n, lost.first()["value"][:120])
+    return records.direct(rows, now)
+
+
 def sources(paths: Paths) -> dict[str, Source]:
     """All sources in the order in which they run."""
     work = lambda spark: records.windows(lines.scan(spark, paths.windows))
     found = (
         _by_lines("claude-code", paths.transcripts, lambda spark, rows, now: records.transcripts(rows, now)),
         agent_source("hermes", paths.hermes, "private", "hermes-agent"),
-        agent_source("feuer", paths.feuer, "work", "prometheus-feuer-agent"),
+        container_source("feuer", paths.feuer_container, "work", "prometheus-feuer-agent") if paths.feuer_container else agent_source("feuer", paths.feuer, "work", "prometheus-feuer-agent"),
         coding_source(paths.coding),
         _by_lines("litellm", paths.bridge, lambda spark, rows, now: records.bridge(rows, work(spark), now)),
-        _by_lines("sideclaw-iu", paths.direct, lambda spark, rows, now: records.direct(rows, now)),
+        _by_lines("sideclaw-iu", paths.direct, _direct),
     )
     return {s.name: s for s in found}
-
-
-def find(paths: Paths, name: str) -> Source | None:
-    return sources(paths).get(name)

@@ -1,5 +1,8 @@
 """Tables of SQLite files through Python's own library, read-only.
 
+A table is read in one transaction, so rows are of one moment while its owner goes on writing; such
+stores have thousands of rows. ``partitions`` above 1 gives up that and reads ranges of rowids.
+
 Every error ends in no rows and a note, as a source that cannot be read must not stop the others.
 """
 
@@ -8,6 +11,7 @@ from __future__ import annotations
 import os
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Rows(InputPartition):
-    """Rows of a range of rowids."""
+    """Rows of a range of rowids, or all."""
 
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -41,10 +45,12 @@ def _fitted(value: object, kind: T.DataType) -> object:
 class SqliteReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.path, self.table = schema, options["path"], options["table"]
-        self.parts = int(options.get("partitions", "4"))
+        self.parts = int(options.get("partitions", "1"))
 
     def partitions(self) -> list[Rows]:
-        with opened(self.path) as db:
+        if self.parts == 1:
+            return [Rows(None, None)]
+        with closing(opened(self.path)) as db:
             low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
         if low is None:
             return [Rows(0, 0)]
@@ -54,8 +60,9 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[tuple]:
         names = ", ".join(f'"{f.name}"' for f in self.schema.fields)
         kinds = [f.dataType for f in self.schema.fields]
-        with opened(self.path) as db:
-            for row in db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (partition.low, partition.high)):
+        some, bounds = (" WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)) if partition.low is not None else ("", ())
+        with closing(opened(self.path)) as db:
+            for row in db.execute(f'SELECT {names} FROM "{self.table}"{some}', bounds):
                 yield tuple(map(_fitted, row, kinds))
 
 
@@ -73,7 +80,7 @@ class SqliteTable(DataSource):
 def problem(path: str, table: str, schema: T.StructType) -> str | None:
     """What keeps the table from being read, or None."""
     try:
-        with opened(path) as db:
+        with closing(opened(path)) as db:
             db.execute(f"SELECT {', '.join(f'"{f.name}"' for f in schema.fields)} FROM \"{table}\" LIMIT 0")
     except sqlite3.Error as error:
         return str(error)

@@ -12,7 +12,8 @@ from meterlake.functions.times import cutoff, duration_ms, iso_millis, iso_secon
 from meterlake.operators import ledger as store
 from meterlake.operators import reports, sync
 from meterlake.operators.attribution import attributed
-from meterlake.plans import usage
+from meterlake.plans import inputs, usage
+from meterlake.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,7 +208,8 @@ def upsert_new_rows(spark, sf_dir):
 
 @query("SELECT session_id AS session, arg_max(project, id) AS base_url FROM base GROUP BY 1")
 def session_env_last_wins(spark, sf_dir):
-    return usage.base(spark, sf_dir).groupBy(F.col("session_id").alias("session")).agg(F.max_by("project", "id").alias("base_url"))
+    told = F.to_json(F.struct(F.lit("session_env").alias("event"), F.struct(F.col("session_id").alias("session"), F.col("project").alias("base_url")).alias("data")))
+    return records.session_env(usage.base(spark, sf_dir).select(F.lit("log").alias("path"), F.col("id").alias("offset"), told.alias("value")))
 
 
 _ELIGIBLE = "(synced_at IS NULL OR ingested_at > synced_at)"
@@ -265,3 +267,7 @@ def source_cursor_max(spark, sf_dir):
 @query("SELECT id, ts FROM base WHERE ts >= '2024-01-28 00:00:00'")
 def recent_records(spark, sf_dir):
     return usage.base(spark, sf_dir).where(F.col("ts") >= cutoff(usage.NOW, 3)).select("id", "ts")
+
+
+for _queries, _into in zip(inputs.registered(), (QUERIES, ORACLES), strict=True):
+    _into.update(_queries)

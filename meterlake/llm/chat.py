@@ -76,6 +76,31 @@ def neighbours(turns: DataFrame) -> DataFrame:
     return both.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in ("chosen", "rejected")})
 
 
+def _last(turns: Column) -> Column:
+    """The place from 1 of the last turn of the assistant, 0 if there is none."""
+    at = F.array_position(F.reverse(F.transform(turns, lambda t: F.coalesce(t["role"] == TRAINED, F.lit(False)))), True)
+    return F.coalesce(F.when(at > 0, F.size(turns) - at + 1), F.lit(0)).cast("int")
+
+
+def replies(turns: DataFrame) -> DataFrame:
+    """For every conversation its own last reply (chosen) against that of the neighbouring conversation (rejected).
+
+    Both sides have the turns before that reply; later turns go. Conversations 2k and 2k + 1 are
+    neighbours. Without a reply of its own a conversation is whole, and there is no rejected side
+    unless both have one.
+    """
+    both = neighbours(turns).withColumns({"_c": _last(F.col("chosen")), "_r": _last(F.col("rejected"))})
+
+    def side(conv_id: Column, own: str, at: str, other: str, other_at: str) -> Column:
+        before = F.slice(own, F.lit(1), F.greatest(F.col(at) - 1, F.lit(0)))
+        chosen = F.when(F.col(at) > 0, F.slice(own, F.lit(1), F.greatest(F.col(at), F.lit(1)))).otherwise(F.col(own))
+        rejected = F.when((F.col(at) > 0) & (F.col(other_at) > 0), F.concat(before, F.slice(other, F.greatest(F.col(other_at), F.lit(1)), F.lit(1))))
+        return F.struct(conv_id.alias("pair_id"), chosen.alias("chosen"), rejected.alias("rejected"))
+
+    sides = F.array(side(F.col("pair_id"), "chosen", "_c", "rejected", "_r"), side(F.col("pair_id") + 1, "rejected", "_r", "chosen", "_c"))
+    return both.select(F.inline(sides)).where("chosen is not null")
+
+
 def masked(mask: str) -> Column:
     """A mask as text, ``start-end`` joined by commas."""
     return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -40,8 +40,8 @@ from meterlake.llm.graph import components
 
 SHINGLE = 3
 PERCENT = 90
-#: Tokens in one block of sets; a task compares two blocks at a time.
-BLOCK_TOKENS = 1_000_000
+#: Tokens in one block of sets, for small and for large groups; a task compares two blocks at a time.
+BLOCK_TOKENS, LARGE_BLOCK_TOKENS = 40_000, 1_000_000
 #: Entries in a block of an index list, and documents of a token above which its list is split over tasks.
 LIST_BLOCK, SPLIT = 32, 128
 #: Sets in an index list whose pairs are counted; a longer one is a long list.
@@ -529,7 +529,9 @@ def block_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int
     """
     members = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
     chosen = stored(members.join(nodes.select("node", "check", "first", "copies", "size"), "node").withColumn("band", size_band(F.col("size"), percent)), "members")
-    blocks = chosen.groupBy("label", "band").agg(F.count("*").alias("weight"), F.ceil(F.sum("size") / BLOCK_TOKENS).alias("blocks"))
+    blocks = chosen.groupBy("label", "band").agg(F.count("*").alias("weight"), F.sum("size").alias("tokens"))
+    tokens = F.col("tokens")
+    blocks = blocks.withColumn("blocks", F.ceil(tokens / F.least(F.greatest(tokens / 16, F.lit(BLOCK_TOKENS)), F.lit(LARGE_BLOCK_TOKENS))))
     beside = blocks.select("label", F.inline(F.array(*[F.struct((F.col("band") + k).alias("band"), F.lit(k).alias("side"), F.col("blocks").alias("blocks")) for k in (-1, 0, 1)])))
     # of each band of a group the blocks of its own, of the one above (from which it is one below) and of the one below
     n = lambda k: F.coalesce(F.max(F.when(F.col("side") == -k, F.col("blocks"))), F.lit(0))

@@ -46,31 +46,32 @@ def _folding() -> np.ndarray:
 FOLD = _folding()
 
 
-def folded(data: bytes) -> np.ndarray:
-    """Lower-case letters with one space for each run of other ASCII."""
+def folded(data: bytes, before: int = 0, space: bool = False) -> np.ndarray:
+    """Lower-case letters with one space for each run of other ASCII; ``before`` is the byte before, ``space`` if it gave one."""
     given = np.frombuffer(data, np.uint8)
     b = FOLD[given]
-    upper = (b[1:] >= 0x80) & (b[1:] < 0x9F) & (b[:-1] == 0xC3)  # capital Latin-1 letters in UTF-8
-    b[1:][upper] += 0x20
-    space = b == 32
-    return b[np.concatenate([[True], ~(space[1:] & space[:-1])])]
+    previous = np.concatenate([[np.uint8(before)], given[:-1]])
+    b[(b >= 0x80) & (b < 0x9F) & (previous == 0xC3)] += 0x20  # capital Latin-1 letters in UTF-8
+    blank = b == 32
+    return b[~(blank & np.concatenate([[space], blank[:-1]]))]
 
 
 def features(text: str) -> np.ndarray:
     """Shares of the hashed bigrams, trigrams and 4-grams of the folded bytes."""
-    data = text.encode("utf-8", "replace")
-    counts = np.zeros(BUCKETS, np.int64)
+    data = b" " + text.encode("utf-8", "replace") + b" "
+    counts, tail, n = np.zeros(BUCKETS, np.int64), np.empty(0, np.uint32), 0
     for at in range(0, len(data), SLICE):
-        b = folded(b" " + data[at : at + SLICE] + b" ").astype(np.uint32)
-        if len(b) < 4:
-            continue
+        new = folded(data[at : at + SLICE], data[at - 1] if at else 0, bool(len(tail)) and tail[-1] == 32)
+        n += len(new)
+        b = np.concatenate([tail, new.astype(np.uint32)])
         two = b[:-1] * np.uint32(257) + b[1:]
         three = two[:-1] * np.uint32(8191) + b[2:] * np.uint32(131)
-        for grams in (two, three, three[:-1] * np.uint32(31) + b[3:]):
-            hashed = (grams * np.uint32(2654435761)) >> np.uint32(21)
-            counts += np.bincount(hashed, minlength=BUCKETS)
+        for k, grams in ((1, two), (2, three), (3, three[:-1] * np.uint32(31) + b[3:])):
+            new_ones = grams[max(0, len(tail) - k) :]  # those that end in this slice
+            counts += np.bincount((new_ones * np.uint32(2654435761)) >> np.uint32(21), minlength=BUCKETS)
+        tail = b[-3:]
     total = counts.sum()
-    return np.sqrt(counts / total).astype(np.float32) if total else np.zeros(BUCKETS, np.float32)
+    return np.sqrt(counts / total).astype(np.float32) if n > 3 else np.zeros(BUCKETS, np.float32)
 
 
 def codewords(n: int) -> np.ndarray:

@@ -48,31 +48,29 @@ FROM docs d LEFT JOIN words w USING (doc_id) LEFT JOIN found f USING (doc_id) LE
 
 CHAT = r"""
 WITH turns AS (
-  SELECT conv_id, conv_id - ((conv_id % 2) + 2) % 2 AS pair_id, ((conv_id % 2) + 2) % 2 = 1 AS other, role, text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head
   FROM conversations WHERE conv_id IS NOT NULL
-), sides AS (
-  SELECT *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head,
-    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS whole
-  FROM turns
-), same AS (
-  SELECT a.pair_id, a.k FROM sides a JOIN sides b ON a.pair_id = b.pair_id AND a.k = b.k
-    AND NOT a.other AND b.other AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text
-), prefix AS (
-  SELECT p.pair_id, coalesce(max(s.k), 0) AS prompt_turns
-  FROM (SELECT DISTINCT pair_id FROM sides) p
-  LEFT JOIN (SELECT pair_id, k, count(*) OVER (PARTITION BY pair_id ORDER BY k) AS n FROM same) s ON p.pair_id = s.pair_id AND s.k = s.n
-  GROUP BY p.pair_id
+), rendered AS (
+  SELECT *, head || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS whole FROM turns
+), reply AS (
+  SELECT conv_id, max(k) FILTER (WHERE role = 'assistant') AS at, conv_id + 1 - 2 * (((conv_id % 2) + 2) % 2) AS other FROM turns GROUP BY conv_id
+), pairs AS (
+  SELECT a.conv_id, a.at, a.at IS NOT NULL AND b.at IS NOT NULL AS paired, b.conv_id AS other, b.at AS other_at FROM reply a LEFT JOIN reply b ON a.other = b.conv_id
+), own AS (
+  SELECT p.conv_id, p.paired, p.at, x.whole AS reply, x.head AS reply_head, y.whole AS other_reply, y.head AS other_head,
+    CASE WHEN p.paired THEN p.at - 1 + CASE WHEN x.text IS NOT DISTINCT FROM y.text THEN 1 ELSE 0 END ELSE 0 END AS prompt_turns
+  FROM pairs p LEFT JOIN rendered x ON x.conv_id = p.conv_id AND x.k = p.at LEFT JOIN rendered y ON p.paired AND y.conv_id = p.other AND y.k = p.other_at
 ), placed AS (
-  SELECT s.*, p.prompt_turns, s.k <= p.prompt_turns AS shared,
-    sum(length(whole)) OVER (PARTITION BY s.conv_id, s.k <= p.prompt_turns ORDER BY s.k) AS stop
-  FROM sides s JOIN prefix p USING (pair_id)
+  SELECT t.*, o.prompt_turns, sum(length(whole)) OVER (PARTITION BY t.conv_id, t.k <= o.prompt_turns ORDER BY t.k) AS stop
+  FROM rendered t JOIN own o ON t.conv_id = o.conv_id WHERE o.at IS NULL OR t.k <= o.at
+), chosen AS (
+  SELECT conv_id, coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE k <= prompt_turns), '') AS prompt, coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE k > prompt_turns), '') AS chosen,
+    coalesce(string_agg(CAST(CAST(stop - length(whole) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k > prompt_turns AND role = 'assistant'), '') AS chosen_mask
+  FROM placed GROUP BY conv_id
 )
-SELECT pair_id, bool_or(other) AND bool_or(NOT other) AS paired, CAST(max(prompt_turns) AS BIGINT) AS prompt_turns,
-  coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE shared AND NOT other), '') AS prompt,
-  coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE NOT shared AND NOT other), '') AS chosen,
-  coalesce(string_agg(CAST(CAST(stop - length(whole) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE NOT shared AND NOT other AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE NOT shared AND other), '') AS rejected,
-  coalesce(string_agg(CAST(CAST(stop - length(whole) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE NOT shared AND other AND role = 'assistant'), '') AS rejected_mask
-FROM placed GROUP BY pair_id
+SELECT o.conv_id AS pair_id, o.paired, CAST(o.prompt_turns AS BIGINT) AS prompt_turns, c.prompt, c.chosen, c.chosen_mask,
+  CASE WHEN o.paired AND o.prompt_turns < o.at THEN o.other_reply ELSE '' END AS rejected,
+  CASE WHEN o.paired AND o.prompt_turns < o.at THEN length(o.other_head) || '-' || length(o.other_reply) ELSE '' END AS rejected_mask
+FROM own o JOIN chosen c ON o.conv_id = c.conv_id
 """

@@ -35,7 +35,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+    found = chat.preferences(chat.replies(table(spark, sf_dir, "conversations")))
     return found.withColumns({c: chat.masked(c) for c in ("chosen_mask", "rejected_mask")})
 
 

@@ -34,9 +34,10 @@ def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str |
         processed = batch.count()
         if not processed:
             return 0, 0
-        last, old = ledger.latest(batch), store.records.read()
+        touched = [r[0] for r in batch.select("source").distinct().collect()]  # one for each source
+        last, old = ledger.latest(batch), store.records.read(touched)
         new = ledger.new_rows(old, last).count()
-        store.records.commit(ledger.merged(old, last, stamp(now)))
+        store.records.commit(ledger.merged(old, last, stamp(now), top=store.records.read().select("id")), touched)
         return processed, new
     finally:
         batch.unpersist()
@@ -44,7 +45,7 @@ def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str |
 
 def _state(spark: SparkSession, store: ledger.Store, source: str, cursor: str | None, status: str, note: str | None, now: datetime) -> None:
     run = spark.createDataFrame([(source, cursor, stamp(now), status, note, 0)], ledger.STATE)
-    store.state.commit(ledger.merged_state(store.state.read(), run, ledger.record_totals(store.records.read())))
+    store.state.commit(ledger.merged_state(store.state.read(), run, ledger.record_totals(store.records.read([source]))))
 
 
 def cursor_of(store: ledger.Store, source: str) -> str | None:

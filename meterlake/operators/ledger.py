@@ -1,13 +1,17 @@
-"""The ledger: a keyed table in Parquet snapshots that replace each other whole.
+"""The ledger: a keyed table in Parquet snapshots, in parts by source that replace each other whole.
 
-A commit writes a new snapshot beside the last and then replaces the file ``CURRENT`` that names
-it, so readers see one or the other. There is one writer at a time. Paths may be on any file
-system that Spark writes; the pointer is handled through Hadoop's file API.
+A commit writes new snapshots of the parts that changed and then replaces the file ``CURRENT`` that
+names the snapshot of every part, so readers see all of the commit or nothing. There is one writer
+at a time. Paths may be on any file system that Spark writes; the pointer is handled through
+Hadoop's file API.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +33,11 @@ def latest(batch: DataFrame) -> DataFrame:
     return last.select(*KEY, "r.*")
 
 
-def merged(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = True) -> DataFrame:
+def merged(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = True, top: DataFrame | None = None) -> DataFrame:
     """``old`` with the batch's rows put in by key: old keys keep id and synced_at, new ones get the next ids.
 
+    They follow the greatest id of ``old``, or of ``top`` if ``old`` is only a part of the ledger.
+
     Without ``touch_unchanged`` rows that come again unchanged keep their ingested_at as well.
     """
     new = batch.select(*KEY, F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER.fields if f.name in batch.columns and f.name not in KEPT and f.name != "ingested_at"]).alias("n"))
@@ -42,7 +48,7 @@ def merged(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = T
     columns = {c: F.when(came, F.col(f"n.n.{c}")).otherwise(F.col(f"o.{c}")) for c in names}
     columns["ingested_at"] = F.when(came & ~same, F.lit(now)).otherwise(F.col("o.ingested_at"))
     put = both.select(*KEY, F.col("o.id").alias("id"), F.col("o.synced_at").alias("synced_at"), *[columns.get(c, F.col(f"o.{c}")).alias(c) for c in LEDGER.names if c not in KEPT])
-    return align(with_ids(put, old), LEDGER)
+    return align(with_ids(put, old if top is None else top), LEDGER)
 
 
 def with_ids(put: DataFrame, old: DataFrame) -> DataFrame:
@@ -83,10 +89,10 @@ def merged_state(state: DataFrame, runs: DataFrame, totals: DataFrame) -> DataFr
 
 
 class Snapshots:
-    """Versions of one table under a folder."""
+    """Versions of one table under a folder; with ``by`` each value of that column has versions of its own."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keep: int = 2):
-        self.spark, self.folder, self.schema, self.keep = spark, folder.rstrip("/"), schema, keep
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keep: int = 2, by: str | None = None):
+        self.spark, self.folder, self.schema, self.keep, self.by = spark, folder.rstrip("/"), schema, keep, by
         self.jvm = spark._jvm
         self.fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -103,29 +109,52 @@ class Snapshots:
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
+    def parts(self) -> dict[str | None, str]:
+        """The folder of every part's snapshot; a table in one part has it under ``None``."""
         name = self.current()
-        if name is None:
+        return {} if name is None else json.loads(name) if name.startswith("{") else {None: name}
+
+    def read(self, values: list[str] | None = None) -> DataFrame:
+        """The table, or the parts of some values."""
+        found = [align(self.spark.read.parquet(f"{self.folder}/{name}"), self.schema) for value, name in self.parts().items() if value is None or values is None or value in values]
+        if not found:
             return self.spark.createDataFrame([], self.schema)
-        return align(self.spark.read.parquet(f"{self.folder}/{name}"), self.schema)
-
-    def commit(self, df: DataFrame) -> None:
-        """Write ``df``, which may read the current version, as the next one."""
-        last = self.current()
-        name = f"v{int(last.split('-')[0][1:]) + 1 if last else 1:08d}-{uuid.uuid4().hex[:8]}"
-        partitioned = align(df, self.schema)
-        partitioned.write.parquet(f"{self.folder}/{name}")
+        whole = reduce(DataFrame.unionByName, found)
+        return whole if values is None or self.by is None else whole.where(F.col(self.by).isin(values))
+
+    def commit(self, df: DataFrame, values: list[str] | None = None) -> None:
+        """Write ``df``, which may read the current version, as the next one, of the table or of the parts of ``values``."""
+        parts = self.parts()
+        if values is not None and None in parts:
+            df, values = self.read().where(~F.col(self.by).isin(values)).unionByName(align(df, self.schema)), None
+        last = max((int(n.split("-")[0][1:]) for n in parts.values()), default=0)
+        name = f"v{last + 1:08d}-{uuid.uuid4().hex[:8]}"
+        target = self._path(f"{self.folder}/{name}")
+        if self.by is None:
+            align(df, self.schema).write.parquet(f"{self.folder}/{name}")
+            content = name
+        else:
+            align(df, self.schema).withColumn("part", F.col(self.by)).write.partitionBy("part").parquet(f"{self.folder}/{name}")
+            written = [d.getPath().getName() for d in self.fs.listStatus(target) if d.isDirectory()]
+            kept = {v: n for v, n in parts.items() if values is not None and v not in values}
+            content = json.dumps(kept | {unquote(d.removeprefix("part=")): f"{name}/{d}" for d in written}, sort_keys=True)
+        self._point(name, content)
+        used = {n.split("/")[0] for n in self.parts().values()}
+        versions = sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(self.folder)) if x.isDirectory() and x.getPath().getName().startswith("v"))
+        for old in versions[: -self.keep]:
+            if old not in used:
+                self.fs.delete(self._path(f"{self.folder}/{old}"), True)
+
+    def _point(self, name: str, content: str) -> None:
+        """Replace the pointer at once."""
         draft, pointer = self._path(f"{self.folder}/CURRENT.{name}"), self._path(f"{self.folder}/CURRENT")
         stream = self.fs.create(draft, True)
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(content.encode()))
         stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(self.fs.makeQualified(draft), self.fs.makeQualified(pointer), options)
-        versions = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(self.folder)) if s.isDirectory() and s.getPath().getName().startswith("v"))
-        for old in versions[: -self.keep]:
-            self.fs.delete(self._path(f"{self.folder}/{old}"), True)
 
 
 class Store:
@@ -133,7 +162,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.acks = spark, f"{folder.rstrip('/')}/acknowledged"
-        self.records = Snapshots(spark, f"{folder.rstrip('/')}/usage_record", LEDGER)
+        self.records = Snapshots(spark, f"{folder.rstrip('/')}/usage_record", LEDGER, by="source")
         self.state = Snapshots(spark, f"{folder.rstrip('/')}/collector_state", STATE)
 
     def acknowledge(self, keys: list[tuple[str, str]], now: str) -> None:
@@ -148,6 +177,7 @@ class Store:
         noted = self.spark.read.schema(ACK).parquet(self.acks).groupBy(*KEY).agg(F.max("at").alias("at"))
         n = noted.count()
         if n:
-            self.records.commit(acknowledged(self.records.read(), noted))
+            touched = [r[0] for r in noted.select("source").distinct().collect()]  # as many as there are sources
+            self.records.commit(acknowledged(self.records.read(touched), noted), touched)
         self.records.fs.delete(path, True)
         return n

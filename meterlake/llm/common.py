@@ -37,15 +37,19 @@ def shared_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rsplit("/", 1)[0]
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the application's part of the shared root; nothing exists there yet."""
-    return f"{shared_root(spark)}/meterlake-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+_OWN: set[str] = set()
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what the application has stored in the shared folder; results that read it must be used before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/meterlake-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the application's part of the shared root; nothing exists there yet. That part goes when the driver ends."""
+    own = f"{shared_root(spark)}/meterlake-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BUCKET_MS = 3_600_000
 WIDE = 64
 LEVELS = 5
+#: Rows of spread windows up to which they are broadcast, so that no bucket's requests meet in one task.
+MAX_BROADCAST = 200_000
 
 
 def attributed(rows: DataFrame, windows: DataFrame, key: str, millis: str) -> DataFrame:
@@ -31,12 +33,13 @@ def attributed(rows: DataFrame, windows: DataFrame, key: str, millis: str) -> Da
     buckets = F.sequence(F.floor(F.col("_start") / size), F.floor(F.col("_end") / size))
     spread = windows.where("_start <= _end").withColumn("level", level).select("*", F.explode(buckets).alias("bucket"))
     times = rows.where(F.col(millis).isNotNull()).select(key, millis)
-    used = [r[0] for r in spread.select("level").distinct().collect()]  # at most LEVELS
+    used = {r["level"]: r["count"] for r in spread.groupBy("level").count().collect()}  # at most LEVELS
     at = [F.struct(F.lit(k).alias("level"), F.floor(F.col(millis) / (BUCKET_MS * WIDE**k)).alias("bucket")) for k in sorted(used)]
     if not at:
         return rows.withColumns({"tool": F.lit(None).cast("string"), "window_project": F.lit(None).cast("string")})
     places = times.select(key, millis, F.inline(F.array(*at)))
-    inside = places.join(spread, ["level", "bucket"]).where(F.col(millis).between(F.col("_start"), F.col("_end")))
+    few = sum(used.values()) <= MAX_BROADCAST
+    inside = places.join(F.broadcast(spread) if few else spread, ["level", "bucket"]).where(F.col(millis).between(F.col("_start"), F.col("_end")))
     return _narrowest(rows, inside, key)
 
 

@@ -109,6 +109,8 @@ def phrase_hits(index: DataFrame, matches: DataFrame, anchors: DataFrame) -> Dat
     placed = stored(placed.select("doc_id", "text_key", "item_id", "phrase", start.alias("start"), "at", "at2"), "placed")
     words = placed.select("*", F.posexplode("phrase").alias("k", "word")).where("k <> at and k <> at2")
     wanted = words.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "item_id", "phrase", "start", "k", F.col("word").alias("_term"), (F.col("start") + F.col("k")).alias("_pos"))
+    texts = placed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    index = index.join(bounded(texts, texts.count()), index["doc_id"].eqNullSafe(F.col("_id")) & (index["text_key"] == F.col("_key")), "left_semi")
     here = (index["term"] == F.col("_term")) & (index["pos"] == F.col("_pos")) & index["doc_id"].eqNullSafe(F.col("_id")) & (index["text_key"] == F.col("_key"))
     met = index.join(bounded(wanted, wanted.count()), here).groupBy("doc_id", "text_key", "item_id", "phrase", "start").agg(F.count_distinct("k").alias("met"))
     n = F.size("phrase")

@@ -88,12 +88,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Keys of a few bytes each that are broadcast to choose rows, at most.
+MOST_KEYS = 300_000
+
+
 def chosen_rows(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose ``key`` is in the one column of ``keys`` or not (semi or anti).
 
-    Rows travel as one struct, so that no column name of theirs can clash.
+    Rows travel as one struct, so that no column name of theirs can clash. Up to ``MOST_KEYS`` keys,
+    which are stored and counted, are broadcast; with more of them the rows are shuffled.
     """
-    rows, found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("row_key")), keys.toDF("found_key")
+    found = stored(keys.toDF("found_key"), "keys")
+    found = F.broadcast(found) if found.count() <= MOST_KEYS else found.hint("shuffle_merge")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("row_key"))
     return rows.join(found, F.col("row_key").eqNullSafe(F.col("found_key")), how).select("row.*")
 
 

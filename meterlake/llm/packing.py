@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
+from meterlake.llm.common import release
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -136,6 +137,7 @@ def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterat
     for rows in (placed(True), whole):
         if rows:
             yield batch(rows)
+    release()
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:

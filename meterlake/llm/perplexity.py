@@ -43,7 +43,7 @@ ORDER, LOWEST = 5, 3
 #: Code points of a text handled at a time.
 SLICE = 1 << 20
 #: Code points in which a task looks for distinct 6-grams at a time, and distinct ones that it holds before it deals them to the shards.
-GROUP, HELD = 4_000_000, 1_500_000
+GROUP, HELD = 1 << 20, 1_500_000
 #: Code points of the corpus to a shard, and shards at most; beyond that shards grow.
 SHARD_CHARS, MOST_SHARDS = 1 << 24, 1 << 18
 #: Code points of a file from which the input is stored in blocks first.

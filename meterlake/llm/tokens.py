@@ -25,9 +25,9 @@ if TYPE_CHECKING:
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps, about 40 bytes each; when more come, those go that were not used in two groups of texts.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: Bytes of the texts whose words are looked up together, and words that go to the library as one text.
-GROUP_BYTES, LINES = 4 << 20, 200
+GROUP_BYTES, LINES = 2 << 20, 100
 #: Characters of a piece of a text that is encoded apart from the memo.
 PIECE = 4096
 SAFE = re.compile(r"(?<=\S) (?=\S)")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import files, tokens
-from meterlake.llm.common import shared_folder, stored, whole
+from meterlake.llm.common import release, shared_folder, stored, whole
 
 END = 2
 MAGIC = b"WAVELET2"
@@ -244,6 +244,7 @@ def _written(batches: Iterator, folder: str, path: str, end: int) -> Iterator:
                 part, held, doc_ids, lengths, total = part + 1, [], [], [], 0
     if doc_ids:
         yield flushed()
+    release()
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import chat, decontamination, html, jaccard, language, oracles, packing, perplexity, urls, warc, wavelet
+from meterlake.llm import alignment, chat, decontamination, html, jaccard, language, oracles, packing, perplexity, urls, warc, wavelet
 from meterlake.llm.common import table
 
 
@@ -51,5 +51,12 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_html, op3_quality, op4_urls, op5_warc, op6_packing, op7_chat, op8_decontamination, op9_jaccard, op10_wavelet)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language, op2_html, op3_quality, op4_urls, op5_warc, op6_packing, op7_chat, op8_decontamination, op9_jaccard, op10_wavelet, op13_alignment)
+}
 ORACLES = {"op7_chat": oracles.CHAT, "op8_decontamination": oracles.DECONTAMINATION}

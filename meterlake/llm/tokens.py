@@ -41,14 +41,15 @@ ENDING = "[\\p{L}\\p{N}]$"
 class Words:
     """The ids of words with the space before them, kept as one array; a length of -1 marks a word that can't be encoded alone."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str | bytes, plain: bool = False):
         import pyarrow as pa
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(vocabulary) if isinstance(vocabulary, str) else Tokenizer.from_str(vocabulary.decode("utf-8"))
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.line,) = self.flat(["\n"])[0].tolist()
         self.words = pa.array([], pa.large_string())
         self.at, self.n, self.uses = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
@@ -119,7 +120,7 @@ class Words:
             starts, sizes = np.empty(2 * len(words), np.int64), np.empty(2 * len(words), np.int64)
             starts[::2], sizes[::2] = self.at[at[marked]], self.n[at[marked]]
             starts[1::2], sizes[1::2] = (len(self.ids) + np.cumsum(n) - n)[tail], n[tail]
-            joined, n = np.concatenate([self.ids, ids])[_ragged(starts, sizes)], sizes[::2] + sizes[1::2]
+            joined, n = np.concatenate([self.ids, ids])[ragged(starts, sizes)], sizes[::2] + sizes[1::2]
             at[marked] = len(self.words) + np.arange(len(words))
             self._keep(words, len(self.ids) + np.cumsum(n) - n, n, [joined])
         return at
@@ -140,7 +141,7 @@ class Words:
         if 2 * len(kept) > MEMO_WORDS:
             kept = kept[:0]
         self.words = pc.take(self.words, pa.array(kept))
-        self.ids = self.ids[_ragged(self.at[kept], np.maximum(self.n[kept], 0))]
+        self.ids = self.ids[ragged(self.at[kept], np.maximum(self.n[kept], 0))]
         self.n, self.uses = self.n[kept], np.zeros(len(kept), np.int32)
         self.at = np.concatenate([[0], np.cumsum(np.maximum(self.n, 0), dtype=np.int64)])[: len(kept)]
 
@@ -174,7 +175,7 @@ class Words:
         self._keep(new, at, n, held)
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of runs that begin at ``starts``, one run after the other."""
     lengths = lengths.astype(np.int64)
     after = np.cumsum(lengths)
@@ -182,8 +183,9 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
-    return Words(path)
+def words_of(vocabulary: str | bytes, plain: bool = False) -> Words:
+    """A worker's memo for a vocabulary, given by its path or its bytes; if ``plain``, strings of special tokens are text."""
+    return Words(vocabulary, plain)
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -192,8 +194,11 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids of whole texts, some texts at a time: all their ids, and where each text's begin and the last's end."""
+def encoded(texts: pa.Array, words: Words, follows: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of whole texts, some texts at a time: all their ids, and where each text's begin and the last's end.
+
+    If ``follows``, each text is encoded with a space before it.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -206,13 +211,13 @@ def encoded(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndar
         if ends[stop - 1] - before > 2 * GROUP_BYTES:  # one long text, in parts
             text = texts[at].as_py()
             if any(s in text for s in words.special):
-                ids = words.encode(text)
+                ids = words.encode(" " * follows + text)
             else:
                 parts = enumerate(pieces(text, GROUP_BYTES))
-                ids = np.concatenate([_encoded(pa.array([p], pa.large_string()), words, k > 0)[0] for k, p in parts])
+                ids = np.concatenate([_encoded(pa.array([p], pa.large_string()), words, follows or k > 0)[0] for k, p in parts])
             yield ids, np.array([0, len(ids)])
         else:
-            yield _encoded(texts.slice(at, stop - at), words)
+            yield _encoded(texts.slice(at, stop - at), words, follows)
         at = stop
 
 
@@ -263,9 +268,9 @@ def _encoded(texts: pa.Array, words: Words, follows: bool = False) -> tuple[np.n
     begin = words.starts(["" if o else h for h, o in zip(heads, odd.tolist(), strict=True)]) if heads else [words.ids[:0]] * len(texts)
     for k in odd.nonzero()[0].tolist():  # the ids of such a text come in the place of those of its first word
         text = texts[k].as_py()
-        begin[k] = words.encode(text) if special[k] else words.flat([" " * (j > 0 or follows) + p for j, p in enumerate(pieces(text))])[0]
+        begin[k] = words.encode(" " * follows + text) if special[k] else words.flat([" " * (j > 0 or follows) + p for j, p in enumerate(pieces(text))])[0]
     n = np.fromiter(map(len, begin), np.int64, len(begin))
     put = n > 0
     starts[first[:-1][put]], lengths[first[:-1][put]] = (len(words.ids) + np.cumsum(n) - n)[put], n[put]
     after = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    return np.concatenate([words.ids, *begin])[_ragged(starts, lengths)], after[first]
+    return np.concatenate([words.ids, *begin])[ragged(starts, lengths)], after[first]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import alignment, chat, decontamination, html, jaccard, language, oracles, packing, perplexity, structure, urls, warc, wavelet
+from meterlake.llm import alignment, chat, decontamination, html, jaccard, language, minhash, oracles, packing, perplexity, structure, urls, warc, wavelet
 from meterlake.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.audit(table(spark, sf_dir, "conversations"))
 
@@ -61,6 +65,6 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_html, op3_quality, op4_urls, op5_warc, op6_packing, op7_chat, op8_decontamination, op9_jaccard, op10_wavelet, op12_structure, op13_alignment)
+    for f in (op1_language, op2_html, op3_quality, op4_urls, op5_warc, op6_packing, op7_chat, op8_decontamination, op9_jaccard, op10_wavelet, op11_minhash, op12_structure, op13_alignment)
 }
 ORACLES = {"op7_chat": oracles.CHAT, "op8_decontamination": oracles.DECONTAMINATION}

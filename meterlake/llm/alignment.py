@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import lookup, slices, stored
+from meterlake.llm.common import lookup, release, slices, stored
 from meterlake.llm.tokens import VOCABULARY, default_path, encoded, ragged, words_of
 
 if TYPE_CHECKING:
@@ -41,7 +41,7 @@ if TYPE_CHECKING:
 
 MODEL = "piece_bpe_32k.model"
 #: Bytes of texts that are aligned together, and of those that make a chunk; a longer text is one by itself.
-GROUP_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
+GROUP_BYTES, CHUNK_BYTES = 2 << 20, 4 << 20
 
 
 class Table:
@@ -77,6 +77,7 @@ class Tokenizers:
         self.pieces = SentencePieceProcessor(model_proto=model)
         self.n_pieces = self.pieces.get_piece_size()
         self.b = Table([self._piece(i) for i in range(self.n_pieces)])
+        self.pair = np.uint32 if size * self.n_pieces < 1 << 32 else np.int64
         self.decimal = np.zeros((max(size, self.n_pieces), 7), np.uint8)
         digits = [str(i).encode() for i in range(len(self.decimal))]
         self.n_digits = np.array([len(d) for d in digits])
@@ -235,7 +236,13 @@ def _chunked(batches: Iterator, both: Tokenizers) -> Iterator:
     size = 0
 
     def out() -> pa.RecordBatch:
-        pairs, places, counts = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
+        numbered = pa.array(np.concatenate([h[3] for h in held])).dictionary_encode()
+        pairs, places = numbered.dictionary.to_numpy(), numbered.indices.to_numpy()
+        order = np.argsort(pairs)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs, places = pairs[order], rank[places]
+        counts = np.bincount(places, minlength=len(pairs))
         numbers = np.concatenate([h[1] for h in held], axis=1)
         columns = [pa.concat_arrays([h[0] for h in held]), *map(pa.array, numbers), pa.array(list(chain.from_iterable(h[2] for h in held)), pa.string())]
         offsets = pa.array([0, len(columns[0])], pa.int32())
@@ -245,20 +252,21 @@ def _chunked(batches: Iterator, both: Tokenizers) -> Iterator:
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *[pa.array([b], pa.binary()) for b in blobs]], names)
 
     for ids, filled, found in _some(batches, both):
-        numbers, hashes, pairs = np.zeros((4, len(ids)), np.int64), [""] * len(ids), np.empty(0, np.int64)
+        numbers, hashes, pairs = np.zeros((4, len(ids)), np.int64), [""] * len(ids), np.empty(0, both.pair)
         if found is not None:
             rows = filled[found.rows]
             links, *rest = found.before
             numbers[:, rows] = np.stack([np.diff(x) for x in (*rest, links)])
             for k, h in zip(rows.tolist(), digests(found, both), strict=True):
                 hashes[k] = h
-            pairs = found.a[found.links[0]] * both.n_pieces + found.b[found.links[1]]
+            pairs = (found.a[found.links[0]] * both.n_pieces + found.b[found.links[1]]).astype(both.pair)
             size += int(found.at[-1])
         held.append((ids, numbers, hashes, pairs))
         size += 64 * len(ids)
         if size >= CHUNK_BYTES:
             yield out()
             held, size = [], 0
+            release()
     if held:
         yield out()
 

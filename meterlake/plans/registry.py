@@ -152,7 +152,7 @@ _MATCHED = """(SELECT e.event_id, arg_min(w.tool, (w.end_ms - w.start_ms) * 1000
 
 def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usage.events(spark, sf_dir).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    return attributed(rows, usage.windows(spark, sf_dir), "event_id", "ts_ms")
+    return attributed(rows, usage.windows(spark, sf_dir), "ts_ms")
 
 
 @query(f"SELECT e.event_id, m.tool, m.window_project FROM events e LEFT JOIN {_MATCHED} m ON e.event_id = m.event_id")

@@ -57,7 +57,7 @@ def windows(rows: DataFrame) -> DataFrame:
 def bridge(rows: DataFrame, work: DataFrame, now_iso: str) -> DataFrame:
     """Requests through the bridge, attributed to work windows; errors have no tokens."""
     j = lines.parsed(rows, schema.BRIDGE).withColumns({"ts": F.coalesce("j.ts", F.lit(now_iso)), "seq": _place()})
-    placed = attributed(j.withColumn("ts_ms", millis_of(F.col("ts"))), work, "seq", "ts_ms")
+    placed = attributed(j.withColumn("ts_ms", millis_of(F.col("ts"))), work, "ts_ms")
     failed = F.coalesce(F.col("j.event") == "error", F.lit(False))
     count = lambda name: F.when(failed, 0).otherwise(_count(f"j.{name}"))
     some = lambda name: F.nullif(F.col(f"j.{name}"), F.lit(""))

@@ -5,8 +5,8 @@ are its signature. Equal sets are found first and only one of them goes on. Sets
 a whole band are in one bucket. Two sets with a similarity of 0.8 share no bucket with a probability of
 ``(1 - 0.8 ** ROWS) ** BANDS``, 7e-10.
 
-No bucket is expanded into its pairs. First each set is held against one leader, the least set of all its
-buckets: signatures first, then, where these allow a link, whole sets. Components of these links settle
+No bucket is expanded into its pairs. First each set is held against one leader, of the least sets of its
+buckets the one that it shares most buckets with: signatures first, then, where these allow a link, whole sets. Components of these links settle
 most buckets: where all sets are in one component, no pair can add anything. In the others the sets of
 the largest component and the rest make blocks of bounded size; blocks of the rest meet each other
 and those of the component, which never meet among themselves. Signatures in a pair of blocks tell which
@@ -38,6 +38,8 @@ from meterlake.llm.jaccard import shingles, signature
 SHINGLE = 2
 PERCENT = 80
 BANDS, ROWS = 40, 4
+#: Bits of a bucket's key that number its band.
+BAND = 63
 HASHES = BANDS * ROWS
 #: Sets that meet a copy of their leader, and sets in a block.
 STAR_ROWS, BLOCK_ROWS = 1000, 2000
@@ -76,7 +78,7 @@ def least_agreement(percent: int) -> int:
 
 
 def band_keys(minima_: np.ndarray) -> np.ndarray:
-    """A hash of each band of each row."""
+    """A hash of each band of each row, whose last bits are the band's number."""
     x = minima_.reshape(len(minima_), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), x.shape[:2]).copy()
     for k in range(ROWS):
@@ -84,6 +86,7 @@ def band_keys(minima_: np.ndarray) -> np.ndarray:
         key ^= key >> np.uint64(32)
         key *= np.uint64(0xC4CEB9FE1A85EC53)
         key ^= key >> np.uint64(29)
+    key = (key & ~np.uint64(BAND)) | np.arange(BANDS, dtype=np.uint64)
     return key.view(np.int64)
 
 
@@ -120,11 +123,11 @@ def _nodes(described: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """Stored: key, node and ``low``, the bucket's least node; of buckets with the same members one."""
-    rows = stored(nodes.select("node", "sketch").mapInArrow(_banded, "key long, node long"), "bands")
+    """Stored: key, node, ``low``, the bucket's least node, and ``weight``: of buckets with the same members the first band's stays for as many."""
+    rows = nodes.select("node", "sketch").mapInArrow(_banded, "key long, node long")
     named = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")).where("n > 1")
-    shared = stored(named.groupBy("n", "low", "high", "sum").agg(F.min("key").alias("key")).select("key", "n", "low"), "buckets")
-    return stored(lookup(rows, shared, "key", "n", rows.count()).where("low is not null"), "members")
+    shared = stored(named.groupBy("n", "low", "high", "sum").agg(F.min_by("key", F.col("key").bitwiseAND(BAND)).alias("key"), F.count("*").alias("weight")).select("key", "n", "low", "weight"), "buckets")
+    return stored(lookup(rows, shared, "key", "n", BANDS * nodes.count()).where("low is not null"), "members")
 
 
 def _held_against(batches: Iterator, judge) -> Iterator:
@@ -194,8 +197,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) ->
 
 
 def leader_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Stored: confirmed links of sets to the least of all their buckets' least sets."""
-    edges = stored(members.where("node <> low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")), "stars")
+    """Stored: confirmed links of each set to a leader, that least set of its buckets which it shares most of them with."""
+    met = members.where("node <> low").groupBy("node", "low").agg(F.sum("weight").alias("weight"))
+    rank = F.shiftleft("weight", 40) + F.shiftrightunsigned(F.xxhash64("low"), 24)  # by buckets in common, then by chance
+    edges = stored(met.groupBy(F.col("node").alias("b")).agg(F.max_by("low", rank).alias("a")), "stars")
     likely = stored(with_leaders(edges, nodes.select("node", F.col("sketch").alias("data")), lambda x, y: agree(x, y, percent)), "likely")
     sets = sets_of(docs, nodes, likely.select("a").union(likely.select("b")), width)
     exact = lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
@@ -236,9 +241,13 @@ def _block_pairs(batches: Iterator) -> Iterator[tuple[tuple, list[tuple]]]:
         yield now, list(held.values())
 
 
-def _partners(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, halves: np.ndarray, cross: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set those before it, of another component, which signatures allow to be linked; the likeliest first."""
-    least = least_agreement(percent)
+def _partners(pair: tuple, rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, halves: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set those before it, of another component, which signatures allow to be linked; the likeliest first.
+
+    Two sets are partners only in the bucket of the first band that they have in common.
+    """
+    least, cross, band = least_agreement(percent), pair[1] != pair[2], pair[0] & BAND
+    bands = rows.reshape(len(rows), BANDS, ROWS)
     for i in range(1, len(rows)):
         able = (labels[:i] != labels[i]) & sizes_allow(sizes[:i], sizes[i], percent)
         if cross:
@@ -246,9 +255,10 @@ def _partners(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, halves: n
         others = able.nonzero()[0]
         if len(others):
             n = (rows[others] == rows[i]).sum(axis=1)
-            likely = n >= least
-            if likely.any():
-                others, n = others[likely], n[likely]
+            others, n = others[n >= least], n[n >= least]
+            here = (bands[others] == bands[i]).all(axis=2).argmax(axis=1) == band
+            others, n = others[here], n[here]
+            if len(others):
                 yield i, others[np.argsort(-n, kind="stable")]
 
 
@@ -261,7 +271,7 @@ def _likely(batches: Iterator, percent: int) -> Iterator:
         sizes, rows = sketches([h[3] for h in held])
         halves, labels = np.array([h[0] for h in held]), np.array([h[2] for h in held])
         kept: set[int] = set()
-        for i, others in _partners(rows, sizes, labels, halves, pair[1] != pair[2], percent):
+        for i, others in _partners(pair, rows, sizes, labels, halves, percent):
             kept.add(i)
             kept.update(others.tolist())
         found = [(*pair, *held[k][:3]) for k in sorted(kept)]
@@ -286,7 +296,7 @@ def _confirmed(batches: Iterator, percent: int) -> Iterator:
             return x
 
         found = []
-        for i, others in _partners(rows, sizes, labels, halves, pair[1] != pair[2], percent):
+        for i, others in _partners(pair, rows, sizes, labels, halves, percent):
             for j in others.tolist():
                 a, b = find(held[i][2]), find(held[j][2])
                 if a != b and linked(sets[i], sets[j], percent):

@@ -81,7 +81,7 @@ def run(args: list[str]) -> int:
         by = option(rest, "--by") or "source"
         print(report_text.stats(reports.ordered_stats(reports.stats(store.records.read(), by, days(rest, None), now)).collect(), by))
     elif command == "sources":
-        print(report_text.source_status(reports.source_status(store.state.read(), store.records.read()).orderBy("source").collect()))
+        print(report_text.source_status(reports.status_of(store.state.read(), store.totals().withColumnRenamed("records_total", "total")).orderBy("source").collect()))
     else:
         env = records.session_env(lines.scan(spark, paths.session_env))
         found = reports.billing_audit(store.records.read(), env, days(rest, 3), option(rest, "--session"), now)

@@ -24,7 +24,7 @@ class Result:
     note: str | None = None
 
 
-def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str | None, now: datetime) -> tuple[int, int]:
+def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str | None, now: datetime, marker: tuple[str, int] | None = None) -> tuple[int, int]:
     """Put records into the ledger: how many there were, and how many keys were new.
 
     Of repeated keys the last counts. Records that come again replace all but id and synced_at.
@@ -34,18 +34,14 @@ def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str |
         processed = batch.count()
         if not processed:
             return 0, 0
-        touched = [r[0] for r in batch.select("source").distinct().collect()]  # one for each source
-        last, old = ledger.latest(batch), store.records.read(touched)
-        new = ledger.new_rows(old, last).count()
-        store.records.commit(ledger.merged(old, last, stamp(now), top=store.records.read().select("id")), touched)
-        return processed, new
+        return processed, store.put(ledger.latest(batch), stamp(now), marker)
     finally:
         batch.unpersist()
 
 
 def _state(spark: SparkSession, store: ledger.Store, source: str, cursor: str | None, status: str, note: str | None, now: datetime) -> None:
     run = spark.createDataFrame([(source, cursor, stamp(now), status, note, 0)], ledger.STATE)
-    store.state.commit(ledger.merged_state(store.state.read(), run, ledger.record_totals(store.records.read([source]))))
+    store.state.commit(ledger.merged_state(store.state.read(), run, store.totals().drop("errors")))
 
 
 def cursor_of(store: ledger.Store, source: str) -> str | None:

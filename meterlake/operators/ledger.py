@@ -1,4 +1,4 @@
-"""The ledger: a keyed table in Parquet snapshots, in parts by source that replace each other whole.
+"""The ledger: a keyed table in Parquet snapshots, in parts by source and bucket of keys that replace each other whole.
 
 A commit writes new snapshots of the parts that changed and then replaces the file ``CURRENT`` that
 names the snapshot of every part, so readers see all of the commit or nothing. There is one writer
@@ -13,32 +13,42 @@ import uuid
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.schema import LEDGER, STATE, align
+from meterlake.session import shared_folder
 
 KEY = ("source", "source_id")
 BUCKETS = 1024
+#: Parts of each source, which a commit writes one by one, and rows of a file of a part.
+LEDGER_BUCKETS, FILE_ROWS = 64, 5_000_000
 ACK = "source string, source_id string, at string"
+TOTALS = "source string, records_total long, errors long"
 #: Kept from the row that was there when its key comes again.
 KEPT = ("id", "source", "source_id", "synced_at")
 
 
 def latest(batch: DataFrame) -> DataFrame:
-    """The last row of each key by ``seq``: one aggregate, combined before the shuffle; as it keeps whole rows, Spark sorts by key for it."""
-    rest = [c for c in batch.columns if c not in (*KEY, "seq")]
-    last = batch.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct(F.col("seq").isNotNull(), "seq")).alias("r"))
-    return last.select(*KEY, "r.*")
+    """The last row of each key by ``seq``; null counts as before all others.
 
+    A hash aggregate finds the greatest order key of each record key, and rows that have it stay. The order key
+    is one number, ``seq`` and then a hash of the row: rows of equal ``seq`` are told apart by that hash, and
+    rows that are equal in all columns are one. Rows without source or source_id are none of the ledger's.
+    """
+    rest = [c for c in batch.columns if c not in (*KEY, "seq")]
+    chance = F.shiftrightunsigned(F.xxhash64(*rest), 4).cast("decimal(38,0)") if rest else F.lit(0).cast("decimal(38,0)")
+    ranked = batch.withColumn("_rank", (F.coalesce("seq", F.lit(-1)).cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + chance).cast("decimal(38,0)"))
+    top = ranked.groupBy(*KEY).agg(F.max("_rank").alias("_rank"))
+    return ranked.join(top, [*KEY, "_rank"], "left_semi").drop("_rank", "seq").distinct()
 
-def merged(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = True, top: DataFrame | None = None) -> DataFrame:
-    """``old`` with the batch's rows put in by key: old keys keep id and synced_at, new ones get the next ids.
 
-    They follow the greatest id of ``old``, or of ``top`` if ``old`` is only a part of the ledger.
+def joined(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = True) -> DataFrame:
+    """``old`` with the batch's rows put in by key: old keys keep id and synced_at, new ones have no id yet.
 
-    Without ``touch_unchanged`` rows that come again unchanged keep their ingested_at as well.
+    ``_was`` is the outcome that a key had before, and null for a new one. Without ``touch_unchanged``
+    rows that come again unchanged keep their ingested_at as well.
     """
     new = batch.select(*KEY, F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER.fields if f.name in batch.columns and f.name not in KEPT and f.name != "ingested_at"]).alias("n"))
     names = [f.name for f in new.schema["n"].dataType.fields]
@@ -47,24 +57,40 @@ def merged(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = T
     same = F.lit(False) if touch_unchanged else F.struct(*[F.col(f"o.{c}") for c in names]).eqNullSafe(F.struct(*[F.col(f"n.n.{c}") for c in names]))
     columns = {c: F.when(came, F.col(f"n.n.{c}")).otherwise(F.col(f"o.{c}")) for c in names}
     columns["ingested_at"] = F.when(came & ~same, F.lit(now)).otherwise(F.col("o.ingested_at"))
-    put = both.select(*KEY, F.col("o.id").alias("id"), F.col("o.synced_at").alias("synced_at"), *[columns.get(c, F.col(f"o.{c}")).alias(c) for c in LEDGER.names if c not in KEPT])
-    return align(with_ids(put, old if top is None else top), LEDGER)
+    put = both.select(*KEY, F.col("o.id").alias("id"), F.col("o.synced_at").alias("synced_at"), F.col("o.outcome").alias("_was"), *[columns.get(c, F.col(f"o.{c}")).alias(c) for c in LEDGER.names if c not in KEPT])
+    return align(put, T.StructType([*LEDGER.fields, T.StructField("_was", T.StringType())]))
 
 
-def with_ids(put: DataFrame, old: DataFrame) -> DataFrame:
-    """New rows get the ids after the greatest, dense and in order of their bucket and key.
+def numbered(put: DataFrame, top: int) -> DataFrame:
+    """Rows of ``joined``, which were stored, with ids for the new ones: those after ``top``, dense, in order of their bucket and key.
 
     They are numbered in ``BUCKETS`` hash buckets, whose counts are then summed, so that no task
     holds them all and a repeated task numbers them alike.
     """
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = put.where("id is null").drop("id").withColumn("_bucket", F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)))
+    fresh = put.where("id is null").withColumn("_bucket", F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)))
     sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = sizes.select("_bucket", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     given = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(*KEY)))
-    placed = given.join(F.broadcast(before), "_bucket").join(F.broadcast(top))  # BUCKETS rows at most, and one row
-    numbered = placed.withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).drop("_top", "_before", "_n", "_bucket")
-    return put.where("id is not null").unionByName(numbered)
+    placed = given.join(F.broadcast(before), "_bucket")  # BUCKETS rows at most
+    return align(put.where("id is not null").unionByName(placed.withColumn("id", F.lit(top) + F.col("_before") + F.col("_n")).select(*put.columns)), LEDGER)
+
+
+def merged(old: DataFrame, batch: DataFrame, now: str, touch_unchanged: bool = True) -> DataFrame:
+    """``old``, a whole ledger, after the batch. The joined rows are stored once, and numbered from there."""
+    spark = old.sparkSession
+    put = joined(old, batch, now, touch_unchanged)
+    path = shared_folder(spark, "merged")
+    put.write.parquet(path)
+    stored = spark.read.schema(put.schema).parquet(path)
+    return numbered(stored, stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+
+
+def changes(put: DataFrame) -> dict[str, tuple[int, int]]:
+    """What ``joined`` rows add to each source's number of records and of errors; a record that turns from error to ok takes one away."""
+    error = lambda c: F.coalesce(F.col(c) == "error", F.lit(False)).cast("long")
+    new = F.col("id").isNull()
+    found = put.groupBy("source").agg(F.count_if(new).alias("records"), F.sum(error("outcome") - F.when(new, 0).otherwise(error("_was"))).alias("errors"))
+    return {r["source"]: (r["records"], r["errors"]) for r in found.collect()}  # one for each source
 
 
 def new_rows(old: DataFrame, batch: DataFrame) -> DataFrame:
@@ -89,10 +115,15 @@ def merged_state(state: DataFrame, runs: DataFrame, totals: DataFrame) -> DataFr
 
 
 class Snapshots:
-    """Versions of one table under a folder; with ``by`` each value of that column has versions of its own."""
+    """Versions of one table under a folder; with ``by`` each value of that column has versions of its own.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keep: int = 2, by: str | None = None):
-        self.spark, self.folder, self.schema, self.keep, self.by = spark, folder.rstrip("/"), schema, keep, by
+    With ``buckets`` the rows of a value are dealt over so many parts by a hash of ``bucket_by``, each sorted by that
+    column and with versions of its own; a commit writes the parts that it names. The pointer also holds
+    what belongs to a commit as a whole (``notes``): it changes with the parts or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keep: int = 2, by: str | None = None, buckets: int = 0, bucket_by: str | None = None):
+        self.spark, self.folder, self.schema, self.keep, self.by, self.buckets, self.bucket_by = spark, folder.rstrip("/"), schema, keep, by, buckets, bucket_by
         self.jvm = spark._jvm
         self.fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -109,24 +140,55 @@ class Snapshots:
         finally:
             stream.close()
 
+    def _pointer(self) -> tuple[dict[str | None, str], dict]:
+        name = self.current()
+        if name is None or not name.startswith("{"):
+            return ({} if name is None else {None: name}), {}
+        found = json.loads(name)
+        return (found["parts"], found["notes"]) if isinstance(found.get("parts"), dict) else (found, {})
+
     def parts(self) -> dict[str | None, str]:
         """The folder of every part's snapshot; a table in one part has it under ``None``."""
-        name = self.current()
-        return {} if name is None else json.loads(name) if name.startswith("{") else {None: name}
+        return self._pointer()[0]
 
-    def read(self, values: list[str] | None = None) -> DataFrame:
-        """The table, or the parts of some values."""
-        found = [align(self.spark.read.parquet(f"{self.folder}/{name}"), self.schema) for value, name in self.parts().items() if value is None or values is None or value in values]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        whole = reduce(DataFrame.unionByName, found)
-        return whole if values is None or self.by is None else whole.where(F.col(self.by).isin(values))
+    def notes(self) -> dict:
+        return self._pointer()[1]
+
+    def part(self) -> Column:
+        """The part that a row belongs to."""
+        value = F.col(self.by)
+        return F.concat(value, F.lit("#"), F.pmod(F.xxhash64(self.bucket_by), F.lit(self.buckets)).cast("string")) if self.buckets else value
 
-    def commit(self, df: DataFrame, values: list[str] | None = None) -> None:
-        """Write ``df``, which may read the current version, as the next one, of the table or of the parts of ``values``."""
+    def touched(self, rows: DataFrame) -> list[str]:
+        """The parts that rows belong to; no more than there are values and buckets."""
+        return [r[0] for r in rows.select(self.part()).distinct().collect()]
+
+    def _whole(self, parts: dict[str | None, str]) -> bool:
+        """Whether the table is in parts of another kind, which the next commit takes apart."""
+        return None in parts or bool(self.buckets) and any("#" not in p for p in parts)
+
+    def read(self, values: list[str] | None = None) -> DataFrame:
+        """The table, or some parts."""
         parts = self.parts()
-        if values is not None and None in parts:
-            df, values = self.read().where(~F.col(self.by).isin(values)).unionByName(align(df, self.schema)), None
+        whole = self._whole(parts)
+        by_version: dict[str, list[str]] = {}
+        for value, name in parts.items():
+            if values is None or whole or value in values:
+                by_version.setdefault(name.split("/")[0], []).append(f"{self.folder}/{name}")
+        if not by_version:
+            return self.spark.createDataFrame([], self.schema)
+        found = reduce(DataFrame.unionByName, [align(self.spark.read.parquet(*paths), self.schema) for paths in by_version.values()])
+        return found if values is None or self.by is None else found.where(self.part().isin(values))
+
+    def commit(self, df: DataFrame, values: list[str] | None = None, notes: dict | None = None) -> None:
+        """Write ``df``, which may read the current version, as the next one, of the table or of the parts ``values``.
+
+        ``notes`` are put over those of the pointer; without them a whole table's are dropped, as they tell of other rows.
+        """
+        parts, noted = self._pointer()
+        if values is not None and self._whole(parts):
+            df, values = self.read().where(~self.part().isin(values)).unionByName(align(df, self.schema)), None
+        noted = (noted if values is not None or notes is not None else {}) | (notes or {})
         last = max((int(n.split("-")[0][1:]) for n in parts.values()), default=0)
         name = f"v{last + 1:08d}-{uuid.uuid4().hex[:8]}"
         target = self._path(f"{self.folder}/{name}")
@@ -134,10 +196,13 @@ class Snapshots:
             align(df, self.schema).write.parquet(f"{self.folder}/{name}")
             content = name
         else:
-            align(df, self.schema).withColumn("part", F.col(self.by)).write.partitionBy("part").parquet(f"{self.folder}/{name}")
+            rows = align(df, self.schema).withColumn("part", self.part())
+            if self.buckets:
+                rows = rows.repartition("part").sortWithinPartitions("part", self.bucket_by)
+            rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").parquet(f"{self.folder}/{name}")
             written = [d.getPath().getName() for d in self.fs.listStatus(target) if d.isDirectory()]
             kept = {v: n for v, n in parts.items() if values is not None and v not in values}
-            content = json.dumps(kept | {unquote(d.removeprefix("part=")): f"{name}/{d}" for d in written}, sort_keys=True)
+            content = json.dumps({"parts": kept | {unquote(d.removeprefix("part=")): f"{name}/{d}" for d in written}, "notes": noted}, sort_keys=True)
         self._point(name, content)
         used = {n.split("/")[0] for n in self.parts().values()}
         versions = sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(self.folder)) if x.isDirectory() and x.getPath().getName().startswith("v"))
@@ -158,26 +223,69 @@ class Snapshots:
 
 
 class Store:
-    """The ledger, the state of the sources and the acknowledgements not yet in the ledger, under one folder."""
+    """The ledger, the state of the sources and the acknowledgements not yet in the ledger, under one folder.
+
+    The ledger's pointer notes the greatest id, the number of records and errors of each source, and the
+    last batch of every stream that was put in, all as of its commit.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = LEDGER_BUCKETS):
+        self.spark, self.folder, self.acks = spark, folder.rstrip("/"), f"{folder.rstrip('/')}/acknowledged"
+        self.records = Snapshots(spark, f"{self.folder}/usage_record", LEDGER, by="source", buckets=buckets, bucket_by="source_id")
+        self.state = Snapshots(spark, f"{self.folder}/collector_state", STATE)
+
+    def put(self, batch: DataFrame, now: str, marker: tuple[str, int] | None = None, touch_unchanged: bool = True) -> int:
+        """Put a batch of unique keys into the ledger in one commit; how many keys are new.
+
+        Only parts that the batch's keys belong to are read and written. The rows are joined once and stored
+        beside the ledger, from where they are counted, numbered and committed. ``marker`` names a stream and
+        its batch; a batch that has been put in before is left out.
+        """
+        notes = self.records.notes()
+        if marker is not None and notes.get("applied", {}).get(marker[0], -1) >= marker[1]:
+            return 0
+        touched = self.records.touched(batch)
+        staged, path = joined(self.records.read(touched), batch, now, touch_unchanged), self.records._path(f"{self.folder}/staged-{uuid.uuid4().hex}")
+        try:
+            staged.write.parquet(path.toString())
+            rows = self.spark.read.schema(staged.schema).parquet(path.toString())
+            top, added = self._top(notes), changes(rows)
+            totals = self._totals(notes)
+            new = sum(n for n, _ in added.values())
+            totals |= {s: [totals.get(s, [0, 0])[0] + n, totals.get(s, [0, 0])[1] + e] for s, (n, e) in added.items()}
+            applied = notes.get("applied", {}) | ({marker[0]: marker[1]} if marker else {})
+            self.records.commit(numbered(rows, top), touched, {"top": top + new, "totals": totals, "applied": applied})
+        finally:
+            self.records.fs.delete(path, True)
+        return new
+
+    def _top(self, notes: dict) -> int:
+        return notes["top"] if "top" in notes else self.records.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+    def _totals(self, notes: dict) -> dict[str, list[int]]:
+        """Records and errors by source; a ledger that no ``put`` has noted them of is counted."""
+        if "totals" in notes:
+            return dict(notes["totals"])
+        counted = self.records.read().groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "error").alias("errors"))
+        return {r["source"]: [r["n"], r["errors"]] for r in counted.collect()}
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.acks = spark, f"{folder.rstrip('/')}/acknowledged"
-        self.records = Snapshots(spark, f"{folder.rstrip('/')}/usage_record", LEDGER, by="source")
-        self.state = Snapshots(spark, f"{folder.rstrip('/')}/collector_state", STATE)
+    def totals(self) -> DataFrame:
+        """Records, and errors among them, of each source, as the last commit left them; the ledger is not read."""
+        return self.spark.createDataFrame([(s, n, e) for s, (n, e) in sorted(self._totals(self.records.notes()).items())], TOTALS)
 
     def acknowledge(self, keys: list[tuple[str, str]], now: str) -> None:
         """Note at once that records were sent; ``settle`` brings the notes into the ledger."""
         self.spark.createDataFrame([(*k, now) for k in keys], ACK).coalesce(1).write.mode("append").parquet(self.acks)
 
     def settle(self) -> int:
-        """Mark what was acknowledged in the ledger, in one commit; how many records."""
+        """Mark what was acknowledged in the ledger, in one commit of the parts it is in; how many records."""
         path = self.records._path(self.acks)
         if not self.records.fs.exists(path):
             return 0
         noted = self.spark.read.schema(ACK).parquet(self.acks).groupBy(*KEY).agg(F.max("at").alias("at"))
         n = noted.count()
         if n:
-            touched = [r[0] for r in noted.select("source").distinct().collect()]  # as many as there are sources
+            touched = self.records.touched(noted)
             self.records.commit(acknowledged(self.records.read(touched), noted), touched)
         self.records.fs.delete(path, True)
         return n

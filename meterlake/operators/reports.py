@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from meterlake.functions import models
 from meterlake.functions.times import cutoff
 
+SUMMED = ("input_tokens", "output_tokens", "cache_write_tokens", "reasoning_tokens", "cost_usd")
 
-def group(by: str) -> Column:
-    """The expression of a group key."""
-    keys = {
+
+def keys() -> dict[str, Column]:
+    """The expressions of all group keys."""
+    return {
         "source": F.col("source"),
         "model": F.coalesce("model_norm", F.lit("(unknown)")),
         "billing": F.col("billing"),
@@ -21,9 +23,14 @@ def group(by: str) -> Column:
         "machine": F.coalesce("machine", F.lit("(unknown)")),
         "sub_tool": F.coalesce("sub_tool", F.lit("(none)")),
     }
-    if by not in keys:
-        raise ValueError(f"cannot group by {by!r}; one of {', '.join(keys)}")
-    return keys[by]
+
+
+def group(by: str) -> Column:
+    """The expression of a group key."""
+    known = keys()
+    if by not in known:
+        raise ValueError(f"cannot group by {by!r}; one of {', '.join(known)}")
+    return known[by]
 
 
 def recent(records: DataFrame, since_days: float | None, now: datetime) -> DataFrame:
@@ -34,14 +41,30 @@ def recent(records: DataFrame, since_days: float | None, now: datetime) -> DataF
 def stats(records: DataFrame, by: str, since_days: float | None = None, now: datetime | None = None) -> DataFrame:
     """Counts, token sums and cost of the successful records by group; cache reads are not summed."""
     good = recent(records.where(F.col("outcome") == "ok"), since_days, now or datetime.now())
-    return good.groupBy(group(by).alias("key")).agg(
-        F.count("*").alias("records"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum("cache_write_tokens").alias("cache_write_tokens"),
-        F.sum("reasoning_tokens").alias("reasoning_tokens"),
-        F.sum("cost_usd").alias("cost_usd"),
-    )
+    return good.groupBy(group(by).alias("key")).agg(*_sums())
+
+
+def _sums() -> list[Column]:
+    return [F.count("*").alias("records"), *[F.sum(c).alias(c) for c in SUMMED]]
+
+
+def stats_all(records: DataFrame, since_days: float | None = None, now: datetime | None = None) -> DataFrame:
+    """The same for all keys at once, ``by`` telling which: one scan, and one aggregate over a grouping set for each key.
+
+    A record is spread into one narrow row for each key, and those meet by (key, value) after they were summed in
+    their tasks.
+    """
+    known = keys()
+    good = recent(records.where(F.col("outcome") == "ok"), since_days, now or datetime.now())
+    named = {by: f"_by_{by}" for by in known}
+    rows = good.select(*[known[by].alias(c) for by, c in named.items()], *SUMMED)
+    found = rows.groupingSets([[c] for c in named.values()], *named.values()).agg(F.grouping_id().alias("_set"), *_sums())
+    bit = {by: (1 << len(named)) - 1 - (1 << len(named) - 1 - k) for k, by in enumerate(named)}
+    by = F.coalesce(*[F.when(F.col("_set") == b, F.lit(name)) for name, b in bit.items()])
+    key = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, b in bit.items():
+        key = key.when(F.col("_set") == b, F.col(named[name]))
+    return found.select(by.alias("by"), key.alias("key"), "records", *SUMMED)
 
 
 def ordered_stats(found: DataFrame) -> DataFrame:
@@ -55,7 +78,12 @@ def outcomes(records: DataFrame) -> DataFrame:
 
 def source_status(state: DataFrame, records: DataFrame) -> DataFrame:
     """One row per source with state: its last run and its share of errors, null where nothing was seen."""
-    joined = state.join(outcomes(records), "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("errors", "total")})
+    return status_of(state, outcomes(records))
+
+
+def status_of(state: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from counts (source, errors, total) that are known already."""
+    joined = state.join(counts, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("errors", "total")})
     share = F.when(F.col("total") > 0, F.col("errors") / F.col("total") * 100)
     return joined.select(
         "source", F.coalesce("records_total", F.lit(0)).alias("records"), "last_status", "last_run_at", "last_note", "errors", "total", share.alias("err_pct")

@@ -13,6 +13,7 @@ from meterlake.operators import ledger as store
 from meterlake.operators import reports, sync
 from meterlake.operators.attribution import attributed
 from meterlake.plans import inputs, usage
+from meterlake.session import shared_folder
 from meterlake.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,13 +36,6 @@ def _rounded(df: DataFrame, column: str = "cost_usd") -> DataFrame:
     return df.withColumn(column, F.round(column, DIGITS))
 
 
-@query("""SELECT source, source_id, grain, ts, model, project, workspace, sub_tool, outcome, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens,
-  cache_write_1h_tokens, reasoning_tokens, duration_ms, raw FROM base""")
-def usage_projection(spark, sf_dir):
-    columns = "source source_id grain ts model project workspace sub_tool outcome input_tokens output_tokens cache_read_tokens cache_write_tokens cache_write_1h_tokens reasoning_tokens duration_ms raw"
-    return usage.base(spark, sf_dir).select(*columns.split())
-
-
 @query("SELECT id, model, model_norm FROM named")
 def normalize_model(spark, sf_dir):
     return usage.base(spark, sf_dir).select("id", "model", models.normalize_model(F.col("model")).alias("model_norm"))
@@ -89,6 +83,11 @@ for _by, _key in _KEYS.items():
     query(f"SELECT {_key} AS key, {_SUMS} FROM ledger WHERE outcome = 'ok' GROUP BY 1", f"stats_by_{_by}")(_stats(_by))
 
 
+@query(" UNION ALL ".join(f"SELECT '{by}' AS by, {key} AS key, {_SUMS} FROM ledger WHERE outcome = 'ok' GROUP BY 2" for by, key in _KEYS.items()))
+def stats_all_keys(spark, sf_dir):
+    return _rounded(reports.stats_all(usage.ledger(spark, sf_dir)))
+
+
 @query(f"SELECT source AS key, {_SUMS} FROM ledger WHERE outcome = 'ok' AND ts >= '2024-01-24 00:00:00' GROUP BY 1")
 def stats_since_days(spark, sf_dir):
     return _rounded(reports.stats(usage.ledger(spark, sf_dir), "source", 7, usage.NOW))
@@ -173,7 +172,7 @@ def stats_by_attributed_tool(spark, sf_dir):
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose keys repeat: one for each user and source."""
-    return usage.ledger(spark, sf_dir).withColumns({"source_id": F.col("session_id"), "seq": F.lpad(F.col("id").cast("string"), 12, "0")})
+    return usage.ledger(spark, sf_dir).withColumns({"source_id": F.col("session_id"), "seq": F.col("id")})
 
 
 @query("SELECT source, session_id AS source_id, arg_max(input_tokens, id) AS input_tokens, arg_max(ts, id) AS ts FROM base GROUP BY 1, 2")
@@ -206,10 +205,45 @@ def upsert_new_rows(spark, sf_dir):
     return store.new_rows(old, batch).groupBy("source").agg(F.count("*").alias("new_rows"))
 
 
+def _after_two_puts(spark: SparkSession, sf_dir: str) -> tuple[store.Store, int]:
+    """A ledger after two batches, the second twice: all but signups; then signups, clicks with more tokens, and errors of even users that turned ok. And its greatest id after the first."""
+    ledger = store.Store(spark, shared_folder(spark, "ledger"))
+    rows = usage.ledger(spark, sf_dir).drop("id", "synced_at", "ingested_at")
+    first = ledger.put(rows.where("sub_tool is distinct from 'signup'"), "2024-01-30 00:00:00", ("stream", 0))
+    turned = (F.col("outcome") == "error") & (F.substring("session_id", 2, 20).cast("long") % 2 == 0)
+    again = rows.where(F.col("sub_tool").isin("signup", "click") | turned).withColumns({"input_tokens": F.col("input_tokens") + 1, "outcome": F.lit("ok")})
+    for at in ("2024-01-31 00:00:00", "2024-02-01 00:00:00"):  # the second time it is known and left out
+        ledger.put(again, at, ("stream", 1))
+    return ledger, first
+
+
+_AGAIN = "(sub_tool IN ('signup', 'click') OR (outcome = 'error' AND user_number % 2 = 0))"
+_USERS = "(SELECT *, CAST(substr(session_id, 2) AS BIGINT) AS user_number FROM base)"
+
+
+@query(f"""SELECT source, source_id, sub_tool IS NOT DISTINCT FROM 'signup' AS fresh, CASE WHEN coalesce({_AGAIN}, false) THEN input_tokens + 1 ELSE input_tokens END AS input_tokens,
+  CASE WHEN coalesce({_AGAIN}, false) THEN 'ok' ELSE outcome END AS outcome, CASE WHEN coalesce({_AGAIN}, false) THEN '2024-01-31 00:00:00' ELSE '2024-01-30 00:00:00' END AS ingested_at FROM {_USERS}""")
+def ledger_puts(spark, sf_dir):
+    ledger, first = _after_two_puts(spark, sf_dir)
+    return ledger.records.read().select("source", "source_id", (F.col("id") > first).alias("fresh"), "input_tokens", "outcome", "ingested_at")
+
+
+@query("SELECT count(*) AS records, count(*) AS ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id FROM base")
+def ledger_ids(spark, sf_dir):
+    ledger, _ = _after_two_puts(spark, sf_dir)
+    return ledger.records.read().agg(F.count("*").alias("records"), F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query(f"SELECT source, count(*) AS records_total, count(*) FILTER (WHERE outcome = 'error' AND NOT coalesce({_AGAIN}, false)) AS errors FROM {_USERS} GROUP BY 1")
+def ledger_totals(spark, sf_dir):
+    """Totals that the commits kept, without a scan of the ledger."""
+    return _after_two_puts(spark, sf_dir)[0].totals()
+
+
 @query("SELECT session_id AS session, arg_max(project, id) AS base_url FROM base GROUP BY 1")
 def session_env_last_wins(spark, sf_dir):
     told = F.to_json(F.struct(F.lit("session_env").alias("event"), F.struct(F.col("session_id").alias("session"), F.col("project").alias("base_url")).alias("data")))
-    return records.session_env(usage.base(spark, sf_dir).select(F.lit("log").alias("path"), F.col("id").alias("offset"), told.alias("value")))
+    return records.session_env(usage.base(spark, sf_dir).select(F.lit("log").alias("path"), F.col("id").alias("offset"), told.alias("value"), F.lit(0).cast("long").alias("file")))
 
 
 _ELIGIBLE = "(synced_at IS NULL OR ingested_at > synced_at)"
@@ -232,11 +266,6 @@ def sync_payload(spark, sf_dir):
     return sent.select("id", "source", "source_id", field("model_norm").alias("model_norm"), field("billing").alias("billing"), field("cost_source").alias("cost_source"), field("raw.sessionId").alias("session_id"), field("input_tokens").alias("input_tokens"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 500")
-def incremental_since_cursor(spark, sf_dir):
-    return usage.events(spark, sf_dir).where("event_id > 500").select("event_id", "event_type")
-
-
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS from_millis, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS from_seconds FROM events")
 def epoch_to_iso(spark, sf_dir):
     at = F.col("ts").cast("timestamp")
@@ -258,12 +287,6 @@ def state_records_total(spark, sf_dir):
     return store.record_totals(usage.base(spark, sf_dir))
 
 
-@query("SELECT CAST(event_id % 6 AS BIGINT) AS source_number, max((epoch_us(ts) // 1000)) AS last_cursor FROM events GROUP BY 1")
-def source_cursor_max(spark, sf_dir):
-    rows = usage.events(spark, sf_dir)
-    return rows.groupBy((F.col("event_id") % 6).alias("source_number")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_cursor"))
-
-
 @query("SELECT id, ts FROM base WHERE ts >= '2024-01-28 00:00:00'")
 def recent_records(spark, sf_dir):
     return usage.base(spark, sf_dir).where(F.col("ts") >= cutoff(usage.NOW, 3)).select("id", "ts")

@@ -28,7 +28,7 @@ TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tok
 RECORD = struct(
     "source string, source_id string, grain string, ts string, model string, project string, workspace string, sub_tool string, "
     "outcome string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, "
-    "cache_write_1h_tokens long, reasoning_tokens long, duration_ms double, raw string, session_id string, seq string"
+    "cache_write_1h_tokens long, reasoning_tokens long, duration_ms double, raw string, session_id string, seq long"
 )
 #: The ledger of usage records, unique by source and source_id.
 LEDGER = struct(

@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 if TYPE_CHECKING:
     import pyarrow as pa
 
-SCHEMA = "path string, offset long, value string"
+SCHEMA = "path string, offset long, value string, file long"
 CHUNK = 4 << 20
 #: Bytes of a file that one task reads at most.
 SPLIT = 64 << 20
@@ -96,20 +96,20 @@ def advanced(patterns: str, known: dict[str, int]) -> dict[str, int]:
 
 
 class Stretch(InputPartition):
-    """The lines of a file that begin from ``start`` to before ``stop``; ``inner`` if a line may lie across its start."""
+    """The lines of a file that begin from ``start`` to before ``stop``; ``inner`` if a line may lie across its start, ``file`` its place among all."""
 
-    def __init__(self, path: str, start: int, stop: int, inner: bool = False):
-        self.path, self.start, self.stop, self.inner = path, start, stop, inner
+    def __init__(self, path: str, start: int, stop: int, inner: bool = False, file: int = 0):
+        self.path, self.start, self.stop, self.inner, self.file = path, start, stop, inner, file
 
 
 def stretches(begin: dict[str, int], end: dict[str, int], split: int = SPLIT) -> list[Stretch]:
     """What to read between two sets of offsets; a file whose offset fell is read from its start."""
     out = []
-    for path, stop in sorted(end.items()):
+    for k, (path, stop) in enumerate(sorted(end.items())):
         start = begin.get(path, 0)
         if stop < start:
             start = 0
-        out += [Stretch(path, at, min(stop, at + split), at > start) for at in range(start, stop, split)]
+        out += [Stretch(path, at, min(stop, at + split), at > start, k) for at in range(start, stop, split)]
     return out
 
 
@@ -135,7 +135,7 @@ def lines(part: Stretch) -> Iterator[pa.RecordBatch]:
                 at, whole = at + len(line) + 1, True
             at -= 1  # behind the last line feed there is no line yet
             held = held[cut:]
-            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], ["path", "offset", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(values, pa.string()), pa.array([part.file] * len(offsets), pa.int64())], ["path", "offset", "value", "file"])
             if not data:
                 break
 

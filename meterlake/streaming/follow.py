@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -25,17 +26,33 @@ def builders(spark: SparkSession, paths: registry.Paths) -> dict[str, tuple[str,
     }
 
 
-def follow(spark: SparkSession, store: Store, paths: registry.Paths, source: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Put a source's new lines into the ledger: what there is now, or with ``every`` again and again.
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps with its checkpoint; a new checkpoint, whose batches count from 0 again, has another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())["id"]
+    finally:
+        stream.close()
 
-    Batches may be repeated after a failure; the keyed put makes that harmless.
-    """
-    patterns, build = builders(spark, paths)[source]
+
+def putter(spark: SparkSession, store: Store, paths: registry.Paths, build: Callable[[DataFrame, str], DataFrame], name: Callable[[], str]) -> Callable[[DataFrame, int], None]:
+    """What puts a batch of lines into the ledger, once for each batch of the stream ``name`` tells."""
 
     def put(rows: DataFrame, batch: int) -> None:
         now = datetime.now(UTC)
         env = records.session_env(lines.scan(spark, paths.session_env))
-        ingest.put(store, build(rows, registry.iso(now)), env, None, now)
+        ingest.put(store, build(rows, registry.iso(now)), env, None, now, (name(), batch))
+
+    return put
 
+
+def follow(spark: SparkSession, store: Store, paths: registry.Paths, source: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Put a source's new lines into the ledger: what there is now, or with ``every`` again and again.
+
+    A batch that is repeated after a failure is put in once: the commit notes the stream and its batch.
+    """
+    patterns, build = builders(spark, paths)[source]
+    put = putter(spark, store, paths, build, lambda: stream_id(spark, checkpoint))
     stream = lines.tail(spark, patterns).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

@@ -4,8 +4,11 @@ Everything is DataFrame expressions. The labelled URLs are those that a rule dec
 are grown level by level from histograms that Spark sums over binned features, so a level costs
 one small aggregate whatever the number of rows, and are applied as nested conditions.
 
-Suffix statistics are counted over all URLs and cover all suffixes. Where the trees are fitted, a
-row's own label is left out of its suffix's share of blocked URLs. Only the fit is bounded: at most
+Suffix statistics are counted over all URLs and cover all suffixes. No label is used twice: a hash of the host
+deals hosts into folds, and the share of a suffix's URLs that rules block is taken from those of one
+group of folds (``STATISTICS``), the trees are fitted on another (``FITTED``), their threshold is set on a third
+(``CALIBRATED``), and the last is for nothing but to see how well they do (``held_out``). So all URLs of a suffix
+have the same share, where trees are fitted and where they judge. Only the fit is bounded: at most
 about ``MAX_LABELLED`` labelled rows.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and a
@@ -38,8 +41,12 @@ PRIOR_ROWS, PRIOR = 10, 0.5
 BINS, TREES, DEPTH, RATE, RIDGE = 16, 8, 3, 0.4, 1.0
 FEATURES = (
     "length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "longest_label",
-    "path_digits", "hyphens", "suffix_share", "suffix_block_rate",
+    "path_digits", "hyphens", "suffix_share", "suffix_rate_apart",
 )
+#: Folds of hosts, and what those with labels serve for.
+FOLDS, STATISTICS, FITTED, CALIBRATED, HELD_OUT = 6, (0, 1), (2, 3), 4, 5
+#: Labelled URLs of either verdict without which the threshold stays where both weigh alike.
+LEAST_CALIBRATED = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,7 +101,7 @@ def described(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     labels = F.split("host", r"\.")
     return rows.select(
-        "page_id", "host", "path", "fit",
+        "page_id", "host", "path", "fit", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).alias("fold"),
         F.element_at(labels, -1).alias("suffix"),
         F.length(url).cast("double").alias("length"),
         _without(F.col("path"), "/").cast("double").alias("depth"),
@@ -115,9 +122,10 @@ def block_rate(blocked: Column, ruled: Column) -> Column:
 
 
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """For every host suffix how many URLs it has, how many a rule decides and how many a rule blocks."""
-    blocked = F.count_if(F.col("fit.verdict") == "block")
-    return rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("fit").isNotNull()).alias("ruled"), blocked.alias("blocked"))
+    """For every host suffix how many URLs it has, how many a rule decides and how many a rule blocks, and these of the hosts set apart for them."""
+    ruled, blocked, apart = F.col("fit").isNotNull(), F.col("fit.verdict") == "block", F.col("fold").isin(*STATISTICS)
+    counts = {"ruled": ruled, "blocked": blocked, "ruled_apart": ruled & apart, "blocked_apart": blocked & apart}
+    return rows.groupBy("suffix").agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in counts.items()])
 
 
 def featured(rows: DataFrame) -> DataFrame:
@@ -126,7 +134,7 @@ def featured(rows: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 1
     share = counts.withColumns({"weight": F.col("n"), "suffix_share": F.col("n") / total}).drop("n")
     joined = lookup(rows, share, "suffix", "weight", total)
-    return joined.withColumn("suffix_block_rate", block_rate(F.col("blocked"), F.col("ruled")))
+    return joined.withColumns({"suffix_block_rate": block_rate(F.col("blocked"), F.col("ruled")), "suffix_rate_apart": block_rate(F.col("blocked_apart"), F.col("ruled_apart"))})
 
 
 @dataclass(frozen=True)
@@ -202,16 +210,15 @@ def _grown(rows: DataFrame, cuts: dict[str, list[float]]) -> Split | Leaf:
 
 
 def fit(rows: DataFrame) -> tuple[float, list]:
-    """Boosted trees for blocking, from the rows that a rule decides: the base score and the trees."""
-    ruled = rows.where("fit is not null")
+    """Boosted trees for blocking, from the rows that a rule decides: the base score, above which with the trees' sum 0 blocks, and the trees."""
+    ruled = rows.where("fit is not null").where(F.col("fold").isin(*FITTED))
     n = ruled.count()
     if not n:
         return -1.0, []
     share = int(min(1.0, MAX_LABELLED / n) * (1 << 20))
     chosen = ruled.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20)) < share)
     y = (F.col("fit.verdict") == "block").cast("double")
-    others = chosen.withColumns({"y": y, "suffix_block_rate": block_rate(F.col("blocked") - y, F.col("ruled") - 1)})
-    sample = stored(others.select("y", *FEATURES), "urls")
+    sample = stored(chosen.select(y.alias("y"), *FEATURES), "urls")
     marks = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
     first = sample.agg(F.avg("y"), *[F.percentile_approx(f, marks) for f in FEATURES]).first()
     if first[0] is None:
@@ -227,7 +234,46 @@ def fit(rows: DataFrame) -> tuple[float, list]:
         step = binned.withColumn("p", p).withColumns({"g": weight * (F.col("p") - F.col("y")), "h": weight * F.col("p") * (1 - F.col("p"))})
         trees.append(_grown(step, cuts))
     binned.unpersist()
-    return base, trees
+    return base - threshold(rows, base, trees), trees
+
+
+def threshold(rows: DataFrame, base: float, trees: list) -> float:
+    """The score above which blocking agrees best with the rules on hosts that the trees have not seen, both verdicts weighing alike.
+
+    The counts by score, rounded to hundredths, are few whatever the number of rows.
+    """
+    seen = rows.where((F.col("fold") == CALIBRATED) & F.col("fit").isNotNull())
+    score = F.round(scored(base, trees), 2).alias("score")
+    counts = seen.groupBy(score).agg(F.count_if(F.col("fit.verdict") == "block").alias("block"), F.count_if(F.col("fit.verdict") == "allow").alias("allow")).collect()
+    table = sorted((r["score"], r["block"], r["allow"]) for r in counts)
+    blocks, allows = (sum(t[k] for t in table) for k in (1, 2))
+    if min(blocks, allows) < LEAST_CALIBRATED:
+        return 0.0
+
+    def agreed(at: float) -> float:
+        return sum(b for s, b, _ in table if s > at) / blocks + sum(a for s, _, a in table if s <= at) / allows
+
+    between = [(x[0] + y[0]) / 2 for x, y in zip(table, table[1:], strict=False)]
+    best = max([0.0, *between], key=lambda at: (round(agreed(at), 9), -abs(at)))
+    return best if agreed(best) > agreed(0.0) else 0.0
+
+
+def held_out(rows: DataFrame, base: float, trees: list) -> DataFrame:
+    """How the trees judge ruled URLs of hosts kept from statistics, fit and threshold: the rules' verdict, theirs, and how many."""
+    apart = rows.where((F.col("fold") == HELD_OUT) & F.col("fit").isNotNull())
+    own = F.when(scored(base, trees) > 0, "block").otherwise("allow")
+    return apart.groupBy(F.col("fit.verdict").alias("verdict"), own.alias("judged")).agg(F.count("*").alias("n"))
+
+
+def used_features(trees: list) -> set[str]:
+    """The features that any tree splits by."""
+    found, open_ = set(), list(trees)
+    while open_:
+        node = open_.pop()
+        if isinstance(node, Split):
+            found.add(node.feature)
+            open_ += [node.low, node.high]
+    return found
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

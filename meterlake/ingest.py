@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,9 @@ class Result:
     processed: int = 0
     new_rows: int = 0
     note: str | None = None
+    #: Lines that were read, and those of each kind.
+    seen: dict[str, int] = field(default_factory=dict)
+    batches: int = 0
 
 
 def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str | None, now: datetime, marker: tuple[str, int] | None = None) -> tuple[int, int]:
@@ -50,29 +53,39 @@ def cursor_of(store: ledger.Store, source: str) -> str | None:
 
 
 def run_one(spark: SparkSession, store: ledger.Store, source: registry.Source, env: DataFrame, full: bool, now: datetime) -> Result:
-    """One source; its failure is noted, keeps its cursor and stops no other."""
+    """One source; its failure is noted, keeps its cursor and stops no other.
+
+    A long backlog is read in several batches, each with a commit and a cursor of its own.
+    """
     if not source.available():
         return Result(source.name, "skipped", note="not present")
-    cursor = cursor_of(store, source.name)
+    cursor = None if full else cursor_of(store, source.name)
+    processed, new, batches, seen, more = 0, 0, 0, {}, True
     try:
-        got = source.collect(spark, None if full else cursor, now)
-        processed, new = put(store, got.records, env, source.workspace, now)
-        status = "skipped" if got.note and not processed else "ok"
-        _state(spark, store, source.name, got.cursor, status, got.note, now)
-        return Result(source.name, status, processed, new, got.note)
+        while more:
+            got = source.collect(spark, cursor, now)
+            some, fresh = put(store, got.records, env, source.workspace, now)
+            processed, new, batches, cursor, more = processed + some, new + fresh, batches + 1, got.cursor, got.more
+            if got.seen is not None:
+                seen = {k: seen.get(k, 0) + v for k, v in got.seen.get.items()}
+            status = "skipped" if got.note and not processed else "ok"
+            _state(spark, store, source.name, cursor, status, got.note, now)
+        if source.drops_keyless and seen.get("keyless"):
+            log.warning("%s: %d rows without request_id dropped", source.name, seen["keyless"])
+        return Result(source.name, status, processed, new, got.note, seen, batches)
     except Exception as error:  # whatever a source does, the others run
         note = str(error).splitlines()[0] if str(error) else type(error).__name__
         log.error("%s: %s", source.name, note)
-        _state(spark, store, source.name, cursor, "error", note, now)
+        _state(spark, store, source.name, cursor_of(store, source.name), "error", note, now)
         return Result(source.name, "error", note=note)
 
 
 def run(
     spark: SparkSession, store: ledger.Store, paths: registry.Paths, full: bool = False, only: str | None = None,
-    transport: sync.Transport | None = None, now: datetime | None = None,
+    transport: sync.Transport | None = None, now: datetime | None = None, most: int = registry.BATCH_BYTES,
 ) -> list[Result]:
     """All sources, or the one named; then the export, whose failure is only logged."""
-    found = registry.sources(paths)
+    found = registry.sources(paths, most)
     if only is not None and only not in found:
         raise ValueError(f'unknown source "{only}"')
     now = now or datetime.now(UTC)

@@ -12,7 +12,7 @@ import sqlite3
 from contextlib import closing
 from datetime import UTC
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import ingest, schema
@@ -201,6 +201,28 @@ def sqlite_ranges(spark, sf_dir):
     return reader.option("partitions", "4").load().select("id", "started_at", "input_tokens", F.coalesce("output_tokens", F.lit(-1)).alias("output_tokens"))
 
 
+def ingest_metrics(spark, sf_dir):
+    """What the pass that reads each log counts of its lines."""
+    found = []
+    for source, line, build in (("claude-code", transcript_line(), records.transcripts), ("sideclaw-iu", direct_line(), records.direct)):
+        seen = Observation(source)
+        build(scanned(spark, sf_dir, line), NOW_ISO, seen).write.format("noop").mode("overwrite").save()
+        found += [(source, kind, n) for kind, n in seen.get.items() if kind not in ("lines", "blank")]
+    return spark.createDataFrame(found, "source string, kind string, n long")
+
+
+def ingest_in_batches(spark, sf_dir):
+    """A log read a few kilobytes at a time, each with a commit of its own."""
+    store = ledger.Store(spark, shared_folder(spark, "ledger"), buckets=2)
+    none = f"{shared_folder(spark, 'none')}.jsonl"
+    paths = registry.Paths(none, none, none, log(spark, sf_dir, direct_line()), none, none, none, none)
+    size = sum(f.size for f in lines.files(paths.direct))
+    env = spark.createDataFrame([], "session string, base_url string")
+    result = ingest.run_one(spark, store, registry.sources(paths, -(-size // 3))["sideclaw-iu"], env, False, usage.NOW)
+    stored = store.records.read().agg(F.count("*").alias("records"), F.sum("output_tokens").alias("output_tokens"))
+    return stored.withColumns({"processed": F.lit(result.processed).cast("long"), "several": F.lit(result.batches >= 3)})
+
+
 def session_env_log(spark, sf_dir):
     return records.session_env(scanned(spark, sf_dir, env_line()))
 
@@ -360,6 +382,8 @@ _AGENT = """SELECT '{source}' AS source, id AS source_id, 'session' AS grain, st
   CAST(NULL AS VARCHAR) AS session_id FROM sessions"""
 _LINE_VALUES = "CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'broken' ELSE 'line' END"
 
+_KINDS_OF = f"""SELECT event_id AS e, event_id % 17 <> 0 AND event_id % 13 <> 0 AS good, event_id % 7 <> 0 AND event_id % 11 <> 0 AS answer, {usage._case("event_id % 6", MODELS)} AS model FROM events"""
+_KIND_COUNTS = "count(*) FILTER (WHERE e % 17 <> 0 AND e % 13 = 0) AS broken"
 #: Each query with its SQL, the tables that this needs before ``usage.SQL``'s, and how it is compared.
 REGISTERED = (
     (map_transcripts, _TRANSCRIPTS, f"""SELECT 'claude-code' AS source, source_id, 'message' AS grain, ts, model, project, {_NONE} AS sub_tool, 'ok' AS outcome, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens,
@@ -375,6 +399,10 @@ FROM requests q LEFT JOIN met m ON q.e = m.e"""),
   CASE WHEN e % 6 = 0 THEN 0 ELSE 10 * k END AS input_tokens, 3 * k AS output_tokens, 0 AS cache_read_tokens, 0 AS cache_write_tokens, 0 AS cache_write_1h_tokens, 0 AS reasoning_tokens, CAST(2 * k AS DOUBLE) AS duration_ms,
   CASE WHEN e % 4 <> 0 THEN '{{"totalTokens":' || CAST(13 * k AS DOUBLE) || '}}' END AS raw, {_NONE} AS session_id FROM direct WHERE e % 5 NOT IN (1, 2)"""),
     (direct_keyless, _DIRECT, "SELECT count(*) AS n FROM direct WHERE e % 5 IN (1, 2)"),
+    (ingest_metrics, _TRANSCRIPTS, f"""SELECT 'claude-code' AS source, kind, n FROM (SELECT {_KIND_COUNTS}, count(*) FILTER (WHERE good AND answer AND model = '<synthetic>') AS synthetic,
+    count(*) FILTER (WHERE good AND answer AND model IN ('kimi-k2.6', 'claude-sonnet-4-6-eu')) AS bridge_routed FROM ({_KINDS_OF})) UNPIVOT (n FOR kind IN (broken, synthetic, bridge_routed))
+UNION ALL SELECT 'sideclaw-iu', kind, n FROM (SELECT {_KIND_COUNTS}, count(*) FILTER (WHERE good AND e % 5 IN (1, 2)) AS keyless FROM ({_KINDS_OF})) UNPIVOT (n FOR kind IN (broken, keyless))"""),
+    (ingest_in_batches, _DIRECT, "SELECT count(*) AS records, CAST(sum(3 * k) AS BIGINT) AS output_tokens, count(*) AS processed, true AS several FROM direct WHERE e % 5 NOT IN (1, 2)"),
     (map_agent_sessions, _SESSIONS, _AGENT.format(source="hermes", project="hermes-agent")),
     (map_container_sessions, _SESSIONS, _AGENT.format(source="feuer", project="prometheus-feuer-agent")),
     (map_coding_sessions, _SESSIONS, f"""SELECT 'opencode' AS source, id AS source_id, 'session' AS grain, strftime(make_timestamp((1000 * first + u) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, model, '/p/' || (u % 10) AS project,

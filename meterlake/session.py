@@ -23,11 +23,24 @@ def session(name: str = "meterlake", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_OWN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; on one machine a temporary one."""
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; on one machine a temporary one.
+
+    The application's part of it goes when the driver ends.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/meterlake"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"

@@ -13,10 +13,11 @@ import fnmatch
 import glob
 import json
 import os
-from collections.abc import Iterator
-from typing import TYPE_CHECKING
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import TYPE_CHECKING, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -28,6 +29,8 @@ SCHEMA = "path string, offset long, value string, file long"
 CHUNK = 4 << 20
 #: Bytes of a file that one task reads at most.
 SPLIT = 64 << 20
+#: Tasks that look for the ends of files' lines, at most.
+JOB_TASKS = 1000
 
 
 def place(path: str):
@@ -39,12 +42,18 @@ def place(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
-def listed(patterns: str) -> list[str]:
-    """The files of comma-separated patterns, in order. Beyond bare paths a pattern may vary in its last part only."""
-    found = set()
+class File(NamedTuple):
+    path: str
+    size: int
+    changed: float
+
+
+def files(patterns: str) -> list[File]:
+    """The files of comma-separated patterns, by path. Beyond bare paths a pattern may vary in its last part only, and a folder is listed once."""
+    found = {}
     for pattern in patterns.split(","):
         if "://" not in pattern:
-            found.update(p for p in glob.glob(pattern) if os.path.isfile(p))
+            found |= {p: File(p, os.path.getsize(p), os.path.getmtime(p)) for p in glob.glob(pattern) if os.path.isfile(p)}
             continue
         from pyarrow import fs
 
@@ -52,13 +61,13 @@ def listed(patterns: str) -> list[str]:
         folder, _, name = path.rpartition("/")
         start = pattern[: len(pattern) - len(name)]
         infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        found.update(start + i.base_name for i in infos if i.is_file and fnmatch.fnmatch(i.base_name, name))
-    return sorted(found)
+        found |= {(p := start + i.base_name): File(p, i.size, (i.mtime_ns or 0) / 1e9) for i in infos if i.is_file and fnmatch.fnmatch(i.base_name, name)}
+    return [found[p] for p in sorted(found)]
 
 
-def size_of(path: str) -> int:
-    system, inner = place(path)
-    return system.get_file_info(inner).size
+def listed(patterns: str) -> list[str]:
+    """The paths of ``files``."""
+    return [f.path for f in files(patterns)]
 
 
 def parse_cursor(cursor: str | None) -> dict[str, int]:
@@ -70,11 +79,11 @@ def parse_cursor(cursor: str | None) -> dict[str, int]:
         return {}
 
 
-def end_of_lines(path: str, start: int) -> int:
-    """The offset behind the last line feed from ``start`` on; ``start`` if there is none."""
+def end_of_lines(path: str, start: int, stop: int | None = None) -> int:
+    """The offset behind the last line feed from ``start`` to before ``stop`` or the end; ``start`` if there is none."""
     system, inner = place(path)
     with system.open_input_file(inner) as f:
-        at = f.size()
+        at = f.size() if stop is None else min(stop, f.size())
         while at > start:
             low = max(start, at - CHUNK)
             k = f.read_at(at - low, low).rfind(b"\n")
@@ -84,17 +93,88 @@ def end_of_lines(path: str, start: int) -> int:
     return start
 
 
-def advanced(patterns: str, known: dict[str, int]) -> dict[str, int]:
-    """Offsets up to which whole lines can be read now."""
-    out = dict(known)
-    for path in listed(patterns):
-        size, start = size_of(path), known.get(path, 0)
-        if size < start:
-            start = 0
-        out[path] = end_of_lines(path, start) if size > start else start
+def end_of_line(path: str, start: int) -> int:
+    """The offset behind the first line feed from ``start`` on; -1 if there is none."""
+    system, inner = place(path)
+    with system.open_input_file(inner) as f:
+        for at in range(start, f.size(), CHUNK):
+            k = f.read_at(min(CHUNK, f.size() - at), at).find(b"\n")
+            if k >= 0:
+                return at + k + 1
+    return -1
+
+
+class Backlog(NamedTuple):
+    """What of a file may be read next: from ``start`` to ``stop``; ``whole`` if that is its end, ``long`` if a line may go on behind it."""
+
+    path: str
+    start: int
+    stop: int
+    whole: bool
+    long: bool = False
+
+
+def admitted(found: list[File], known: dict[str, int], most: int | None = None) -> list[Backlog]:
+    """What may be read of each file, ``most`` bytes in all, files that changed longest ago first; a file that shrank starts anew."""
+    out, left = [], most
+    for f in sorted(found, key=lambda f: (f.changed, f.path)):
+        start = known.get(f.path, 0) if f.size >= known.get(f.path, 0) else 0
+        stop = f.size if left is None else min(f.size, start + left)
+        if left is not None:
+            left -= stop - start
+        out.append(Backlog(f.path, start, stop, stop == f.size))
     return out
 
 
+def settled(backlog: Backlog) -> int:
+    """The offset behind the whole lines of a backlog."""
+    at = end_of_lines(backlog.path, backlog.start, None if backlog.whole else backlog.stop)
+    return max(at, end_of_line(backlog.path, backlog.stop)) if backlog.long and at == backlog.start else at
+
+
+def on_threads(some: list[Backlog]) -> dict[str, int]:
+    """Where whole lines end, looked up side by side on the driver: for streams, whose sources have no session."""
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip([b.path for b in some], pool.map(settled, some), strict=True))
+
+
+def by_job(spark: SparkSession) -> Callable[[list[Backlog]], dict[str, int]]:
+    """The same by a job, so that tasks open the files."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [Backlog(*r.values()) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([settled(b) for b in rows], pa.int64())], ["path", "at"])
+
+    def run(some: list[Backlog]) -> dict[str, int]:
+        if not some:
+            return {}
+        rows = spark.createDataFrame(some, "path string, start long, stop long, whole boolean, long boolean").repartition(min(len(some), JOB_TASKS), "path")
+        return {r["path"]: r["at"] for r in rows.mapInArrow(found, "path string, at long").collect()}  # offsets of the files, as the cursor holds them
+
+    return run
+
+
+Ends = Callable[[list[Backlog]], dict[str, int]]
+
+
+def step(found: list[File], known: dict[str, int], most: int | None = None, ends: Ends = on_threads) -> tuple[dict[str, int], bool]:
+    """Offsets up to which whole lines can be read now, ``most`` bytes further in all at most (and the rest of a line), and whether files go on behind them."""
+    some = admitted(found, known, most)
+    at = known | {b.path: b.start for b in some} | ends([b for b in some if b.stop > b.start])
+    moved, cut = any(at[b.path] > b.start for b in some), [b for b in some if not b.whole]
+    if cut and not moved:  # one line is longer than what was admitted: it is read whole
+        at |= ends([cut[0]._replace(long=True)])
+        moved = at[cut[0].path] > cut[0].start
+    return at, bool(cut) and moved
+
+
+def advanced(patterns: str, known: dict[str, int], most: int | None = None, ends: Ends = on_threads) -> dict[str, int]:
+    return step(files(patterns), known, most, ends)[0]
+
+
 class Stretch(InputPartition):
     """The lines of a file that begin from ``start`` to before ``stop``; ``inner`` if a line may lie across its start, ``file`` its place among all."""
 
@@ -143,16 +223,19 @@ def lines(part: Stretch) -> Iterator[pa.RecordBatch]:
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.patterns, self.begin = options["path"], parse_cursor(options.get("cursor"))
+        self.most = int(options["most"]) if options.get("most") else None
         self.at: dict[str, int] | None = None
 
     def initialOffset(self) -> dict:
         return dict(self.begin)
 
     def latestOffset(self) -> dict:
-        self.at = advanced(self.patterns, self.at if self.at is not None else self.begin)
+        self.at = advanced(self.patterns, self.at if self.at is not None else self.begin, self.most)
         return self.at
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
+        if self.at is None:  # a restart goes on behind what the checkpoint has
+            self.at = dict(end)
         return stretches(start, end)
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
@@ -178,7 +261,7 @@ class LinesReader(DataSourceReader):
 
 
 class GrowingLines(DataSource):
-    """``format("growing_lines")`` with ``path`` (patterns), and optionally ``cursor``, ``end`` and ``split``."""
+    """``format("growing_lines")`` with ``path`` (patterns), and optionally ``cursor``, ``end``, ``split`` and, for streams, ``most`` bytes of a batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -201,16 +284,33 @@ def scan(spark: SparkSession, patterns: str, cursor: dict[str, int] | None = Non
     return (reader.option("end", json.dumps(end)) if end is not None else reader).load()
 
 
-def tail(spark: SparkSession, patterns: str, cursor: dict[str, int] | None = None) -> DataFrame:
-    """The same as a stream."""
+def tail(spark: SparkSession, patterns: str, cursor: dict[str, int] | None = None, most: int | None = None) -> DataFrame:
+    """The same as a stream, whose batches have at most ``most`` bytes (and the rest of a line)."""
     spark.dataSource.register(GrowingLines)
-    return spark.readStream.format("growing_lines").option("path", patterns).option("cursor", json.dumps(cursor or {})).load()
+    return spark.readStream.format("growing_lines").option("path", patterns).option("cursor", json.dumps(cursor or {})).option("most", most or "").load()
 
 
-def parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """Lines as struct ``j`` beside path, offset and value; blank lines and what is no JSON object are dropped."""
+def judged(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines as struct ``j`` beside path, offset, value and file, and whether they are blank or broken, that is no JSON object.
+
+    A field of another type only makes that field null.
+    """
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     read = rows.withColumn("j", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    # a field of another type only makes that field null; a line that is no object is dropped
-    whole = F.get_json_object("value", "$").startswith("{")
-    return read.where((F.length(F.trim("value")) > 0) & whole)
+    blank = F.length(F.trim("value")) == 0
+    return read.withColumns({"blank": blank, "broken": ~blank & ~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False))})
+
+
+def parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines that are JSON objects, as struct ``j`` beside path, offset, value and file."""
+    return judged(rows, schema).where("not blank and not broken").drop("blank", "broken")
+
+
+def observed(rows: DataFrame, schema: T.StructType, seen: Observation | None, **kinds: Column) -> DataFrame:
+    """The same, while ``seen`` counts lines, blank and broken ones, and those of each kind, in the pass that reads them."""
+    told = judged(rows, schema)
+    if seen is not None:
+        whole = ~F.col("blank") & ~F.col("broken")
+        counts = {"blank": F.col("blank"), "broken": F.col("broken")} | {k: whole & F.coalesce(c, F.lit(False)) for k, c in kinds.items()}
+        told = told.observe(seen, F.count("*").alias("lines"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    return told.where("not blank and not broken").drop("blank", "broken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meterlake import schema
@@ -26,11 +26,13 @@ def _place() -> Column:
     return F.shiftleft("file", 40) + F.col("offset")
 
 
-def transcripts(rows: DataFrame, now_iso: str) -> DataFrame:
-    """Answers in transcript lines that used tokens, but for local ones and those counted elsewhere."""
-    j = lines.parsed(rows, schema.TRANSCRIPT)
+def transcripts(rows: DataFrame, now_iso: str, seen: Observation | None = None) -> DataFrame:
+    """Answers in transcript lines that used tokens, but for local ones and those counted elsewhere; ``seen`` counts these."""
     usage, model = F.col("j.message.usage"), F.col("j.message.model")
-    used = (F.col("j.type") == "assistant") & usage.isNotNull() & ~model.eqNullSafe("<synthetic>") & ~models.is_bridge_routed(model)
+    answer = (F.col("j.type") == "assistant") & usage.isNotNull()
+    local, elsewhere = model.eqNullSafe("<synthetic>"), models.is_bridge_routed(model)
+    j = lines.observed(rows, schema.TRANSCRIPT, seen, synthetic=answer & local, bridge_routed=answer & ~local & elsewhere)
+    used = answer & ~local & ~elsewhere
     both = F.concat_ws(":", F.coalesce("j.sessionId", F.lit("undefined")), F.coalesce("j.message.id", F.lit("undefined")))
     key = F.coalesce("j.requestId", "j.uuid", both)
     kept = j.where(used).withColumn("key", key).where(F.col("key") != "")
@@ -54,9 +56,9 @@ def windows(rows: DataFrame) -> DataFrame:
     return found.where("start_ms is not null and end_ms is not null")
 
 
-def bridge(rows: DataFrame, work: DataFrame, now_iso: str) -> DataFrame:
-    """Requests through the bridge, attributed to work windows; errors have no tokens."""
-    j = lines.parsed(rows, schema.BRIDGE).withColumns({"ts": F.coalesce("j.ts", F.lit(now_iso)), "seq": _place()})
+def bridge(rows: DataFrame, work: DataFrame, now_iso: str, seen: Observation | None = None) -> DataFrame:
+    """Requests through the bridge, attributed to work windows; errors have no tokens. ``seen`` counts them, and those whose key is made of the line."""
+    j = lines.observed(rows, schema.BRIDGE, seen, errors=F.col("j.event") == "error", keyless=F.col("j.request_id").isNull()).withColumns({"ts": F.coalesce("j.ts", F.lit(now_iso)), "seq": _place()})
     placed = attributed(j.withColumn("ts_ms", millis_of(F.col("ts"))), work, "ts_ms")
     failed = F.coalesce(F.col("j.event") == "error", F.lit(False))
     count = lambda name: F.when(failed, 0).otherwise(_count(f"j.{name}"))
@@ -75,9 +77,9 @@ def bridge(rows: DataFrame, work: DataFrame, now_iso: str) -> DataFrame:
     )
 
 
-def direct(rows: DataFrame, now_iso: str) -> DataFrame:
-    """Direct requests; rows without a request id have no key and are dropped (see ``keyless``)."""
-    j = lines.parsed(rows, schema.DIRECT)
+def direct(rows: DataFrame, now_iso: str, seen: Observation | None = None) -> DataFrame:
+    """Direct requests; rows without a request id have no key and are dropped. ``seen`` counts them and keeps one (see ``keyless``)."""
+    j = lines.observed(rows, schema.DIRECT, seen, keyless=F.coalesce("j.request_id", F.lit("")) == "")
     count = lambda name: F.when(F.isnan(F.coalesce(f"j.{name}", F.lit(0.0))), 0).otherwise(_count(f"j.{name}"))
     raw = F.nullif(json_of(True, totalTokens=F.col("j.total_tokens"), bytes=F.col("j.bytes")), F.lit("{}"))
     return j.where(F.coalesce("j.request_id", F.lit("")) != "").select(

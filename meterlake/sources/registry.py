@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import logging
 import os
 import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import schema
 from meterlake.sources import lines, records, sqlite
 
 
-log = logging.getLogger(__name__)
+#: Bytes of a log that are read and committed together.
+BATCH_BYTES = 64 << 30
 
 
 @dataclass(frozen=True)
@@ -47,17 +47,22 @@ class Paths:
             coding=os.path.join(home, ".local", "share", "opencode", "opencode.db"),
             hermes=env("HERMES_DB", ".hermes", "state.db"),
             feuer_container=os.environ.get("FEUER_CONTAINER") or None,
-            feuer=env("FEUER_DB", "IuRoot", "prometheus-feuer-agent", "state", "hermes", "state.db"),
+            feuer=os.environ.get("FEUER_DB", ""),  # no default: without it the source is absent
         )
 
 
 @dataclass(frozen=True)
 class Collected:
-    """Records of a run, the cursor after them, and a note where something kept the source from being read."""
+    """Records of a batch, the cursor after them, and a note where something kept the source from being read.
+
+    ``seen`` has counts of the lines once the records were read; ``more`` if there is more behind the cursor.
+    """
 
     records: DataFrame
     cursor: str | None
     note: str | None = None
+    seen: Observation | None = None
+    more: bool = False
 
 
 @dataclass(frozen=True)
@@ -66,6 +71,8 @@ class Source:
     available: Callable[[], bool]
     collect: Callable[[SparkSession, str | None, datetime], Collected]
     workspace: str | None = None
+    #: Whether rows without a key are dropped, and so to be told of.
+    drops_keyless: bool = False
 
 
 def iso(now: datetime) -> str:
@@ -76,15 +83,16 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schema.RECORD)
 
 
-def _by_lines(name: str, patterns: str, build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Source:
+def _by_lines(name: str, patterns: str, build: Callable[[SparkSession, DataFrame, str, Observation], DataFrame], most: int) -> Source:
     import json
 
     def collect(spark: SparkSession, cursor: str | None, now: datetime) -> Collected:
-        begin = lines.parse_cursor(cursor)
-        end = lines.advanced(patterns, begin)
-        return Collected(build(spark, lines.scan(spark, patterns, begin, end), iso(now)), json.dumps(end, sort_keys=True))
+        begin, seen = lines.parse_cursor(cursor), Observation(name)
+        end, more = lines.step(lines.files(patterns), begin, most, lines.by_job(spark))
+        records = build(spark, lines.scan(spark, patterns, begin, end), iso(now), seen)
+        return Collected(records, json.dumps(end, sort_keys=True), None, seen, more)
 
-    return Source(name, lambda: bool(lines.listed(patterns)), collect)
+    return Source(name, lambda: bool(lines.listed(patterns)), collect, drops_keyless=name == "sideclaw-iu")
 
 
 def agent_source(name: str, path: str, workspace: str, project: str) -> Source:
@@ -143,24 +151,15 @@ def coding_source(path: str) -> Source:
     return Source("opencode", lambda: os.path.exists(path), collect, "private")
 
 
-def _direct(spark: SparkSession, rows: DataFrame, now: str) -> DataFrame:
-    """Direct requests; those that have no key are told of."""
-    lost = records.keyless(rows)
-    n = lost.count()
-    if n:
-        log.warning("sideclaw-iu: %d rows without request_id dropped, such as %s", n, lost.first()["value"][:120])
-    return records.direct(rows, now)
-
-
-def sources(paths: Paths) -> dict[str, Source]:
-    """All sources in the order in which they run."""
+def sources(paths: Paths, most: int = BATCH_BYTES) -> dict[str, Source]:
+    """All sources in the order in which they run; logs are read in batches of about ``most`` bytes."""
     work = lambda spark: records.windows(lines.scan(spark, paths.windows))
     found = (
-        _by_lines("claude-code", paths.transcripts, lambda spark, rows, now: records.transcripts(rows, now)),
+        _by_lines("claude-code", paths.transcripts, lambda spark, rows, now, seen: records.transcripts(rows, now, seen), most),
         agent_source("hermes", paths.hermes, "private", "hermes-agent"),
         container_source("feuer", paths.feuer_container, "work", "prometheus-feuer-agent") if paths.feuer_container else agent_source("feuer", paths.feuer, "work", "prometheus-feuer-agent"),
         coding_source(paths.coding),
-        _by_lines("litellm", paths.bridge, lambda spark, rows, now: records.bridge(rows, work(spark), now)),
-        _by_lines("sideclaw-iu", paths.direct, _direct),
+        _by_lines("litellm", paths.bridge, lambda spark, rows, now, seen: records.bridge(rows, work(spark), now, seen), most),
+        _by_lines("sideclaw-iu", paths.direct, lambda spark, rows, now, seen: records.direct(rows, now, seen), most),
     )
     return {s.name: s for s in found}

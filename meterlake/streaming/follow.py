@@ -47,12 +47,25 @@ def putter(spark: SparkSession, store: Store, paths: registry.Paths, build: Call
     return put
 
 
-def follow(spark: SparkSession, store: Store, paths: registry.Paths, source: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def follow(spark: SparkSession, store: Store, paths: registry.Paths, source: str, checkpoint: str, every: str | None = None, most: int | None = None) -> StreamingQuery:
     """Put a source's new lines into the ledger: what there is now, or with ``every`` again and again.
 
+    With ``most`` a batch has about so many bytes; without ``every`` that is one batch (see ``drain``).
+
     A batch that is repeated after a failure is put in once: the commit notes the stream and its batch.
     """
     patterns, build = builders(spark, paths)[source]
     put = putter(spark, store, paths, build, lambda: stream_id(spark, checkpoint))
-    stream = lines.tail(spark, patterns).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    stream = lines.tail(spark, patterns, None, most).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
+
+
+def drain(spark: SparkSession, store: Store, paths: registry.Paths, source: str, checkpoint: str, most: int) -> int:
+    """Put all that a source has now into the ledger, in batches of about ``most`` bytes; how many it took."""
+    n = 0
+    while True:
+        query = follow(spark, store, paths, source, checkpoint, most=most)
+        query.awaitTermination()
+        if not sum(p["numInputRows"] for p in query.recentProgress):
+            return n
+        n += 1

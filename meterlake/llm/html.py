@@ -3,13 +3,17 @@
 A page is read as a sequence of words, each +1, and of tags and words of class or id attributes,
 each at or below 0. How far below is learned from labelled pages, those that mark their main text
 by ``article`` or ``main``: a tag or class word costs more the more it stands outside of that. One
-linear scan finds the contiguous region of the greatest sum, and the blocks in it are the text.
+linear scan finds the contiguous region of the greatest sum. The region finds the element that is the text:
+the innermost marked one that holds nearly all its words, or else the least container around it. All
+blocks of a marked element are text, so that its title, captions and short last paragraphs stay; of
+another container those beside the region stay unless class words that cost lie over them.
 
 Elements that are never main text have no words: menus, forms, scripts and so on by element or
-role, hidden ones, and those with a class or id that consists of nothing but words for such things
-(``comment-list``, ``ad``, but not ``has-sidebar`` or ``long-form``, whose words only cost). They
+role, hidden ones, and those with a class or id that consists of nothing but words for such
+things (``comment-list``, ``ad``, but not ``has-sidebar`` or ``long-form``, whose words only cost; of inline
+elements only adverts). They
 end where HTML has them end, with or without an end tag. An ``article`` in such an element is main
-text only if the page has no other.
+text only if the page has no other, and what a class or id alone names so is, if the page has no other words.
 
 Only the weights come from a bounded sample, at most about ``MAX_LABELLED`` pages.
 
@@ -55,10 +59,16 @@ HINTS = set(
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe subscription signup "
     "share sharing social related recommended recommendations comment comments disqus reply replies respond reactions widget form search login pagination pager toolbar skip alert".split()
 )
+#: What a class or id must name for an inline element, such as a word of a verse or of code, to be no main text.
+ADVERTS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion".split())
 BESIDE = set("site page global top bottom left right main primary secondary box bar block list area section container wrapper inner outer item items link links button buttons post posts slot unit group row icons thread message text".split())
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MAIN = ("article", "main")
+# Elements that hold text or stand in a text, and are no container of it.
+FLOW = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption ul ol dl table thead tbody tfoot tr caption address hr details summary center".split())
+#: The share of a region's words that a marked element holds to be the text, and what a class word costs at least to part blocks from it.
+MOSTLY, LEAST_COST = 0.9, -1.0
 # Elements that need no end tag, with the start tags and parents' end tags that end them.
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "option": ("option",)}
 #: Weights where no page is labelled; a class word among ``HINTS`` that was not seen costs as much as ``HINT``.
@@ -66,14 +76,14 @@ DEFAULT = {"article": -8.0, "main": -8.0, "div": -8.0, "body": -8.0, "section":
 HINT = -4.0
 
 
-def described(name: str, attributes: str) -> tuple[bool, list[str]]:
-    """Whether an element is no main text, whatever it holds, and the words of its class and id."""
+def described(name: str, attributes: str, by_name: bool = True) -> tuple[bool, list[str]]:
+    """Whether an element is no main text, whatever it holds, and the words of its class and id. Without ``by_name`` these never tell."""
     if name in NEVER:
         return True, []
     if not attributes:
         return False, []
     words: list[str] = []
-    out = False
+    out = named = False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
@@ -84,7 +94,9 @@ def described(name: str, attributes: str) -> tuple[bool, list[str]]:
             for token in value.split():
                 parts = [w.lower() for w in WORD.findall(token)]
                 words += parts
-                out |= any(w in HINTS for w in parts) and all(w in HINTS or w in BESIDE for w in parts)
+                told = ADVERTS if name in INLINE else HINTS
+                named |= any(w in told for w in parts) and all(w in told or w in BESIDE for w in parts)
+    out |= named and by_name
     return out and name not in ("body", "html", *MAIN), words
 
 
@@ -103,9 +115,24 @@ class Page:
         self._read(source, False)
         if not self.seen and any(f"<{m}" in source.lower() for m in MAIN):
             self._read(source, True)
-
-    def _read(self, source: str, inner: bool) -> None:
-        """With ``inner`` a main element counts wherever it is."""
+        if not any(e[0] is None for e in self.events):
+            self._read(source, True, False)
+
+    def _open(self, name: str, words: list[str]) -> None:
+        """An element below the innermost open one; elements are numbered in the order of their start tags."""
+        mark = len(self.names) if name in MAIN else self.marks[self.at]
+        for values, value in ((self.names, name), (self.parents, self.at), (self.marks, mark), (self.classes, words), (self.first, len(self.pieces) - 1), (self.last, None)):
+            values.append(value)
+        self.at = len(self.names) - 1
+
+    def _close(self) -> None:
+        self.last[self.at] = len(self.pieces) - (1 if self.pieces[-1] else 2)
+        self.at = self.parents[self.at]
+
+    def _read(self, source: str, inner: bool, by_name: bool = True) -> None:
+        """With ``inner`` a main element counts wherever it is; without ``by_name`` no class or id takes an element out."""
+        self.names, self.parents, self.marks, self.classes, self.first, self.last, self.at = [""], [0], [0], [[]], [0], [None], 0
+        self.holders: dict[int, int] = {}
         self.events: list[tuple[str | None, int, int, bool]] = []
         self.pieces: list[list[str]] = [[]]
         self.seen = False
@@ -122,8 +149,11 @@ class Page:
                 continue
             if m["end"] or m["end2"]:
                 if held[name]:
-                    while held.subtract(stack[-1:]) or stack.pop() != name:
-                        pass
+                    while True:
+                        held.subtract(stack[-1:])
+                        self._close()
+                        if stack.pop() == name:
+                            break
                     if gone == len(stack) + 1:
                         gone = 0
                         continue
@@ -141,12 +171,16 @@ class Page:
             while stack and ends(stack[-1], name):
                 held.subtract(stack[-1:])
                 stack.pop()
+                self._close()
             if gone > len(stack) or gone and (name == "main" or inner and name in MAIN):
                 gone = 0
-            out, words = (False, []) if gone else described(name, m["attrs"] or m["attrs2"] or "")
+            out, words = (False, []) if gone else described(name, m["attrs"] or m["attrs2"] or "", by_name)
             if name not in VOID and (out or name not in INLINE or gone and name == stack[gone - 1]):
+                if self.pieces[-1] and name not in INLINE and not gone:
+                    self.pieces.append([])
                 stack.append(name)
                 held[name] += 1
+                self._open(name, words)
                 if out:
                     gone = len(stack)
             if gone:
@@ -168,6 +202,7 @@ class Page:
         words = len(text.split())
         block = len(self.pieces) - 1
         self.pieces[block].append(text)
+        self.holders.setdefault(block, self.at)
         if words:
             self.events.append((None, words, block, inside))
 
@@ -193,9 +228,52 @@ class Page:
                 here += weight
         return found
 
+    def grown(self, first: int, last: int, weights: dict[str, float]) -> list[int]:
+        """The blocks of the element that a region stands for."""
+        words: Counter = Counter()
+        for tag, n, block, _ in self.events:
+            if tag is None and first <= block <= last:
+                words[self.marks[self.holders[block]]] += n
+        total = sum(words.values())
+        below = set(words)
+        while below:  # each element's words count for the marked ones around it too; inner ones have the greater numbers
+            mark = max(below)
+            below.discard(mark)
+            if mark and words[mark] < MOSTLY * total:
+                around = self.marks[self.parents[mark]]
+                words[around] += words[mark]
+                below.add(around)
+        marked = [m for m, n in words.items() if m and n >= MOSTLY * total]
+        if marked:
+            return self._blocks(max(marked))
+        a, b = self.holders[first], self.holders[last]
+        while a != b:
+            a, b = (self.parents[a], b) if a > b else (a, self.parents[b])
+        while self.names[a] in FLOW:
+            a = self.parents[a]
+        if self.names[a] in ("", "html", "body"):
+            return list(range(first, last + 1))
+        cost = lambda w: weights.get("." + w, HINT if w in HINTS else 0.0)
+        costly = {a: False}
+
+        def under(node: int) -> bool:
+            way = []
+            while node not in costly:
+                way.append(node)
+                node = self.parents[node]
+            for n in reversed(way):
+                costly[n] = costly[self.parents[n]] or any(cost(w) < LEAST_COST for w in self.classes[n])
+            return costly[way[0]] if way else costly[node]
+
+        return [k for k in self._blocks(a) if first <= k <= last or k in self.holders and not under(self.holders[k])]
+
+    def _blocks(self, node: int) -> list[int]:
+        last = self.last[node]
+        return list(range(self.first[node], len(self.pieces) if last is None else last + 1))
+
     def text(self, weights: dict[str, float], other: float) -> str:
         first, last = self.region(weights, other)
-        blocks = (" ".join("".join(p).split()) for p in self.pieces[first : last + 1])
+        blocks = (" ".join("".join(self.pieces[k]).split()) for k in (self.grown(first, last, weights) if first <= last else ()))
         return "\n\n".join(b for b in blocks if b)
 
     def labelled(self) -> str:

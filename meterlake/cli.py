@@ -24,6 +24,7 @@ USAGE
 COMMANDS
   ingest                 Read all sources from where they were left (the default)
     --full               From the start
+    --remember-sessions  Keep what the session log tells, also after its lines have gone
     --source <name>      One source: claude-code, hermes, feuer, opencode, litellm or sideclaw-iu
   sync                   Export new and changed records
   stats                  Tokens and cost of successful requests
@@ -69,7 +70,7 @@ def run(args: list[str]) -> int:
     spark = session()
     store, paths, now = Store(spark, folder()), registry.Paths.from_environment(), datetime.now(UTC)
     if command == "ingest":
-        results = ingest.run(spark, store, paths, "--full" in rest, option(rest, "--source"), sync.from_environment())
+        results = ingest.run(spark, store, paths, "--full" in rest, option(rest, "--source"), sync.from_environment(), remember="--remember-sessions" in rest)
         for r in results:
             print(f"{r.source:<14} {r.status:<8} +{r.new_rows} new / {r.processed} seen" + (f" ({r.note})" if r.note else ""))
         print(f"\ndb: {folder()}")

@@ -6,6 +6,7 @@ import logging
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlake.functions.times import stamp
@@ -44,7 +45,8 @@ def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str |
 
 def _state(spark: SparkSession, store: ledger.Store, source: str, cursor: str | None, status: str, note: str | None, now: datetime) -> None:
     run = spark.createDataFrame([(source, cursor, stamp(now), status, note, 0)], ledger.STATE)
-    store.state.commit(ledger.merged_state(store.state.read(), run, store.totals().drop("errors")))
+    with store.lock:
+        store.state.commit(ledger.merged_state(store.state.read(), run, store.totals().drop("errors")))
 
 
 def cursor_of(store: ledger.Store, source: str) -> str | None:
@@ -80,17 +82,46 @@ def run_one(spark: SparkSession, store: ledger.Store, source: registry.Source, e
         return Result(source.name, "error", note=note)
 
 
+def side_by_side(spark: SparkSession, store: ledger.Store, found: list[registry.Source], env: DataFrame, full: bool, now: datetime) -> list[Result]:
+    """Each source in a thread and a scheduler pool of its own; results in the order of the sources."""
+    results: dict[str, Result] = {}
+
+    def one(source: registry.Source) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", source.name)
+        results[source.name] = run_one(spark, store, source, env, full, now)
+
+    threads = [InheritableThread(target=one, args=(s,), session=spark) for s in found]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return [results.get(s.name) or Result(s.name, "error", note="its state could not be written") for s in found]
+
+
+def kept_sessions(spark: SparkSession, store: ledger.Store, patterns: str) -> DataFrame:
+    """The last value of every session that the log has ever told of; only its new lines are read."""
+    known = {k: int(v) for k, v in store.sessions.notes().get("cursor", {}).items()}
+    end, _ = lines.step(lines.files(patterns), known, None, lines.by_job(spark))
+    if end != known:
+        store.remember(records.session_env(lines.scan(spark, patterns, known, end)), end)
+    return store.sessions.read()
+
+
 def run(
     spark: SparkSession, store: ledger.Store, paths: registry.Paths, full: bool = False, only: str | None = None,
-    transport: sync.Transport | None = None, now: datetime | None = None, most: int = registry.BATCH_BYTES,
+    transport: sync.Transport | None = None, now: datetime | None = None, most: int = registry.BATCH_BYTES, remember: bool = False,
 ) -> list[Result]:
-    """All sources, or the one named; then the export, whose failure is only logged."""
+    """All sources, or the one named; then the export, whose failure is only logged.
+
+    Sources run side by side, each in a scheduler pool of its own name. With ``remember`` what the session log has
+    told is kept, so that billing does not change when the log's lines expire.
+    """
     found = registry.sources(paths, most)
     if only is not None and only not in found:
         raise ValueError(f'unknown source "{only}"')
     now = now or datetime.now(UTC)
-    env = records.session_env(lines.scan(spark, paths.session_env))
-    results = [run_one(spark, store, s, env, full, now) for s in found.values() if only in (None, s.name)]
+    env = kept_sessions(spark, store, paths.session_env) if remember else records.session_env(lines.scan(spark, paths.session_env))
+    results = side_by_side(spark, store, [s for s in found.values() if only in (None, s.name)], env, full, now)
     try:
         sync.sync(store, transport)
     except Exception as error:

@@ -9,6 +9,7 @@ Hadoop's file API.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from functools import reduce
 from urllib.parse import unquote
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.schema import LEDGER, STATE, align
+from meterlake.schema import LEDGER, STATE, align, struct
 from meterlake.session import shared_folder
 
 KEY = ("source", "source_id")
@@ -25,6 +26,7 @@ BUCKETS = 1024
 #: Parts of each source, which a commit writes one by one, and rows of a file of a part.
 LEDGER_BUCKETS, FILE_ROWS = 64, 5_000_000
 ACK = "source string, source_id string, at string"
+SESSIONS = struct("session string, base_url string")
 TOTALS = "source string, records_total long, errors long"
 #: Kept from the row that was there when its key comes again.
 KEPT = ("id", "source", "source_id", "synced_at")
@@ -194,7 +196,7 @@ class Snapshots:
         target = self._path(f"{self.folder}/{name}")
         if self.by is None:
             align(df, self.schema).write.parquet(f"{self.folder}/{name}")
-            content = name
+            content = json.dumps({"parts": {"": name}, "notes": noted}, sort_keys=True) if noted else name
         else:
             rows = align(df, self.schema).withColumn("part", self.part())
             if self.buckets:
@@ -233,6 +235,9 @@ class Store:
         self.spark, self.folder, self.acks = spark, folder.rstrip("/"), f"{folder.rstrip('/')}/acknowledged"
         self.records = Snapshots(spark, f"{self.folder}/usage_record", LEDGER, by="source", buckets=buckets, bucket_by="source_id")
         self.state = Snapshots(spark, f"{self.folder}/collector_state", STATE)
+        self.sessions = Snapshots(spark, f"{self.folder}/session_env", SESSIONS)
+        #: Held while a pointer is replaced: sources of one process may be put in side by side, as their parts differ.
+        self.lock = threading.RLock()
 
     def put(self, batch: DataFrame, now: str, marker: tuple[str, int] | None = None, touch_unchanged: bool = True) -> int:
         """Put a batch of unique keys into the ledger in one commit; how many keys are new.
@@ -241,24 +246,35 @@ class Store:
         beside the ledger, from where they are counted, numbered and committed. ``marker`` names a stream and
         its batch; a batch that has been put in before is left out.
         """
-        notes = self.records.notes()
-        if marker is not None and notes.get("applied", {}).get(marker[0], -1) >= marker[1]:
+        if self._applied(marker):
             return 0
         touched = self.records.touched(batch)
         staged, path = joined(self.records.read(touched), batch, now, touch_unchanged), self.records._path(f"{self.folder}/staged-{uuid.uuid4().hex}")
         try:
             staged.write.parquet(path.toString())
             rows = self.spark.read.schema(staged.schema).parquet(path.toString())
-            top, added = self._top(notes), changes(rows)
-            totals = self._totals(notes)
+            added = changes(rows)
             new = sum(n for n, _ in added.values())
-            totals |= {s: [totals.get(s, [0, 0])[0] + n, totals.get(s, [0, 0])[1] + e] for s, (n, e) in added.items()}
-            applied = notes.get("applied", {}) | ({marker[0]: marker[1]} if marker else {})
-            self.records.commit(numbered(rows, top), touched, {"top": top + new, "totals": totals, "applied": applied})
+            with self.lock:
+                if self._applied(marker):
+                    return 0
+                notes = self.records.notes()
+                top, totals = self._top(notes), self._totals(notes)
+                totals |= {s: [totals.get(s, [0, 0])[0] + n, totals.get(s, [0, 0])[1] + e] for s, (n, e) in added.items()}
+                applied = notes.get("applied", {}) | ({marker[0]: marker[1]} if marker else {})
+                self.records.commit(numbered(rows, top), touched, {"top": top + new, "totals": totals, "applied": applied})
         finally:
             self.records.fs.delete(path, True)
         return new
 
+    def _applied(self, marker: tuple[str, int] | None) -> bool:
+        return marker is not None and self.records.notes().get("applied", {}).get(marker[0], -1) >= marker[1]
+
+    def remember(self, new: DataFrame, cursor: dict[str, int]) -> None:
+        """Keep the last value of each session: those of ``new`` lines, read up to ``cursor``, before those known."""
+        kept = self.sessions.read().join(new.select("session"), "session", "left_anti").unionByName(new.select("session", "base_url"))
+        self.sessions.commit(kept, notes={"cursor": cursor})
+
     def _top(self, notes: dict) -> int:
         return notes["top"] if "top" in notes else self.records.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 

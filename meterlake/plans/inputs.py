@@ -227,6 +227,20 @@ def session_env_log(spark, sf_dir):
     return records.session_env(scanned(spark, sf_dir, env_line()))
 
 
+def session_env_kept(spark, sf_dir):
+    """What is remembered of a log whose first half has gone when the second is read."""
+    store = ledger.Store(spark, shared_folder(spark, "ledger"))
+    ingest.kept_sessions(spark, store, log(spark, sf_dir, env_line(), "event_id <= 500"))
+    return ingest.kept_sessions(spark, store, log(spark, sf_dir, env_line(), "event_id > 500"))
+
+
+def ingest_full(spark, sf_dir):
+    """A log, then the same log from its start: its records come again and none is new."""
+    store, paths = _store(spark), _paths(spark, sf_dir)
+    runs = [ingest.run(spark, store, paths, full=again, only="claude-code", now=usage.NOW)[0] for again in (False, True)]
+    return spark.createDataFrame([(k, r.processed, r.new_rows) for k, r in enumerate(runs)], "run long, processed long, new_rows long")
+
+
 def scan_lines(spark, sf_dir):
     """A log in short ranges of bytes."""
     rows = lines.scan(spark, log(spark, sf_dir, transcript_line()), split=1 << 16)
@@ -412,6 +426,8 @@ UNION ALL SELECT 'sideclaw-iu', kind, n FROM (SELECT {_KIND_COUNTS}, count(*) FI
     (broken_store, "", "SELECT * FROM (VALUES (0::BIGINT, true, true, 0::BIGINT), (1, false, true, 0), (2, true, true, 0)) t(k, available, noted, n)"),
     (sqlite_ranges, _SESSIONS, "SELECT id, CAST(first AS DOUBLE) AS started_at, k AS input_tokens, CASE WHEN u % 5 <> 0 THEN 2 * k ELSE -1 END AS output_tokens FROM sessions"),
     (session_env_log, _TRANSCRIPTS, "SELECT session, base_url FROM log_env"),
+    (session_env_kept, _TRANSCRIPTS, "SELECT session, base_url FROM log_env"),
+    (ingest_full, _TRANSCRIPTS, "SELECT 0::BIGINT AS run, count(*) AS processed, count(DISTINCT source_id) AS new_rows FROM told UNION ALL SELECT 1, count(*), 0 FROM told"),
     (enriched_records, _TRANSCRIPTS, "SELECT source_id, model_norm, billing, cost_usd, 'computed' AS cost_source, 'desk' AS machine, 'private' AS workspace, 'ok' AS outcome FROM done"),
     (ingest_run, f"{_TRANSCRIPTS}, {_DIRECT}, {_SESSIONS}", """SELECT source, 'ok' AS last_status, '2024-01-31 00:00:00' AS last_run_at, n AS records_total FROM (
   SELECT 'claude-code' AS source, count(DISTINCT source_id) AS n FROM told UNION ALL SELECT 'hermes', count(*) FROM sessions UNION ALL SELECT 'opencode', count(*) FROM sessions

@@ -147,6 +147,8 @@ class Snapshots:
         if name is None or not name.startswith("{"):
             return ({} if name is None else {None: name}), {}
         found = json.loads(name)
+        if self.buckets:  # a table keeps the number that it was made with
+            self.buckets = found.get("buckets", self.buckets)
         return (found["parts"], found["notes"]) if isinstance(found.get("parts"), dict) else (found, {})
 
     def parts(self) -> dict[str | None, str]:
@@ -163,6 +165,7 @@ class Snapshots:
 
     def touched(self, rows: DataFrame) -> list[str]:
         """The parts that rows belong to; no more than there are values and buckets."""
+        self._pointer()
         return [r[0] for r in rows.select(self.part()).distinct().collect()]
 
     def _whole(self, parts: dict[str | None, str]) -> bool:
@@ -204,7 +207,7 @@ class Snapshots:
             rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").parquet(f"{self.folder}/{name}")
             written = [d.getPath().getName() for d in self.fs.listStatus(target) if d.isDirectory()]
             kept = {v: n for v, n in parts.items() if values is not None and v not in values}
-            content = json.dumps({"parts": kept | {unquote(d.removeprefix("part=")): f"{name}/{d}" for d in written}, "notes": noted}, sort_keys=True)
+            content = json.dumps({"parts": kept | {unquote(d.removeprefix("part=")): f"{name}/{d}" for d in written}, "notes": noted, "buckets": self.buckets}, sort_keys=True)
         self._point(name, content)
         used = {n.split("/")[0] for n in self.parts().values()}
         versions = sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(self.folder)) if x.isDirectory() and x.getPath().getName().startswith("v"))

@@ -229,7 +229,7 @@ def session_env_log(spark, sf_dir):
 
 def session_env_kept(spark, sf_dir):
     """What is remembered of a log whose first half has gone when the second is read."""
-    store = ledger.Store(spark, shared_folder(spark, "ledger"))
+    store = ledger.Store(spark, shared_folder(spark, "ledger"), buckets=8)
     ingest.kept_sessions(spark, store, log(spark, sf_dir, env_line(), "event_id <= 500"))
     return ingest.kept_sessions(spark, store, log(spark, sf_dir, env_line(), "event_id > 500"))
 
@@ -279,7 +279,7 @@ def _paths(spark, sf_dir, where: str = "true") -> registry.Paths:
 
 
 def _store(spark) -> ledger.Store:
-    return ledger.Store(spark, shared_folder(spark, "ledger"))
+    return ledger.Store(spark, shared_folder(spark, "ledger"), buckets=8)
 
 
 def ingest_run(spark, sf_dir):

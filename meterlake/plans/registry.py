@@ -207,7 +207,7 @@ def upsert_new_rows(spark, sf_dir):
 
 def _after_two_puts(spark: SparkSession, sf_dir: str) -> tuple[store.Store, int]:
     """A ledger after two batches, the second twice: all but signups; then signups, clicks with more tokens, and errors of even users that turned ok. And its greatest id after the first."""
-    ledger = store.Store(spark, shared_folder(spark, "ledger"))
+    ledger = store.Store(spark, shared_folder(spark, "ledger"), buckets=8)
     rows = usage.ledger(spark, sf_dir).drop("id", "synced_at", "ingested_at")
     first = ledger.put(rows.where("sub_tool is distinct from 'signup'"), "2024-01-30 00:00:00", ("stream", 0))
     turned = (F.col("outcome") == "error") & (F.substring("session_id", 2, 20).cast("long") % 2 == 0)

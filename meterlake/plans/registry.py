@@ -36,6 +36,13 @@ def _rounded(df: DataFrame, column: str = "cost_usd") -> DataFrame:
     return df.withColumn(column, F.round(column, DIGITS))
 
 
+@query("""SELECT source, source_id, grain, ts, model, project, workspace, sub_tool, outcome, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens,
+  cache_write_1h_tokens, reasoning_tokens, duration_ms, raw FROM base""")
+def usage_projection(spark, sf_dir):
+    columns = "source source_id grain ts model project workspace sub_tool outcome input_tokens output_tokens cache_read_tokens cache_write_tokens cache_write_1h_tokens reasoning_tokens duration_ms raw"
+    return usage.base(spark, sf_dir).select(*columns.split())
+
+
 @query("SELECT id, model, model_norm FROM named")
 def normalize_model(spark, sf_dir):
     return usage.base(spark, sf_dir).select("id", "model", models.normalize_model(F.col("model")).alias("model_norm"))
@@ -62,9 +69,11 @@ def cache_clamp(spark, sf_dir):
     return usage.base(spark, sf_dir).select("id", hour.alias("hour_tokens"), (F.col("cache_write_tokens") - hour).alias("short_tokens"))
 
 
-@query("SELECT model_norm, coalesce(r_hour, r_write) AS hour_rate FROM rates")
+@query("SELECT n.id, n.model_norm, coalesce(r_hour, r_write) AS hour_rate FROM named n JOIN rates r ON n.model_norm = r.model_norm")
 def rate_fallback(spark, sf_dir):
-    return pricing.rates(spark).select("model_norm", F.coalesce("rate_cache_write_1h", "rate_cache_write").alias("hour_rate"))
+    named = usage.base(spark, sf_dir).select("id", models.normalize_model(F.col("model")).alias("model_norm"))
+    rates = pricing.rates(spark).select("model_norm", F.coalesce("rate_cache_write_1h", "rate_cache_write").alias("hour_rate"))
+    return named.join(F.broadcast(rates), "model_norm").select("id", "model_norm", "hour_rate")  # the price list is of fixed size
 
 
 _SUMS = """count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
@@ -266,6 +275,11 @@ def sync_payload(spark, sf_dir):
     return sent.select("id", "source", "source_id", field("model_norm").alias("model_norm"), field("billing").alias("billing"), field("cost_source").alias("cost_source"), field("raw.sessionId").alias("session_id"), field("input_tokens").alias("input_tokens"))
 
 
+@query("SELECT event_id, event_type FROM events WHERE event_id > 500")
+def incremental_since_cursor(spark, sf_dir):
+    return usage.events(spark, sf_dir).where("event_id > 500").select("event_id", "event_type")
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS from_millis, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS from_seconds FROM events")
 def epoch_to_iso(spark, sf_dir):
     at = F.col("ts").cast("timestamp")
@@ -287,6 +301,12 @@ def state_records_total(spark, sf_dir):
     return store.record_totals(usage.base(spark, sf_dir))
 
 
+@query("SELECT CAST(event_id % 6 AS BIGINT) AS source_number, max((epoch_us(ts) // 1000)) AS last_cursor FROM events GROUP BY 1")
+def source_cursor_max(spark, sf_dir):
+    rows = usage.events(spark, sf_dir)
+    return rows.groupBy((F.col("event_id") % 6).alias("source_number")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_cursor"))
+
+
 @query("SELECT id, ts FROM base WHERE ts >= '2024-01-28 00:00:00'")
 def recent_records(spark, sf_dir):
     return usage.base(spark, sf_dir).where(F.col("ts") >= cutoff(usage.NOW, 3)).select("id", "ts")

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Null, empty and wordless texts go at the first stage, as they have no language; of rows that repeat doc_id and
+text one goes on; a null doc_id is kept; texts of any length are whole in every stage; no documents give no
+rows; further columns, whatever their names, are carried along but for the last stage.
 """
 
 from __future__ import annotations

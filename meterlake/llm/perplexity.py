@@ -6,11 +6,13 @@ neighbours, as lower orders do, so copies of a text add nothing. What is counted
 6-gram, grows with the corpus, and no part of the model is held whole:
 
 1. Each task finds the distinct 6-grams of its part of an input file and deals them to shards by a hash
-   of language and last context, the third and fourth of the five code points.
-2. A shard has every n-gram of its contexts down to order 3, so it can estimate them alone: discounts
-   by its own counts of counts, and the uniform distribution below order 3. It answers each file's
-   6-grams with their 5-grams' log probabilities.
-3. A file's answers are one sorted hash array in the shared folder, in which the file's documents look
+   of language and the second to fourth code points of the context.
+2. A shard files what it is dealt. It has every n-gram of its contexts at orders 5 and 4, and tells their counts
+   of counts and, as different shards see different left neighbours, its part of the counts at order 3.
+3. Those parts, dealt by a hash of language and order 3's context, are added up and go back to the shards that
+   asked. Counts of counts are summed by language, so discounts do not depend on the number of shards.
+4. A shard answers each file's 6-grams with their 5-grams' log probabilities, with the uniform distribution below order 3.
+5. A file's answers are one sorted hash array in the shared folder, in which the file's documents look
    up their 5-grams.
 
 An input that is not read from files, or from very large ones, is stored with block numbers first.
@@ -26,7 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -60,6 +63,10 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 SPACE = np.uint32(32)
 UNIFORM = 1.0 / 0x110000
 ANSWER = np.dtype([("key", "<u8"), ("log_p", "<f4")])
+#: A trigram with its count, or a part of it, and the sum and the numbers of counts of 1, 2 and more in its context.
+PART = np.dtype([("key", "<u8"), ("n", "<u4")])
+THIRD = np.dtype([("key", "<u8"), ("n", "<u4"), ("total", "<u8"), ("ones", "<u4"), ("twos", "<u4"), ("more", "<u4")])
+ENTRY = struct.Struct("<IQ")
 
 
 def _folded() -> np.ndarray:
@@ -170,7 +177,7 @@ def _dealt(batches: Iterator, shards: int) -> Iterator:
             if not len(y):
                 continue
             seed = np.full(len(y), _seed(lang), np.uint32)
-            shard = (mixed([seed, y[:, 3], y[:, 4]]) % np.uint64(shards)).astype(np.int64)
+            shard = (mixed([seed, y[:, 2], y[:, 3], y[:, 4]]) % np.uint64(shards)).astype(np.int64)
             wide = y.astype(np.uint64)
             high = (wide[:, 3] << np.uint64(42)) | (wide[:, 4] << np.uint64(21)) | wide[:, 2]
             low = (wide[:, 1] << np.uint64(42)) | (wide[:, 5] << np.uint64(21)) | wide[:, 0]
@@ -199,9 +206,12 @@ def _seed(lang: str | None) -> int:
     return struct.unpack("<I", hashlib.blake2b(b"" if lang is None else b"=" + lang.encode("utf-8", "replace"), digest_size=4).digest())[0]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """What counts of 0, 1, 2 and more lose, by the counts of counts."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     ratio = lambda a, b: a / b if b else 1.0
     d = np.clip([0.0, 1 - 2 * y * ratio(n2, n1), 2 - 3 * y * ratio(n3, n2), 3 - 4 * y * ratio(n4, n3)], 0, [0, 0.95, 1.9, 2.9])
@@ -209,68 +219,143 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return d
 
 
-def estimated(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From distinct 6-grams that share no context with any others, the sorted keys of their 5-grams and log probabilities.
+def distinct(lists: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct rows of lists of 6-grams; besides them ``HELD`` rows and a list are held."""
+    held: list[np.ndarray] = []
+    n, limit = 0, HELD
+
+    def once() -> np.ndarray:
+        y = np.concatenate(held)
+        return y[np.unique(mixed([y[:, k] for k in range(ORDER + 1)]), return_index=True)[1]]
+
+    for y in lists:
+        held.append(y)
+        n += len(y)
+        if n > limit:
+            held = [once()]
+            n = len(held[0])
+            limit = n + HELD
+    return once()
+
+
+def counted(y: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From distinct 6-grams the sorted keys of their n-grams, a row of each, and counts: of different left neighbours."""
+    _, first = np.unique(mixed([y[:, k] for k in range(ORDER - order, ORDER + 1)]), return_index=True)
+    keys, at, counts = np.unique(mixed([y[first, k] for k in range(ORDER + 1 - order, ORDER + 1)]), return_index=True, return_counts=True)
+    return keys, first[at], counts
+
+
+def trigrams(y: np.ndarray) -> np.ndarray:
+    """The last three code points of rows in one number each, in order of their contexts."""
+    wide = y[:, ORDER - 2 :].astype(np.uint64)
+    return (wide[:, 0] << np.uint64(42)) | (wide[:, 1] << np.uint64(21)) | wide[:, 2]
 
-    An n-gram's count is the number of its left neighbours; orders 5 to 3 are interpolated.
+
+def estimated(y: np.ndarray, third: np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """From distinct 6-grams that share no context of orders 5 and 4 with any others, the sorted keys of their 5-grams and log probabilities.
+
+    ``third`` has their trigrams, sorted, and ``counts`` the language's counts of counts, four by four from the lowest order.
     """
-    p = None
-    for order in range(LOWEST, ORDER + 1):
-        # distinct (left neighbour, n-gram) pairs, then their n-grams, then their contexts
-        _, first = np.unique(mixed([y[:, k] for k in range(ORDER - order, ORDER + 1)]), return_index=True)
-        keys = mixed([y[first, k] for k in range(ORDER + 1 - order, ORDER + 1)])
-        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-        at = first[at]
+    d = discounts(*counts[:4])
+    left = d[1] * third["ones"] + d[2] * third["twos"] + d[3] * third["more"]
+    p = third["key"], (third["n"] - d[np.minimum(third["n"], 3)] + left * UNIFORM) / third["total"]
+    for order in range(LOWEST + 1, ORDER + 1):
+        keys, at, n = counted(y, order)
         _, context = np.unique(mixed([y[at, k] for k in range(ORDER + 1 - order, ORDER)]), return_inverse=True)
-        cut = discounts(counts)[np.minimum(counts, 3)]
-        total = np.bincount(context, weights=counts)[context]
+        cut = discounts(*counts[4 * (order - LOWEST) :][:4])[np.minimum(n, 3)]
+        total = np.bincount(context, weights=n)[context]
         left = np.bincount(context, weights=cut)[context] / total
-        if p is None:
-            lower = UNIFORM
-        else:
-            shorter = mixed([y[at, k] for k in range(ORDER + 2 - order, ORDER + 1)])
-            lower = p[1][np.searchsorted(p[0], shorter)]
-        p = keys, (counts - cut) / total + left * lower
+        shorter = trigrams(y[at]) if order == LOWEST + 1 else mixed([y[at, k] for k in range(ORDER + 2 - order, ORDER + 1)])
+        p = keys, (n - cut) / total + left * p[1][np.searchsorted(p[0], shorter)]
     return p[0], np.log(p[1])
 
 
-def _answered(batches: Iterator) -> Iterator:
-    """From rows ordered by shard and language, the 5-grams of each block's rows with their log probabilities."""
-    import pyarrow as pa
+def _rows(batches: Iterator) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def _listed(path: str) -> Iterator[tuple[str, np.ndarray]]:
+    """The blocks of a shard's file, each with its 6-grams."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    at, held = None, []
+    with files.random_access(path) as f:
+        while head := f.read(ENTRY.size):
+            name, size = ENTRY.unpack(head)
+            yield f.read(name).decode(), np.frombuffer(unpack(f.read(size)), np.uint32).reshape(ORDER + 1, -1).T
 
-    def grams(data: bytes) -> np.ndarray:
-        return np.frombuffer(unpack(data), np.uint32).reshape(ORDER + 1, -1).T
 
-    def out() -> Iterator[pa.RecordBatch]:
-        keys, rows = np.empty(0, np.uint64), []
-        for _, data in held:  # 6-grams of one block after the other, so that only distinct ones are held
-            y = grams(data)
-            own, first = np.unique(mixed([y[:, k] for k in range(ORDER + 1)]), return_index=True)
-            new = ~np.isin(own, keys, assume_unique=True)
-            keys = np.concatenate([keys, own[new]])
-            rows.append(y[first[new]])
-        sorted_keys, log_p = estimated(np.concatenate(rows))
-        seed = np.uint64(_seed(at[1]))
-        for block, data in held:
-            y = grams(data)
-            own = np.unique(mixed([y[:, k] for k in range(1, ORDER + 1)]))
-            answer = np.empty(len(own), ANSWER)
-            answer["key"], answer["log_p"] = own ^ seed, log_p[np.searchsorted(sorted_keys, own)]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([answer.tobytes()], pa.binary())], ["block", "answer"])
+def _gathered(batches: Iterator, folder: str, shards: int) -> Iterator:
+    """From rows (shard, lang, block, grams) ordered by shard and language, a row for each with its file and counts of counts, and rows of trigrams for parts."""
+    import pyarrow as pa
+    import zstandard
 
-    for batch in batches:
-        for shard, lang, block, data in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-            if (shard, lang) != at:
-                if held:
-                    yield from out()
-                at, held = (shard, lang), []
-            held.append((block, data))
-    if held:
-        yield from out()
+    pack = zstandard.ZstdCompressor(level=3).compress
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("part", pa.int64()), ("grams", pa.binary()), ("path", pa.string()), ("counts", pa.list_(pa.int64()))])
+    for (shard, lang), some in groupby(_rows(batches), key=lambda r: r[:2]):
+        path = _path(f"{folder}/shards", f"{shard} {lang!r}")
+        with files.writing(path) as target:
+            for _, _, block, data in some:
+                name = block.encode()
+                target.write(ENTRY.pack(len(name), len(data)) + name + data)
+        y = distinct(grams for _, grams in _listed(path))
+        found = [[0] * 4] + [counts_of_counts(counted(y, order)[2]) for order in range(LOWEST + 1, ORDER + 1)]
+        _, at, n = counted(y, LOWEST)
+        three = np.empty(len(at), PART)
+        three["key"], three["n"] = trigrams(y[at]), n
+        part = (mixed([np.full(len(at), _seed(lang), np.uint32), y[at, 3], y[at, 4]]) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((three["key"], part))
+        three, part = three[order], part[order]
+        starts = np.append(np.nonzero(np.diff(part, prepend=-1))[0], len(part))
+        rows = [(shard, lang, int(part[a]), pack(three[a:b].tobytes()), None, None) for a, b in zip(starts, starts[1:], strict=False)]
+        rows.append((shard, lang, None, None, path, sum(found, [])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _thirds(batches: Iterator) -> Iterator:
+    """From rows (part, lang, shard, grams) ordered by part and language, each shard's trigrams with what is known of all, and a row of counts of counts."""
+    import pyarrow as pa
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("counts", pa.list_(pa.int64()))])
+    for (_, lang), some in groupby(_rows(batches), key=lambda r: r[:2]):
+        given = [(shard, np.frombuffer(unpack(data), PART)) for _, _, shard, data in some]
+        every = np.concatenate([x for _, x in given])
+        keys, at = np.unique(every["key"], return_inverse=True)
+        n = np.bincount(at, weights=every["n"]).astype(np.int64)
+        _, context = np.unique(keys >> np.uint64(21), return_inverse=True)
+        third = np.empty(len(keys), THIRD)
+        third["key"], third["n"] = keys, n
+        for name, weights in (("total", n), ("ones", n == 1), ("twos", n == 2), ("more", n > 2)):
+            third[name] = np.bincount(context, weights=weights)[context]
+        rows = [(shard, lang, pack(third[np.searchsorted(keys, x["key"])].tobytes()), None) for shard, x in given]
+        rows.append((None, lang, None, counts_of_counts(n) + [0] * 4 * (ORDER - LOWEST)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _answered(batches: Iterator) -> Iterator:
+    """From rows (shard, lang, grams, path, counts) ordered by shard, language and path, the 5-grams of each block's rows with their log probabilities."""
+    import pyarrow as pa
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for (_, lang), some in groupby(_rows(batches), key=lambda r: r[:2]):
+        three = []
+        for _, _, data, path, counts in some:
+            if path is None:
+                three.append(np.frombuffer(unpack(data), THIRD))
+                continue
+            third = np.concatenate(three)
+            third = third[np.argsort(third["key"])]
+            sorted_keys, log_p = estimated(distinct(grams for _, grams in _listed(path)), third, counts)
+            seed = np.uint64(_seed(lang))
+            for block, y in _listed(path):
+                own = np.unique(mixed([y[:, k] for k in range(1, ORDER + 1)]))
+                answer = np.empty(len(own), ANSWER)
+                answer["key"], answer["log_p"] = own ^ seed, log_p[np.searchsorted(sorted_keys, own)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([answer.tobytes()], pa.binary())], ["block", "answer"])
 
 
 def _filed(batches: Iterator, folder: str) -> Iterator:
@@ -321,7 +406,15 @@ def model(rows: DataFrame, total: int) -> str:
     shards = min(MOST_SHARDS, max(1, -(-total // SHARD_CHARS)))
     dealt = rows.select("block", "lang", "text").mapInArrow(lambda b: _dealt(b, shards), "shard long, block string, lang string, grams binary")
     by_shard = dealt.select("shard", "lang", "block", "grams").repartition("shard").sortWithinPartitions("shard", "lang")
-    answers = by_shard.mapInArrow(_answered, "block string, answer binary")
+    gathered = stored(by_shard.mapInArrow(lambda b: _gathered(b, folder, shards), "shard long, lang string, part long, grams binary, path string, counts array<long>"), "gathered")
+    by_part = gathered.where("part is not null").select("part", "lang", "shard", "grams").repartition("part").sortWithinPartitions("part", "lang")
+    thirds = stored(by_part.mapInArrow(_thirds, "shard long, lang string, grams binary, counts array<long>"), "thirds")
+    told = gathered.select("lang", "counts").unionAll(thirds.select("lang", "counts")).where("counts is not null")
+    sums = told.groupBy("lang").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(4 * (ORDER - LOWEST + 1))]).alias("counts"))
+    asking = gathered.where("path is not null").select("shard", F.col("lang").alias("of"), "path").join(sums, F.col("of").eqNullSafe(F.col("lang")))
+    asking = asking.select("shard", "lang", F.lit(None).cast("binary").alias("grams"), "path", "counts")
+    told_back = thirds.where("shard is not null").select("shard", "lang", "grams", F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<long>").alias("counts"))
+    answers = told_back.unionAll(asking).repartition("shard").sortWithinPartitions("shard", "lang", "path").mapInArrow(_answered, "block string, answer binary")
     stored(answers.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _filed(b, folder), "block string, n long"), "filed")
     return folder
 

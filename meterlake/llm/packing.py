@@ -2,9 +2,9 @@
 
 A document is cut into full windows first; what is left of it, shorter than a window, is placed
 with others. A segment tree over the remaining capacities finds the tightest open window.
-Every task packs the documents of its own partition, so nothing is shuffled. When a bounded number
-of remainders is held they are placed and the windows that are nearly full are closed; what lies in
-the others is placed again with the next, so the bound costs no padding.
+Texts are encoded once, and their pieces, without their ids, stored. The remainders among them are
+counted and dealt by a hash of their number into groups of about ``BLOCK``, however the input is
+partitioned; each group is packed by itself, so only its last few windows are padded more than best fit needs.
 
 Defined results: a null text is the empty text (its only id is the separator); repeated rows are
 packed once each; an empty table gives no rows; a null doc_id stays null; other columns are ignored.
@@ -14,21 +14,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
-from meterlake.llm.common import release
+from meterlake.llm.common import release, stored
 
 WINDOW = 1024
 SEPARATOR = 0
-#: Remainders that a task holds before it closes windows, and the free part of a window above which it stays open then.
-BLOCK, OPEN = 65_536, 1 / 128
-SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, sequence_length long"
-)
+#: Remainders that are packed together, about, and pieces in a batch.
+BLOCK = 65_536
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+SCHEMA = f"{PIECE}, sequence_id long, offset long, sequence_length long"
+#: Sequences of remainders are numbered from here, by group and then by window.
+PLACED = 1 << 62
 
 
 class OpenWindows:
@@ -91,58 +92,54 @@ def padded(fill: int, window: int) -> int:
     return fill if fill & (fill - 1) == 0 else window
 
 
-def _packed(batches: Iterator, path: str, window: int, separator: int) -> Iterator:
+def _batch(rows: list[tuple], schema: str):
     import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+
+def _cut(batches: Iterator, path: str, window: int, separator: int) -> Iterator:
+    """The pieces of documents, each with a number of its own."""
     from pyspark import TaskContext
 
     words, end = tokens.words_of(path), separator.to_bytes(4, "little")
-    next_id = TaskContext.get().partitionId() << 36
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    whole: list[tuple] = []
-    rest: list[tuple] = []
-    limit = BLOCK
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-
-    def placed(last: bool) -> list[tuple]:
-        nonlocal next_id, rest
-        places, fill = best_fit_decreasing([r[2] for r in rest], window)
-        closed = [last or window - n <= OPEN * window for n in fill]
-        if 2 * sum(closed[w] for w, _ in places) < len(rest):
-            closed = [True] * len(fill)
-        base, next_id = next_id, next_id + len(fill)
-        rows = [(*r, base + w, at, padded(fill[w], window)) for r, (w, at) in zip(rest, places, strict=True) if closed[w]]
-        rest = [r for r, (w, _) in zip(rest, places, strict=True) if not closed[w]]
-        return rows
-
+    number = TaskContext.get().partitionId() << 36
+    rows: list[tuple] = []
     for given in batches:
         for doc_id, ids in zip(given.column(0).to_pylist(), tokens.packed(given.column(1), words), strict=True):
             ids += end
             n = len(ids) // 4
             for start in range(0, n, window):
                 piece = ids[4 * start : 4 * (start + window)]
-                row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), n)
-                if len(piece) < 4 * window:
-                    rest.append(row)
-                    continue
-                whole.append((*row, next_id, 0, window))
-                next_id += 1
-            if len(rest) >= limit:
-                yield batch(placed(False))
-                limit = len(rest) + BLOCK // 2
-            if len(whole) >= BLOCK:
-                yield batch(whole)
-                whole.clear()
-    for rows in (placed(True), whole):
-        if rows:
-            yield batch(rows)
+                rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, number))
+                number += 1
+            if len(rows) >= BLOCK:
+                yield _batch(rows, f"{PIECE}, number long")
+                rows.clear()
+    if rows:
+        yield _batch(rows, f"{PIECE}, number long")
     release()
 
 
+def _placed(batches: Iterator, window: int) -> Iterator:
+    """From remainders with their group, ordered by it, the remainders with their places."""
+    given = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for group, some in groupby(given, key=lambda r: r[-1]):
+        rows = [r[:-1] for r in some]
+        places, fill = best_fit_decreasing([r[2] for r in rows], window)
+        base = PLACED + (group << 32)
+        yield _batch([(*r, base + w, at, padded(fill[w], window)) for r, (w, at) in zip(rows, places, strict=True)], SCHEMA)
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """One row per piece of a document, with its sequence and its place in that."""
     path = path or tokens.default_path()
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda batches: _packed(batches, path, window, separator), SCHEMA
-    )
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    pieces = stored(given.mapInArrow(lambda batches: _cut(batches, path, window, separator), f"{PIECE}, number long"), "pieces")
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    full = F.col("length") == window
+    groups = max(1, round(pieces.where(~full).count() / BLOCK))
+    rest = pieces.where(~full).select(*names, F.pmod(F.xxhash64("number"), F.lit(groups)).alias("group"))
+    placed = rest.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _placed(batches, window), SCHEMA)
+    whole = pieces.where(full).select(*names, F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(window).cast("long").alias("sequence_length"))
+    return whole.unionAll(placed)

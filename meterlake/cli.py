@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from meterlake import ingest, report_text
+from meterlake.functions.times import cutoff
 from meterlake.operators import reports, sync
 from meterlake.operators.ledger import Store
 from meterlake.session import session
@@ -68,7 +69,7 @@ def run(args: list[str]) -> int:
         print(f'unknown command "{command}"\n\n{HELP}', end="", file=sys.stderr)
         return 2
     spark = session()
-    store, paths, now = Store(spark, folder()), registry.Paths.from_environment(), datetime.now(UTC)
+    store, paths, now = Store(spark, folder(), cut="month"), registry.Paths.from_environment(), datetime.now(UTC)
     if command == "ingest":
         results = ingest.run(spark, store, paths, "--full" in rest, option(rest, "--source"), sync.from_environment(), remember="--remember-sessions" in rest)
         for r in results:
@@ -80,12 +81,12 @@ def run(args: list[str]) -> int:
         print(f"sync: {sent} records pushed in {n} batch{'es' * (n != 1)}")
     elif command == "stats":
         by = option(rest, "--by") or "source"
-        print(report_text.stats(reports.ordered_stats(reports.stats(store.records.read(), by, days(rest, None), now)).collect(), by))
+        print(report_text.stats(reports.ordered_stats(reports.stats(store.records.read(since=cutoff(now, days(rest, None))), by, days(rest, None), now)).collect(), by))
     elif command == "sources":
         print(report_text.source_status(reports.status_of(store.state.read(), store.totals().withColumnRenamed("records_total", "total")).orderBy("source").collect()))
     else:
         env = records.session_env(lines.scan(spark, paths.session_env))
-        found = reports.billing_audit(store.records.read(), env, days(rest, 3), option(rest, "--session"), now)
+        found = reports.billing_audit(store.records.read(since=cutoff(now, days(rest, 3))), env, days(rest, 3), option(rest, "--session"), now)
         print(report_text.billing_audit(found.orderBy(F.desc("last_ts"), "session_id").collect()))
     return 0
 

@@ -30,6 +30,14 @@ SESSIONS = struct("session string, base_url string")
 TOTALS = "source string, records_total long, errors long"
 #: Kept from the row that was there when its key comes again.
 KEPT = ("id", "source", "source_id", "synced_at")
+#: Periods that parts may be cut by, as lengths of the text that begins a time, and the period of rows whose ts begins
+#: with no day. That one sorts behind all others, so no bound leaves it out.
+PERIODS, UNDATED = {"month": 7, "day": 10}, "undated"
+
+
+def period_of(ts: Column, cut: str) -> Column:
+    """The period of a time in text. ``ts >= bound`` implies ``period >= period of bound``, as both are compared as text."""
+    return F.when(ts.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(ts, 1, PERIODS[cut])).otherwise(F.lit(UNDATED))
 
 
 def latest(batch: DataFrame) -> DataFrame:
@@ -122,10 +130,16 @@ class Snapshots:
     With ``buckets`` the rows of a value are dealt over so many parts by a hash of ``bucket_by``, each sorted by that
     column and with versions of its own; a commit writes the parts that it names. The pointer also holds
     what belongs to a commit as a whole (``notes``): it changes with the parts or not at all.
+
+    With ``cut`` (``month`` or ``day``) a part has a folder for each period of ``ts``, so that reading from a bound on
+    leaves older folders alone. A version's name ends with its cut, so parts of different cuts, or without one, lie
+    side by side and each takes the present cut when it is written next.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keep: int = 2, by: str | None = None, buckets: int = 0, bucket_by: str | None = None):
-        self.spark, self.folder, self.schema, self.keep, self.by, self.buckets, self.bucket_by = spark, folder.rstrip("/"), schema, keep, by, buckets, bucket_by
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keep: int = 2, by: str | None = None, buckets: int = 0, bucket_by: str | None = None, cut: str | None = None):
+        if cut is not None and (cut not in PERIODS or by is None):
+            raise ValueError(f"a table in parts is cut by {' or '.join(PERIODS)}, not {cut!r}")
+        self.spark, self.folder, self.schema, self.keep, self.by, self.buckets, self.bucket_by, self.cut = spark, folder.rstrip("/"), schema, keep, by, buckets, bucket_by, cut
         self.jvm = spark._jvm
         self.fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -172,8 +186,19 @@ class Snapshots:
         """Whether the table is in parts of another kind, which the next commit takes apart."""
         return None in parts or bool(self.buckets) and any("#" not in p for p in parts)
 
-    def read(self, values: list[str] | None = None) -> DataFrame:
-        """The table, or some parts."""
+    def _version(self, name: str, paths: list[str], since: str | None) -> DataFrame:
+        cut = name.rsplit("-", 1)[-1]
+        if cut not in PERIODS:
+            return align(self.spark.read.parquet(*paths), self.schema)
+        columns = T.StructType([*self.schema.fields, T.StructField("part", T.StringType()), T.StructField("period", T.StringType())])
+        rows = self.spark.read.schema(columns).option("basePath", f"{self.folder}/{name}").parquet(*paths)
+        return align(rows if since is None else rows.where(F.col("period") >= since[: PERIODS[cut]]), self.schema)
+
+    def read(self, values: list[str] | None = None, since: str | None = None) -> DataFrame:
+        """The table, or some parts. With ``since``, a time in text that begins with a year, periods before it are left out.
+
+        Rows of its own period, and of parts that are not cut, are all there: ``since`` does not stand for a filter on ``ts``.
+        """
         parts = self.parts()
         whole = self._whole(parts)
         by_version: dict[str, list[str]] = {}
@@ -182,7 +207,7 @@ class Snapshots:
                 by_version.setdefault(name.split("/")[0], []).append(f"{self.folder}/{name}")
         if not by_version:
             return self.spark.createDataFrame([], self.schema)
-        found = reduce(DataFrame.unionByName, [align(self.spark.read.parquet(*paths), self.schema) for paths in by_version.values()])
+        found = reduce(DataFrame.unionByName, [self._version(name, paths, since) for name, paths in by_version.items()])
         return found if values is None or self.by is None else found.where(self.part().isin(values))
 
     def commit(self, df: DataFrame, values: list[str] | None = None, notes: dict | None = None) -> None:
@@ -195,16 +220,18 @@ class Snapshots:
             df, values = self.read().where(~self.part().isin(values)).unionByName(align(df, self.schema)), None
         noted = (noted if values is not None or notes is not None else {}) | (notes or {})
         last = max((int(n.split("-")[0][1:]) for n in parts.values()), default=0)
-        name = f"v{last + 1:08d}-{uuid.uuid4().hex[:8]}"
+        name = f"v{last + 1:08d}-{uuid.uuid4().hex[:8]}" + (f"-{self.cut}" if self.cut else "")
         target = self._path(f"{self.folder}/{name}")
         if self.by is None:
             align(df, self.schema).write.parquet(f"{self.folder}/{name}")
             content = json.dumps({"parts": {"": name}, "notes": noted}, sort_keys=True) if noted else name
         else:
-            rows = align(df, self.schema).withColumn("part", self.part())
+            rows, folders = align(df, self.schema).withColumn("part", self.part()), ["part"]
+            if self.cut:
+                rows, folders = rows.withColumn("period", period_of(F.col("ts"), self.cut)), ["part", "period"]
             if self.buckets:
-                rows = rows.repartition("part").sortWithinPartitions("part", self.bucket_by)
-            rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").parquet(f"{self.folder}/{name}")
+                rows = rows.repartition(*folders).sortWithinPartitions(*folders, self.bucket_by)
+            rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(*folders).parquet(f"{self.folder}/{name}")
             written = [d.getPath().getName() for d in self.fs.listStatus(target) if d.isDirectory()]
             kept = {v: n for v, n in parts.items() if values is not None and v not in values}
             content = json.dumps({"parts": kept | {unquote(d.removeprefix("part=")): f"{name}/{d}" for d in written}, "notes": noted, "buckets": self.buckets}, sort_keys=True)
@@ -234,9 +261,9 @@ class Store:
     last batch of every stream that was put in, all as of its commit.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = LEDGER_BUCKETS):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = LEDGER_BUCKETS, cut: str | None = None):
         self.spark, self.folder, self.acks = spark, folder.rstrip("/"), f"{folder.rstrip('/')}/acknowledged"
-        self.records = Snapshots(spark, f"{self.folder}/usage_record", LEDGER, by="source", buckets=buckets, bucket_by="source_id")
+        self.records = Snapshots(spark, f"{self.folder}/usage_record", LEDGER, by="source", buckets=buckets, bucket_by="source_id", cut=cut)
         self.state = Snapshots(spark, f"{self.folder}/collector_state", STATE)
         self.sessions = Snapshots(spark, f"{self.folder}/session_env", SESSIONS)
         #: Held while a pointer is replaced: sources of one process may be put in side by side, as their parts differ.

@@ -102,6 +102,20 @@ def stats_since_days(spark, sf_dir):
     return _rounded(reports.stats(usage.ledger(spark, sf_dir), "source", 7, usage.NOW))
 
 
+def _cut_ledger(spark: SparkSession, sf_dir: str, cut: str) -> store.Snapshots:
+    """The ledger, stored with a folder for each period in its parts."""
+    table = store.Store(spark, shared_folder(spark, "ledger"), buckets=2, cut=cut).records
+    table.commit(store.align(usage.ledger(spark, sf_dir), store.LEDGER))
+    return table
+
+
+@query(f"SELECT source AS key, {_SUMS} FROM ledger WHERE outcome = 'ok' AND ts >= '2024-01-24 00:00:00' GROUP BY 1")
+def stats_since_pruned(spark, sf_dir):
+    """Statistics of the last days, for which folders of earlier days are not read."""
+    rows = _cut_ledger(spark, sf_dir, "day").read(since=cutoff(usage.NOW, 7))
+    return _rounded(reports.stats(rows, "source", 7, usage.NOW))
+
+
 @query("SELECT round(sum(coalesce(cost_usd, 0)), 9) AS total_cost, count(*) FILTER (WHERE cost_usd IS NULL) AS unpriced_records FROM ledger WHERE outcome = 'ok'")
 def total_cost(spark, sf_dir):
     good = usage.ledger(spark, sf_dir).where("outcome = 'ok'")
@@ -150,6 +164,7 @@ def _audited(name: str, select: str, run: Query, where: str = "TRUE") -> None:
 
 _audited("billing_audit", "SELECT * FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir))
 _audited("billing_audit_since", "SELECT * FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir, 3), "ts >= '2024-01-28 00:00:00'")
+_audited("billing_audit_pruned", "SELECT * FROM flagged", lambda spark, sf_dir: _rounded(reports.billing_audit(_cut_ledger(spark, sf_dir, "month").read(since=cutoff(usage.NOW, 3)), usage.session_env(spark, sf_dir), 3, None, usage.NOW)), "ts >= '2024-01-28 00:00:00'")
 _audited("billing_audit_session", "SELECT * FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir, None, "s12"), "json_extract_string(raw, '$.sessionId') = 's12'")
 _audited("audit_flags", "SELECT session_id, multi_billing, mismatch FROM flagged", lambda spark, sf_dir: _audit(spark, sf_dir).select("session_id", "multi_billing", "mismatch"))
 _audited("audit_live_label", "SELECT live_label, count(*) AS sessions, count(*) FILTER (WHERE multi_billing OR mismatch) AS flagged FROM flagged GROUP BY 1", lambda spark, sf_dir: _audit(spark, sf_dir).groupBy("live_label").agg(F.count("*").alias("sessions"), F.count_if(F.col("multi_billing") | F.col("mismatch")).alias("flagged")))

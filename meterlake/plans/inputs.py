@@ -77,11 +77,11 @@ def window_line() -> Column:
     return _json(tool=F.when(u() % 5 != 0, _text("t", u() % 5)), project=_text("p", u()), tsStart=F.when(e() % 19 == 0, "never").otherwise(start), tsEnd=end)
 
 
-def bridge_line() -> Column:
+def bridge_line(request_id: Column | None = None) -> Column:
     iso = F.date_format("ts", ISO)
     failed = F.col("event_type") == "error"
     return _told(_json(
-        ts=F.when(e() % 9 != 0, iso), ts_start=F.when(e() % 4 != 0, iso), duration_ms=F.col("value"), request_id=_text("b", e()), model=_chosen(u() % 12, usage.MODELS),
+        ts=F.when(e() % 9 != 0, iso), ts_start=F.when(e() % 4 != 0, iso), duration_ms=F.col("value"), request_id=_text("b", e()) if request_id is None else request_id, model=_chosen(u() % 12, usage.MODELS),
         event=F.when(failed, "error"), error_type=F.when(failed, "RateLimitError"), status_code=F.when(failed, 429),
         input_tokens=10 * k(), output_tokens=F.when(e() % 3 != 0, 3 * k()), cache_read_tokens=100 * k(), reasoning_tokens=k() % 7,
     ))
@@ -155,6 +155,15 @@ def map_bridge(spark, sf_dir):
     return _listed(records.bridge(scanned(spark, sf_dir, bridge_line()), work, NOW_ISO))
 
 
+def bridge_hash_key(spark, sf_dir):
+    """Keys of requests of which some have no id: these get a hash of their line, the same for lines that are equal."""
+    named = F.when(e() % 5 != 1, _text("b", e()))
+    work = records.windows(scanned(spark, sf_dir, window_line(), "event_type = 'signup'"))
+    found = records.bridge(scanned(spark, sf_dir, bridge_line(named)), work, NOW_ISO)
+    hashed = ~F.col("source_id").startswith("b")
+    return found.groupBy(hashed.alias("hashed")).agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("keys"), F.sum("input_tokens").alias("input_tokens"))
+
+
 def map_direct(spark, sf_dir):
     return _listed(records.direct(scanned(spark, sf_dir, direct_line()), NOW_ISO))
 
@@ -409,6 +418,10 @@ REGISTERED = (
   CASE WHEN failed THEN '{{"errorType":"RateLimitError","errorCode":null,"statusCode":429,"tsStart":' || CASE WHEN q.e % 4 <> 0 THEN '"' || iso || '"' ELSE 'null' END || ',"tsEnd":null}}'
     ELSE '{{' || CASE WHEN q.e % 4 <> 0 THEN '"tsStart":"' || iso || '",' ELSE '' END || '"durationMs":' || value || '}}' END AS raw, {_NONE} AS session_id
 FROM requests q LEFT JOIN met m ON q.e = m.e"""),
+    (bridge_hash_key, f"{_WINDOWS}, {_BRIDGE}", """SELECT e % 5 = 1 AS hashed, count(*) AS n,
+  count(DISTINCT CASE WHEN e % 5 = 1 THEN struct_pack(a := CASE WHEN e % 9 <> 0 THEN iso END, b := CASE WHEN e % 4 <> 0 THEN iso END, c := value, d := model, f := failed, g := k, h := e % 3 <> 0, i := 0)
+    ELSE struct_pack(a := NULL, b := NULL, c := NULL, d := NULL, f := NULL, g := NULL, h := NULL, i := e) END) AS keys,
+  CAST(sum(CASE WHEN failed THEN 0 ELSE 10 * k END) AS BIGINT) AS input_tokens FROM requests GROUP BY 1"""),
     (map_direct, _DIRECT, f"""SELECT 'sideclaw-iu' AS source, 'd' || e AS source_id, 'message' AS grain, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, 'gpt-image-2' AS model, {_NONE} AS project, event_type AS sub_tool, 'ok' AS outcome,
   CASE WHEN e % 6 = 0 THEN 0 ELSE 10 * k END AS input_tokens, 3 * k AS output_tokens, 0 AS cache_read_tokens, 0 AS cache_write_tokens, 0 AS cache_write_1h_tokens, 0 AS reasoning_tokens, CAST(2 * k AS DOUBLE) AS duration_ms,
   CASE WHEN e % 4 <> 0 THEN '{{"totalTokens":' || CAST(13 * k AS DOUBLE) || '}}' END AS raw, {_NONE} AS session_id FROM direct WHERE e % 5 NOT IN (1, 2)"""),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake import schema
 from meterlake.functions import models, pricing
 from meterlake.functions.times import cutoff, duration_ms, iso_millis, iso_seconds
 from meterlake.operators import ledger as store
@@ -290,6 +291,22 @@ def sync_payload(spark, sf_dir):
     return sent.select("id", "source", "source_id", field("model_norm").alias("model_norm"), field("billing").alias("billing"), field("cost_source").alias("cost_source"), field("raw.sessionId").alias("session_id"), field("input_tokens").alias("input_tokens"))
 
 
+_SENT = [f for f in store.LEDGER.fields if f.name not in sync.HELD_BACK]
+_SENT_SQL = ", ".join(f"round({f.name}, {DIGITS}) AS {f.name}" if f.name == "cost_usd" else f.name for f in _SENT if f.name != "raw")
+
+
+@query(f"""SELECT {_SENT_SQL}, CASE WHEN readable THEN json_extract_string(raw, '$.sessionId') END AS raw_session, CASE WHEN readable THEN CAST(json_extract(raw, '$.n') AS BIGINT) END AS raw_n,
+  CAST({len(_SENT)} AS BIGINT) AS fields FROM (SELECT *, id % 5 <> 0 AND id % 7 <> 0 AS readable FROM ledger) WHERE {_ELIGIBLE}""")
+def sync_payload_fields(spark, sf_dir):
+    """Every field that is sent, read back from the body; some records' ``raw`` is broken or empty, and null there."""
+    raw = F.when(F.col("id") % 5 == 0, '{"broken').when(F.col("id") % 7 == 0, "").otherwise(F.col("raw"))
+    sent = sync.payload(store.align(sync.eligible(usage.ledger(spark, sf_dir).withColumn("raw", raw)), store.LEDGER))
+    told = schema.T.StructType([schema.T.StructField("raw", schema.struct("sessionId string, n long")) if f.name == "raw" else f for f in _SENT])
+    rows = sent.select(F.from_json("body", told).alias("j"), F.size(F.json_object_keys("body")).cast("long").alias("fields"))
+    read = rows.select(*[f"j.{f.name}" for f in _SENT if f.name != "raw"], F.col("j.raw.sessionId").alias("raw_session"), F.col("j.raw.n").alias("raw_n"), "fields")
+    return _rounded(read)
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id > 500")
 def incremental_since_cursor(spark, sf_dir):
     return usage.events(spark, sf_dir).where("event_id > 500").select("event_id", "event_type")

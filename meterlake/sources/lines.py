@@ -15,6 +15,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 from typing import TYPE_CHECKING, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -29,6 +30,10 @@ SCHEMA = "path string, offset long, value string, file long"
 CHUNK = 4 << 20
 #: Bytes of a file that one task reads at most.
 SPLIT = 64 << 20
+#: Tasks that stretches are dealt to if they are short, about, and the bytes that are too few for a task of their own.
+TASKS, LEAST = 64, 256 << 10
+#: Bytes that are read at first behind a stretch for the end of its last line.
+REST = 4 << 10
 #: Tasks that look for the ends of files' lines, at most.
 JOB_TASKS = 1000
 
@@ -193,31 +198,85 @@ def stretches(begin: dict[str, int], end: dict[str, int], split: int = SPLIT) ->
     return out
 
 
+class Load(InputPartition):
+    """Stretches that one task reads."""
+
+    def __init__(self, some: list[Stretch]):
+        self.some = some
+
+
+def loads(some: list[Stretch]) -> list[Load]:
+    """Stretches dealt to tasks in their order. Short ones share a task, so that tasks grow with the bytes and not with the number of files or ranges."""
+    most = min(SPLIT, max(LEAST, sum(s.stop - s.start for s in some) // TASKS))
+    out, left = [], 0
+    for s in some:
+        size = s.stop - s.start
+        if size > left:
+            out.append(Load([]))
+            left = most
+        out[-1].some.append(s)
+        left -= size
+    return out
+
+
+def read(load: Load) -> Iterator[pa.RecordBatch]:
+    """The lines of a task's stretches; those of one file follow each other and share its handle."""
+    for path, some in groupby(load.some, lambda s: s.path):
+        system, inner = place(path)
+        with system.open_input_file(inner) as f:
+            for part in some:
+                yield from lines_of(f, part)
+
+
 def lines(part: Stretch) -> Iterator[pa.RecordBatch]:
-    """The lines of a stretch but for empty ones, in batches."""
-    import pyarrow as pa
+    return read(Load([part]))
+
+
+def lines_of(f: pa.NativeFile, part: Stretch) -> Iterator[pa.RecordBatch]:
+    """The lines of a stretch but for empty ones, in batches. Of what lies behind the stretch no more is read than its last line may need."""
+    at, held, size, whole = part.start - part.inner, [], 0, not part.inner  # a line that began before belongs to the stretch before
+    rest = REST
+    while at < part.stop:
+        behind = at + size
+        f.seek(behind)
+        data = f.read(min(CHUNK, part.stop - behind if behind < part.stop else rest))
+        # behind the stretch only the line that began in it goes on
+        cut = (data.rfind(b"\n") if behind < part.stop else data.find(b"\n")) + 1
+        if data and not cut:
+            held.append(data)
+            size += len(data)
+            rest = min(CHUNK, 2 * rest) if behind >= part.stop else rest
+            continue
+        text = b"".join([*held, data[:cut]])
+        yield _batch(part, at, text, whole)
+        at, held, size, whole = at + len(text), [data[cut:]], len(data) - cut, True
+        if not data:
+            break
 
-    system, inner = place(part.path)
-    with system.open_input_file(inner) as f:
-        at, held, whole = part.start - part.inner, b"", not part.inner  # a line that began before belongs to the stretch before
-        while at < part.stop:
-            f.seek(at + len(held))
-            data = f.read(CHUNK)
-            held += data
-            cut = held.rfind(b"\n") + 1 if data else len(held)
-            if not cut and data:
-                continue
-            offsets, values = [], []
-            for line in held[:cut].split(b"\n"):
-                if whole and at < part.stop and (text := line.rstrip(b"\r")):
-                    offsets.append(at)
-                    values.append(text.decode("utf-8", "replace"))
-                at, whole = at + len(line) + 1, True
-            at -= 1  # behind the last line feed there is no line yet
-            held = held[cut:]
-            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(values, pa.string()), pa.array([part.file] * len(offsets), pa.int64())], ["path", "offset", "value", "file"])
-            if not data:
-                break
+
+def _batch(part: Stretch, at: int, text: bytes, whole: bool) -> pa.RecordBatch:
+    """Lines that begin at an offset; the first one only if it is ``whole``."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    raw = np.frombuffer(text, np.uint8)
+    feeds = np.flatnonzero(raw == 10)
+    stops = feeds if text.endswith(b"\n") else np.append(feeds, len(raw))
+    starts = np.append(0, feeds + 1)[: len(stops)]
+    places = np.append(starts - np.arange(len(starts)), len(raw) - len(feeds)).astype(np.int32)  # without the line feeds
+    values = pa.StringArray.from_buffers(len(stops), pa.py_buffer(places), pa.py_buffer(raw[raw != 10]))
+    try:
+        values.validate(full=True)
+    except pa.ArrowInvalid:
+        values = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.string())
+    if b"\r" in text:
+        values = pc.utf8_rtrim(values, "\r")
+    kept = pc.greater(pc.binary_length(values), 0)
+    if not whole:
+        kept = pc.and_(kept, pa.array(np.arange(len(stops)) > 0))
+    values, offsets = values.filter(kept), pa.array(at + starts, pa.int64()).filter(kept)
+    return pa.RecordBatch.from_arrays([pa.repeat(part.path, len(values)), offsets, values, pa.repeat(pa.scalar(part.file, pa.int64()), len(values))], ["path", "offset", "value", "file"])
 
 
 class TailReader(DataSourceStreamReader):
@@ -233,13 +292,13 @@ class TailReader(DataSourceStreamReader):
         self.at = advanced(self.patterns, self.at if self.at is not None else self.begin, self.most)
         return self.at
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Load]:
         if self.at is None:  # a restart goes on behind what the checkpoint has
             self.at = dict(end)
-        return stretches(start, end)
+        return loads(stretches(start, end))
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        return lines(partition)
+    def read(self, partition: Load) -> Iterator[pa.RecordBatch]:
+        return read(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -251,13 +310,13 @@ class LinesReader(DataSourceReader):
     def __init__(self, options: dict):
         begin = parse_cursor(options.get("cursor"))
         end = parse_cursor(options["end"]) if "end" in options else advanced(options["path"], begin)
-        self.parts = stretches(begin, end, int(options.get("split", SPLIT)))
+        self.parts = loads(stretches(begin, end, int(options.get("split", SPLIT))))
 
-    def partitions(self) -> list[Stretch]:
-        return self.parts or [Stretch("", 0, 0)]
+    def partitions(self) -> list[Load]:
+        return self.parts or [Load([])]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        return lines(partition) if partition.path else iter(())
+    def read(self, partition: Load) -> Iterator[pa.RecordBatch]:
+        return read(partition)
 
 
 class GrowingLines(DataSource):

@@ -352,12 +352,16 @@ def tail(spark: SparkSession, patterns: str, cursor: dict[str, int] | None = Non
 def judged(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Lines as struct ``j`` beside path, offset, value and file, and whether they are blank or broken, that is no JSON object.
 
-    A field of another type only makes that field null.
+    A field of another type only makes that field null. A line is parsed once: it goes through ``explode``, past which
+    Spark moves no filter, as each field that a filter names would be parsed for anew. The second parser, which
+    is stricter with numbers that are none, is asked only about lines that the first had trouble with.
     """
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = rows.withColumn("j", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    read = rows.select(*rows.columns, F.explode(F.array(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))).alias("j"))
     blank = F.length(F.trim("value")) == 0
-    return read.withColumns({"blank": blank, "broken": ~blank & ~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False))})
+    plain = F.startswith("value", F.lit("{")) & F.col("j").isNotNull() & F.col("j._corrupt").isNull() & ~(F.contains("value", F.lit("NaN")) | F.contains("value", F.lit("INF")) | F.contains("value", F.lit("Infinity")))
+    whole = F.when(plain, True).otherwise(F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False)))
+    return read.withColumns({"blank": blank, "broken": ~blank & ~whole})
 
 
 def parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:

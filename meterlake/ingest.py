@@ -38,7 +38,8 @@ def put(store: ledger.Store, found: DataFrame, env: DataFrame, workspace: str |
         processed = batch.count()
         if not processed:
             return 0, 0
-        return processed, store.put(ledger.latest(batch), stamp(now), marker)
+        keys = batch.select(*ledger.KEY).dropna()
+        return processed, store.put(ledger.latest(batch), stamp(now), marker, keys=keys)
     finally:
         batch.unpersist()
 

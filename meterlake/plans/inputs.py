@@ -245,7 +245,7 @@ def session_env_kept(spark, sf_dir):
 
 def ingest_full(spark, sf_dir):
     """A log, then the same log from its start: its records come again and none is new."""
-    store, paths = _store(spark), _paths(spark, sf_dir)
+    store, paths = _store(spark), _paths(spark, sf_dir, only=_TRANSCRIBED)
     runs = [ingest.run(spark, store, paths, full=again, only="claude-code", now=usage.NOW)[0] for again in (False, True)]
     return spark.createDataFrame([(k, r.processed, r.new_rows) for k, r in enumerate(runs)], "run long, processed long, new_rows long")
 
@@ -279,12 +279,19 @@ def enriched_records(spark, sf_dir):
     return done.select("source_id", "model_norm", "billing", F.round("cost_usd", 9).alias("cost_usd"), "cost_source", "machine", "workspace", "outcome")
 
 
-def _paths(spark, sf_dir, where: str = "true") -> registry.Paths:
-    return registry.Paths(
-        transcripts=log(spark, sf_dir, transcript_line(), where), bridge=log(spark, sf_dir, bridge_line(), where), windows=log(spark, sf_dir, window_line(), "event_type = 'signup'"),
-        direct=log(spark, sf_dir, direct_line(), where), session_env=log(spark, sf_dir, env_line()), coding=stored_sessions(spark, sf_dir, "session", schema.CODING_SESSION),
-        hermes=stored_sessions(spark, sf_dir, "sessions", schema.AGENT_SESSION), feuer="/none/state.db",
-    )
+def _paths(spark, sf_dir, where: str = "true", only: tuple[str, ...] | None = None) -> registry.Paths:
+    """Logs and stores of all sources, or of those named, which are what a run over these reads, with the session log."""
+    made = {
+        "transcripts": lambda: log(spark, sf_dir, transcript_line(), where), "bridge": lambda: log(spark, sf_dir, bridge_line(), where), "windows": lambda: log(spark, sf_dir, window_line(), "event_type = 'signup'"),
+        "direct": lambda: log(spark, sf_dir, direct_line(), where), "session_env": lambda: log(spark, sf_dir, env_line()), "coding": lambda: stored_sessions(spark, sf_dir, "session", schema.CODING_SESSION),
+        "hermes": lambda: stored_sessions(spark, sf_dir, "sessions", schema.AGENT_SESSION),
+    }
+    none = f"{shared_folder(spark, 'none')}.jsonl"
+    return registry.Paths(**{k: make() if only is None or k in only else none for k, make in made.items()}, feuer="/none/state.db")
+
+
+#: What a run over the transcripts alone reads.
+_TRANSCRIBED = ("transcripts", "session_env")
 
 
 def _store(spark) -> ledger.Store:
@@ -301,13 +308,13 @@ def ingest_run(spark, sf_dir):
 def ingest_records(spark, sf_dir):
     """A run over one source: the ledger after it."""
     store = _store(spark)
-    ingest.run(spark, store, _paths(spark, sf_dir), only="claude-code", now=usage.NOW)
+    ingest.run(spark, store, _paths(spark, sf_dir, only=_TRANSCRIBED), only="claude-code", now=usage.NOW)
     return store.records.read().select("source", "source_id", "input_tokens", "model_norm", "billing", F.round("cost_usd", 9).alias("cost_usd"), "workspace", "ingested_at", "synced_at")
 
 
 def ingest_again(spark, sf_dir):
     """Two runs with the log grown between them: what each read, and the ledger's size."""
-    store, paths = _store(spark), _paths(spark, sf_dir, "event_id % 4 < 2")
+    store, paths = _store(spark), _paths(spark, sf_dir, "event_id % 4 < 2", _TRANSCRIBED)
     first = ingest.run(spark, store, paths, only="claude-code", now=usage.NOW)[0]
     more = registry.Paths(**(vars(paths) | {"transcripts": f"{paths.transcripts},{log(spark, sf_dir, transcript_line(), 'event_id % 4 >= 2')}"}))
     second, third = (ingest.run(spark, store, more, only="claude-code", now=usage.NOW)[0] for _ in range(2))
@@ -316,7 +323,7 @@ def ingest_again(spark, sf_dir):
 
 def follow_log(spark, sf_dir):
     """A log followed as a stream into the ledger."""
-    store, paths = _store(spark), _paths(spark, sf_dir)
+    store, paths = _store(spark), _paths(spark, sf_dir, only=("direct", "session_env"))
     follow.follow(spark, store, paths, "sideclaw-iu", shared_folder(spark, "followed")).awaitTermination()
     return store.records.read().select("source", "source_id", "input_tokens", "output_tokens")
 

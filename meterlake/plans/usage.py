@@ -60,7 +60,8 @@ def session_env(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records with canonical model, billing and cost."""
     named = base(spark, sf_dir).withColumn("model_norm", models.normalize_model(F.col("model")))
-    env = session_env(spark, sf_dir).withColumnRenamed("session", "session_id")
+    # kept a shuffled join: a late change to a broadcast one would read each map task's whole output in one task
+    env = session_env(spark, sf_dir).withColumnRenamed("session", "session_id").hint("shuffle_hash")
     billed = named.join(env, "session_id", "left").withColumn("billing", models.classify_billing(F.col("source"), F.col("model"), F.col("base_url")))
     return pricing.priced(billed)
 

@@ -118,15 +118,18 @@ class WaveletMatrix(Ranked):
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
+        import pyarrow as pa
+
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            bit = (now & (1 << level)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
-            low = now[~bit]
+            plane = np.packbits((now & (1 << level)) != 0, bitorder="little")
+            planes.append(plane)
+            # a plane has the layout of Arrow's booleans, by which Arrow filters
+            low, high = (pa.array(now).filter(pa.Array.from_buffers(pa.bool_(), len(now), [None, pa.py_buffer(x)])).to_numpy() for x in (~plane, plane))
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, high])
         return cls(len(ids), planes, zeros)
 
     def frame(self, level: int, k: int) -> np.ndarray:
